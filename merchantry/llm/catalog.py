@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from merchantry.llm import archive, mixing, quality_rules
+from merchantry.llm import archive, decontaminate, line_runs, mixing, ngram_join, quality_rules
 from merchantry.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,18 +16,31 @@ def op1_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.plan(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf, "documents"))
+
+
+def op5_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return judged.select(*names)
 
 
+def op9_line_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return line_runs.delete_runs(table(spark, sf, "documents")).select("doc_id", "n_lines", "n_deleted", "text")
+
+
 def op10_content_archive(spark: SparkSession, sf: str) -> DataFrame:
     return archive.round_trip(table(spark, sf, "pages"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op6_quality_rules, op10_content_archive)}
+    found = (op1_mix_sources, op4_ngram_join, op5_decontaminate, op6_quality_rules, op9_line_runs, op10_content_archive)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -53,6 +66,48 @@ SQL = {
               FROM d JOIN t USING (skey))
         SELECT doc_id, size, source_size, target,
                CAST(floor(k * rate + off) - floor((k - 1) * rate + off) AS BIGINT) * size AS taken FROM r""",
+    "op4_ngram_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM
+                 (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        df AS (SELECT s FROM sh GROUP BY s HAVING count(*) > 1),
+        o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM (SELECT * FROM sh SEMI JOIN df USING (s)) a
+              JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT x, y FROM o JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id
+              WHERE 100 * shared >= 75 * (nx.n + ny.n - shared)),
+        r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, r.c FROM r JOIN l ON r.doc_id = l.x),
+        m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
+        FROM documents d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op5_decontaminate": r"""
+        WITH t AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+        w AS (SELECT kind, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                     'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM t),
+        sh AS (SELECT DISTINCT kind, id, array_to_string(ws[i:i + 4], ' ') AS s FROM
+                 (SELECT kind, id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+        n AS (SELECT id, count(*) AS n FROM sh WHERE kind = 1 GROUP BY id)
+        SELECT d.id AS doc_id, b.id AS item_id, CAST(n.n AS BIGINT) AS n_item, CAST(count(*) AS BIGINT) AS n_shared
+        FROM sh d JOIN sh b ON d.s = b.s AND d.kind = 0 AND b.kind = 1 JOIN n ON n.id = b.id
+        GROUP BY d.id, b.id, n.n HAVING 100 * count(*) >= 75 * n.n""",
+    "op9_line_runs": r"""
+        WITH x AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+        a AS (SELECT doc_id, i - 1 AS line_no, ls[i] AS l, len(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')) AS w
+              FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM x)),
+        p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS pos FROM a WHERE w > 0),
+        g AS (SELECT doc_id, pos, k, list(l) OVER v AS ls, sum(w) OVER v AS w, count(*) OVER v AS m
+              FROM p, (VALUES (1), (2), (3), (4), (5)) AS ks(k)
+              WINDOW v AS (PARTITION BY doc_id, k ORDER BY pos ROWS BETWEEN CURRENT ROW AND k - 1 FOLLOWING)),
+        c AS (SELECT doc_id, pos, k, row_number() OVER (PARTITION BY ls ORDER BY doc_id, pos) AS nth
+              FROM g WHERE m = k AND w >= 5),
+        z AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + k)) AS pos FROM c WHERE nth > 1),
+        del AS (SELECT p.doc_id, p.line_no FROM p JOIN z USING (doc_id, pos))
+        SELECT x.doc_id, CAST((SELECT count(*) FROM p WHERE p.doc_id = x.doc_id) AS BIGINT) AS n_lines,
+               CAST((SELECT count(*) FROM del WHERE del.doc_id = x.doc_id) AS BIGINT) AS n_deleted,
+               coalesce((SELECT string_agg(a.l, chr(10) ORDER BY a.line_no) FROM a
+                         WHERE a.doc_id = x.doc_id AND (a.doc_id, a.line_no) NOT IN (SELECT (doc_id, line_no) FROM del)), '') AS text
+        FROM x""",
     "op10_content_archive": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
         h AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha256(b) AS payload_digest FROM p),
