@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from merchantry.llm import archive, decontaminate, line_runs, mixing, ngram_join, quality_rules
+from merchantry.llm import archive, decontaminate, line_runs, mixing, ngram_join, pairwise_quality, quality_rules, token_scan, toxicity
+from merchantry.session import new_folder
 from merchantry.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,11 @@ def op1_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.plan(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    folder = token_scan.write_tokens(table(spark, sf, "documents"), new_folder(spark, "tokens"))
+    return token_scan.count(spark, folder).select("doc_id", "n_tokens")
+
+
 def op4_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf, "documents"))
 
@@ -30,6 +36,14 @@ def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select(*names)
 
 
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op8_pairwise_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return pairwise_quality.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op9_line_runs(spark: SparkSession, sf: str) -> DataFrame:
     return line_runs.delete_runs(table(spark, sf, "documents")).select("doc_id", "n_lines", "n_deleted", "text")
 
@@ -39,7 +53,17 @@ def op10_content_archive(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_mix_sources, op4_ngram_join, op5_decontaminate, op6_quality_rules, op9_line_runs, op10_content_archive)
+    found = (
+        op1_mix_sources,
+        op3_token_counts,
+        op4_ngram_join,
+        op5_decontaminate,
+        op6_quality_rules,
+        op7_toxicity,
+        op8_pairwise_quality,
+        op9_line_runs,
+        op10_content_archive,
+    )
     return {f.__name__: f for f in found}
 
 
