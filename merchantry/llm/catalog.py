@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from merchantry.llm import archive, decontaminate, line_runs, mixing, ngram_join, pairwise_quality, quality_rules, token_scan, toxicity
+from merchantry.llm import archive, decontaminate, line_runs, mixing, ngram_join, pairwise_quality, pii, quality_rules, token_scan, toxicity
 from merchantry.session import new_folder
 from merchantry.sources.tables import table
 
@@ -17,6 +17,10 @@ def op1_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.plan(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find(table(spark, sf, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     folder = token_scan.write_tokens(table(spark, sf, "documents"), new_folder(spark, "tokens"))
     return token_scan.count(spark, folder).select("doc_id", "n_tokens")
@@ -27,7 +31,7 @@ def op4_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op5_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
-    return decontaminate.find(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return decontaminate.find(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("text_hash")
 
 
 def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,6 +59,7 @@ def op10_content_archive(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = (
         op1_mix_sources,
+        op2_pii,
         op3_token_counts,
         op4_ngram_join,
         op5_decontaminate,

@@ -29,7 +29,7 @@ from merchantry.llm.ngram_join import needed
 from merchantry.session import cut
 
 BLOCK_BYTES = 8 << 20
-_SCHEMA = "doc_id long, item_id long, n_item long, n_shared long"
+_SCHEMA = "doc_id long, text_hash long, item_id long, n_item long, n_shared long"
 
 
 def word_shingles(text: bytes, k: int) -> set[bytes]:
@@ -89,26 +89,28 @@ def _search(block: object) -> object:
             for piece in vectors.pieces(batch.column(1)):
                 for t, items in index.candidates(piece).items():
                     own = word_shingles(piece.data[piece.offsets[t] : piece.offsets[t + 1]].tobytes(), index.k)
-                    doc = batch.column(0)[piece.first + t].as_py()
+                    doc, text = (batch.column(c)[piece.first + t].as_py() for c in (0, 2))
                     for i in sorted(items):
                         shared, n = len(index.sets[i] & own), len(index.sets[i])
                         if index.den * shared >= index.num * n:
-                            rows.append((doc, index.ids[i], n, shared))
+                            rows.append((doc, text, index.ids[i], n, shared))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "item_id", "n_item", "n_shared"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "text_hash", "item_id", "n_item", "n_shared"])
 
     return run
 
 
 def find(docs: DataFrame, benchmark: DataFrame, share: tuple[int, int] = (75, 100), words: int = 5, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, n_item (the item's shingles) and n_shared for each document that holds an item."""
+    """doc_id, text_hash (xxhash64), item_id, n_item (the item's shingles) and n_shared for each document that holds an
+    item."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text"))
     items = cut(items.where(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # Twice the blocks that an even deal needs, for texts hash unevenly; each block's size is checked before it is sent.
     blocks = 1 if size <= block_bytes else -(-2 * size // block_bytes)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     out = spark.createDataFrame([], _SCHEMA)
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).collect()  # at most a block
@@ -118,3 +120,12 @@ def find(docs: DataFrame, benchmark: DataFrame, share: tuple[int, int] = (75, 10
             block = spark.sparkContext.broadcast(([r.id for r in rows], [r.text for r in rows], *share, words))
             out = out.union(texts.mapInArrow(_search(block), _SCHEMA))
     return out
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """The rows of docs that hold no item."""
+    found = find(docs, benchmark, id_col=id_col, text_col=text_col, **options)
+    mark = "_" * (1 + max([0, *(len(c) for c in docs.columns)]))  # names that no column of docs has
+    found = found.select(F.col("doc_id").alias(f"{mark}id"), F.col("text_hash").alias(f"{mark}hash")).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(F.col(f"{mark}id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col(f"{mark}hash"))
+    return docs.join(found, same, "left_anti")

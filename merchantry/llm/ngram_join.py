@@ -257,3 +257,14 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), wo
     out = sketch.select("doc_id", *key).join(named, key, "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
+    """The rows of docs that stay: the smallest id of each component, once; documents without shingles and rows with a
+    null id stay."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    gone = found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    blank = ~F.coalesce(F.regexp_like(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    alone = kept.where(F.col(id_col).isNull() | blank)
+    return kept.where(F.col(id_col).isNotNull() & ~blank).dropDuplicates([id_col]).unionByName(alone)

@@ -185,3 +185,24 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float =
     counted = cut(features(docs, id_col, text_col))
     cutoffs = fit_cutoffs(counted, labels, risk, error)
     return counted.withColumns({"base_failed": base_failed(), "kept": verdict(cutoffs)})
+
+
+def _appended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(batch.num_columns - 1)
+        for piece in vectors.pieces(texts):
+            found = piece_features(piece)
+            own = batch.slice(piece.first, piece.n)
+            columns = [*own.columns[:-1], *(pa.array(v.astype(np.int64)) for v in found.values())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*own.schema.names[:-1], *found])
+
+
+def keep(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that pass, with all their columns and no shuffle of texts: counts are taken once for the cutoffs
+    and once more beside each row."""
+    cutoffs = fit_cutoffs(cut(features(docs, id_col, text_col)), labels, risk, error)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    plain = docs.select(*(docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)))
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema), _FEATURES.partition(", ")[2]])
+    counted = plain.withColumn("text", F.col(names[docs.columns.index(text_col)]).cast("string")).mapInArrow(_appended, schema)
+    return counted.where(verdict(cutoffs)).select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
