@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from merchantry.plans import shops
+from merchantry.plans import browse, shops
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [shops]
+MODULES = [shops, browse]
 
 
 def queries() -> dict[str, Query]:
