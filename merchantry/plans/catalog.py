@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from merchantry.plans import browse, shops
+from merchantry.plans import browse, mining, shops, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [shops, browse]
+MODULES = [shops, browse, tables, mining]
 
 
 def queries() -> dict[str, Query]:
