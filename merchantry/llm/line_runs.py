@@ -78,8 +78,12 @@ def _at(pos: Column) -> Column:
     return F.struct("doc_id", "text_hash", pos.alias("pos"))
 
 
-def _same_doc(x: DataFrame, y: DataFrame) -> Column:
-    return x.doc_id.eqNullSafe(y.doc_id) & (x.text_hash == y.text_hash)
+def _at_place(rows: DataFrame, other: DataFrame, place: Column) -> DataFrame:
+    """rows with the further columns of other at the same document and place."""
+    keys = ("doc_id", "text_hash", "pos")
+    other = other.select(*(F.col(c).alias(f"_{c}") for c in keys), *(c for c in other.columns if c not in keys))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash")) & (place == F.col("_pos"))
+    return rows.join(other, same).drop(*(f"_{c}" for c in keys))
 
 
 def _names(runs: DataFrame, key: list[str]) -> DataFrame:
@@ -95,36 +99,30 @@ def later_copies(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", te
     lines = lines.dropDuplicates(["doc_id", "text_hash", "pos"])
     # A line with many copies meets one row of names; its rows may be split in the join.
     level = cut(lines.join(_names(lines, ["line", "bytes"]), ["line", "bytes"]).drop("line", "bytes", "words"))
-    levels, k = [level], 1
-    while 2 * k <= min_words:
-        y = level.select("doc_id", "text_hash", (F.col("pos") - k).alias("p"), F.col("name").alias("second"))
-        pair = level.join(y, _same_doc(level, y) & (level.pos == y.p)).select(level["*"], "second").withColumnRenamed("name", "lead")
-        level = cut(pair.join(_names(pair, ["lead", "second"]), ["lead", "second"]).drop("lead", "second"))
-        levels.append(level)
-        k *= 2
-    doomed = None
-    for kind in ("fwd", "back"):
-        for j, level in enumerate(levels):
-            size, length = 1 << j, F.col(kind)
-            own = level.where((length >= size) & (length < 2 * size) & (length <= min_words))
-            # own: rows at the run's first line for fwd, at its last named run for back.
-            if kind == "back":
-                ends = levels[0].select("doc_id", "text_hash", (F.col("pos") + 1 - size).alias("tail"), F.col("pos").alias("last"), F.col("back").alias("len")).where((F.col("len") >= size) & (F.col("len") < 2 * size) & (F.col("len") <= min_words))
-                ends = ends.withColumn("head", F.col("last") + 1 - F.col("len"))
-            else:
-                ends = own.select("doc_id", "text_hash", F.col("pos").alias("head"), length.alias("len"))
-                ends = ends.withColumns({"tail": F.col("head") + F.col("len") - size, "last": F.col("head") + F.col("len") - 1})
-            named = level.select("doc_id", "text_hash", "pos", "name")
-            h, t = named.withColumnRenamed("name", "a"), named.withColumnRenamed("name", "b")
-            runs = ends.join(h, _same_doc(ends, h) & (ends["head"] == h.pos)).select(ends["*"], "a")
-            runs = runs.join(t, _same_doc(runs, t) & (runs["tail"] == t.pos)).select(runs["*"], "b")
-            first = runs.groupBy("len", "a", "b").agg(F.min(_at(F.col("head"))).alias("first"))
-            later = runs.join(first, ["len", "a", "b"]).where(_at(F.col("head")) != F.col("first"))
-            covered = later.select("doc_id", "text_hash", F.explode(F.sequence("head", "last")).alias("pos"))
-            doomed = covered if doomed is None else doomed.union(covered)
+    # A line with many copies meets one row of names; its rows may be split in the join.
+    runs = level.select("doc_id", "text_hash", "pos", F.explode(F.array(F.struct(F.col("fwd").alias("len"), F.lit(True).alias("begins")), F.struct(F.col("back").alias("len"), F.lit(False).alias("begins")))).alias("r"))
+    runs = runs.select("doc_id", "text_hash", "pos", "r.*").where(F.col("len").between(1, min_words))
+    head = F.when(F.col("begins"), F.col("pos")).otherwise(F.col("pos") + 1 - F.col("len"))
+    depth = sum(((F.col("len") >= 1 << j).cast("int") for j in range(1, min_words.bit_length())), F.lit(0))
+    runs = runs.select("doc_id", "text_hash", "begins", "len", head.alias("head"), depth.alias("depth"))
+    runs = runs.withColumn("tail", F.col("head") + F.col("len") - F.element_at(F.array(*(F.lit(1 << j) for j in range(min_words.bit_length()))), F.col("depth") + 1))
+    named, j = level.select("doc_id", "text_hash", "pos", "name", F.lit(0).alias("depth")), 0
+    while 2 << j <= min_words:
+        after = level.select("doc_id", "text_hash", "pos", F.col("name").alias("second"))
+        pair = _at_place(level.select("doc_id", "text_hash", "pos", F.col("name").alias("lead")), after, F.col("pos") + (1 << j))
+        j += 1
+        level = cut(pair.join(_names(pair, ["lead", "second"]), ["lead", "second"]).select("doc_id", "text_hash", "pos", "name"))
+        named = named.union(level.withColumn("depth", F.lit(j)))
+    # A run is the pair of the named runs that begin and end it.
+    for end, name in (("head", "a"), ("tail", "b")):
+        at = named.select("doc_id", "text_hash", "pos", F.col("name").alias(name), F.col("depth").alias("of"))
+        runs = _at_place(runs, at, F.col(end)).where("depth = of").drop("of")
+    runs = cut(runs)
+    first = runs.groupBy("begins", "len", "a", "b").agg(F.min(_at(F.col("head"))).alias("first"))
+    later = runs.join(first, ["begins", "len", "a", "b"]).where(_at(F.col("head")) != F.col("first"))
+    doomed = later.select("doc_id", "text_hash", F.explode(F.sequence("head", F.col("head") + F.col("len") - 1)).alias("pos")).distinct()
     numbers = lines.select("doc_id", "text_hash", "pos", "line_no")
-    doomed = doomed.distinct()
-    return numbers.join(doomed, _same_doc(numbers, doomed) & (numbers.pos == doomed.pos)).select(numbers.doc_id, numbers.text_hash, "line_no")
+    return _at_place(doomed, numbers, F.col("pos")).select("doc_id", "text_hash", "line_no")
 
 
 def delete_runs(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
