@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: dict[str, str] = {}
+
 #: Settings the operators rely on; none of them changes how a user's own queries are planned.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -54,6 +58,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of the session's executors, once an application."""
+    sc = spark.sparkContext
+    if _SHIPPED.get("id") == sc.applicationId:
+        return
+    top = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="spark-")) / f"{top.name}.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(top.rglob("*.py")):
+            out.write(file, file.relative_to(top.parent))
+    sc.addPyFile(str(path))
+    _SHIPPED["id"] = sc.applicationId
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, for products that are files."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
