@@ -39,14 +39,15 @@ def url_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 def ngram_freq(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents")
-    freq = words.frequencies(words.counted(rows, tx.token_stream(F.col("text")), 3))
-    return freq.where("freq >= 20").select("word", "len", "freq", F.round("prob", 10).alias("prob"))
+    freq = words.frequencies(rows, tx.token_stream(F.col("text")), 3, least=20)
+    return freq.select("word", "len", "freq", F.round("prob", 10).alias("prob"))
 
 
 def neighbour_entropy(spark: SparkSession, sf: str) -> DataFrame:
-    counts = words.counted(table(spark, sf, "documents"), tx.token_stream(F.col("text")), 2)
-    freq = words.frequencies(counts).where("freq >= 50").select("word")
-    both = freq.join(words.entropy(counts, "left", True), "word").join(words.entropy(counts, "right", False), "word")
+    rows, tokens = table(spark, sf, "documents"), tx.token_stream(F.col("text"))
+    freq = words.frequencies(rows, tokens, 2, least=50).select("word")
+    runs = words.grams(rows, tokens, 2).join(freq, "word", "left_semi")
+    both = words.entropy(runs, "left", True).join(words.entropy(runs, "right", False), "word")
     return both.select("word", F.round("entropy_left", 6).alias("entropy_left"), F.round("entropy_right", 6).alias("entropy_right"))
 
 
@@ -81,7 +82,7 @@ def leader_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 def _dictionary(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf, "documents")
-    found = words.frequencies(words.counted(docs, tx.token_stream(F.col("text")), 2)).where("len = 2 and freq >= 30")
+    found = words.frequencies(docs, tx.token_stream(F.col("text")), 2, least=30).where("len = 2")
     return found.select("word"), table(spark, sf, "part").select(F.col("p_brand").alias("word")).distinct()
 
 

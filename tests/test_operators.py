@@ -74,12 +74,12 @@ def brute_words(titles, longest):
 def test_entropy_with_and_without_boundaries(spark):
     titles = [["a", "b", "a"], ["b", "a", "c"], ["a"]]
     rows = spark.createDataFrame([(t,) for t in titles], "t array<string>")
-    counts = words.counted(rows, F.col("t"), 2)
+    runs = words.grams(rows, F.col("t"), 2)
     freq, left, right = brute_words(titles, 2)
-    assert {r.word: r.freq for r in words.frequencies(counts).collect()} == dict(freq)
+    assert {r.word: r.freq for r in words.frequencies(rows, F.col("t"), 2).collect()} == dict(freq)
     for side, near in (("left", left), ("right", right)):
         for boundary in (False, True):
-            for r in words.entropy(counts, side, boundary).collect():
+            for r in words.entropy(runs, side, boundary).collect():
                 seen = {k: n for k, n in near[r.word].items() if k is not None}
                 ends = near[r.word][None] if boundary else 0
                 total = sum(seen.values()) + ends
@@ -87,6 +87,12 @@ def test_entropy_with_and_without_boundaries(spark):
                 assert math.isclose(r[f"entropy_{side}"], want, abs_tol=1e-9)
 
 
+def test_words_of_han_runs(spark):
+    rows = spark.createDataFrame([(f"{a}手机{b}，x",) for a in "甲乙丙丁戊己庚辛" for b in "子丑寅卯辰巳午未"], "title string")
+    found = {r.word: r.freq for r in words.discover_han(rows, "title", longest=3, ratio=2, freq=5, least_entropy=1.5).collect()}
+    assert found["手机"] == 64 and "手" not in found and "机子" not in found
+
+
 def test_dictionary_merge(spark):
     old = spark.createDataFrame([("a", 10, 0.1), ("b", 3, 0.2)], "word string, freq long, prob double")
     new = spark.createDataFrame([("a", 5, 0.3), ("c", 4, 0.4)], "word string, freq long, prob double")
