@@ -96,6 +96,16 @@ def tree_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return tree.descendants(_edges(spark, sf), "r2")
 
 
+def full_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """A category document, as a sync service sends it, flattened to parents and children with ids."""
+    nations = table(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", F.col("n_name").alias("name")))).alias("children"))
+    nodes = table(spark, sf, "region").join(nations, F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    one = nodes.agg(F.array_sort(F.collect_list(F.struct("r_regionkey", F.col("r_name").alias("name"), "children"))).alias("t"))
+    text = one.select(F.to_json("t").alias("body"))
+    parsed = text.select(F.from_json("body", "array<struct<name string, children array<struct<name string>>>>").alias("t"))
+    return parsed.select(F.explode(F.concat(*tree.flatten(F.col("t"), levels=2))).alias("row")).select("row.*")
+
+
 def _prop_text() -> Column:
     return F.concat(F.lit("1:"), "p_size", F.lit(":size:"), "p_size", F.lit(";bad;2:"), "p_brand", F.lit(":brand:"), "p_brand", F.lit(";1:9:size:"), "p_type", F.lit(";x:y:z"))
 
@@ -132,7 +142,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         upsert_merge, counter_merge, partial_update, refresh_records, delete_keys, insert_absent, unbind_items, keep_curated,
-        claim_head, latest_per_key, id_allocate, tree_rollup, tree_path, tree_descendants, prop_pairs, prop_counts,
+        claim_head, latest_per_key, id_allocate, tree_rollup, tree_path, tree_descendants, full_refresh, prop_pairs, prop_counts,
         json_fields, brand_counts_merge,
     )
 }
@@ -184,6 +194,11 @@ SQL = {
     "tree_path": f"""{_CLOSURE}
         SELECT up.node, string_agg(e.name, ' > ' ORDER BY distance DESC) AS path FROM up JOIN e ON e.node = up.ancestor GROUP BY up.node""",
     "tree_descendants": f"{_CLOSURE} SELECT node, distance FROM up WHERE ancestor = 'r2' AND distance > 0",
+    "full_refresh": """
+        WITH r AS (SELECT *, CAST(row_number() OVER (ORDER BY r_regionkey) - 1 AS INTEGER) AS m FROM region),
+        n AS (SELECT *, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS k FROM nation)
+        SELECT 10 + m AS id, 0 AS parent, r_name AS name FROM r
+        UNION ALL SELECT 100 + 10 * k + m, 10 + m, n_name FROM n JOIN r ON n_regionkey = r_regionkey""",
     "prop_pairs": "SELECT p_partkey, 2 AS n_props, p_brand AS brand, p_type AS size FROM part",
     "json_fields": """
         SELECT CAST(props ->> '$.k' AS BIGINT) AS k, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1""",
