@@ -87,12 +87,18 @@ SQL = {
         l AS (SELECT *, (1.5e0 * sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0))
                         / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
               FROM w WINDOW before AS (ORDER BY cap / weight, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-        t AS (SELECT skey, source_size, least(cap, max(level) OVER () * weight) AS target,
-                     CAST('0x' || substr(md5('mix' || skey), 1, 8) AS BIGINT) / 4294967296.0e0 AS off FROM l),
-        r AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.off,
-                     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0e0 END AS rate,
+        t AS (SELECT skey, source_size, least(cap, max(level) OVER () * weight) AS target FROM l),
+        q AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0e0 END AS rate FROM t),
+        g AS (SELECT skey, size, count(*) AS n, coalesce(sum(count(*)) OVER (PARTITION BY skey ORDER BY size DESC
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM d GROUP BY skey, size),
+        c AS (SELECT skey, j, CAST('0x' || substr(md5('mix:' || j || ':' || skey), 1, 8) AS BIGINT) / 4294967296.0e0 AS off
+              FROM t, range(0, 64) AS js(j)),
+        x AS (SELECT skey, target, j, off, sum(size * (floor((a + n) * rate + off) - floor(a * rate + off))) AS total
+              FROM g JOIN q USING (skey) JOIN c USING (skey) GROUP BY ALL),
+        o AS (SELECT skey, off FROM x QUALIFY row_number() OVER (PARTITION BY skey ORDER BY abs(total - target), j) = 1),
+        r AS (SELECT d.doc_id, d.size, q.source_size, q.target, q.rate, o.off,
                      row_number() OVER (PARTITION BY d.skey ORDER BY d.size DESC, d.doc_id % 64, d.doc_id) AS k
-              FROM d JOIN t USING (skey))
+              FROM d JOIN q USING (skey) JOIN o USING (skey))
         SELECT doc_id, size, source_size, target,
                CAST(floor(k * rate + off) - floor((k - 1) * rate + off) AS BIGINT) * size AS taken FROM r""",
     "op4_ngram_join": r"""

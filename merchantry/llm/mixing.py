@@ -50,13 +50,13 @@ def targets(sources: DataFrame, weights: Sequence[float], share: float, most: fl
     return ranked.select("skey", "source_size", "weight", target.alias("target"))
 
 
-def offset(skey: Column, seed: str) -> Column:
-    """A number in [0, 1) from seed and source."""
-    digits = F.substring(F.md5(F.concat(F.lit(seed), skey).cast("binary")), 1, 8)
+def offset(skey: Column, seed: str, number: Column) -> Column:
+    """A number in [0, 1) from seed, number and source."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), number.cast("string"), skey).cast("binary")), 1, 8)
     return F.conv(digits, 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", slices: int = 64, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", slices: int = 64, offsets: int = 64, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken and copies for each row of docs."""
     source = F.col(source_col).cast("string")
     rows = docs.select(
@@ -70,15 +70,21 @@ def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1
     sources = size_counts.groupBy("skey").agg(F.sum(F.col("n") * F.col("size")).cast("long").alias("source_size"))
     longer = F.coalesce(F.sum("n").over(_before(Window.partitionBy("skey").orderBy(F.desc("size")))), F.lit(0))
     sizes = size_counts.select("skey", "size", longer.alias("longer")).join(targets(sources, weights, share, most), "skey")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.nullif("source_size", F.lit(0))).otherwise(0.0)
+    sizes = sizes.withColumn("rate", rate)
+    at = lambda rank: F.floor(rank * F.col("rate") + F.col("offset"))
+    trials = sizes.join(size_counts, ["skey", "size"]).withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(offsets - 1))))
+    trials = trials.withColumn("offset", offset(F.col("skey"), seed, F.col("number")))
+    crossed = at(F.col("longer") + F.col("n")) - at(F.col("longer"))
+    totals = trials.groupBy("skey", "target", "number", "offset").agg(F.sum(crossed * F.col("size")).alias("total"))
+    nearest = F.struct(F.abs(F.col("total") - F.col("target")), "number")
+    sizes = sizes.join(totals.groupBy("skey").agg(F.min_by("offset", nearest).alias("offset")), "skey")
     earlier = F.coalesce(F.sum("n").over(_before(Window.partitionBy("skey", "size").orderBy("slice"))), F.lit(0))
     starts = slice_counts.select("skey", "size", "slice", earlier.alias("earlier")).join(sizes, ["skey", "size"])
     within = Window.partitionBy("skey", "size", "slice").orderBy(F.col("doc_id").asc_nulls_last())
     ranked = rows.withColumn("rank", F.row_number().over(within)).join(starts, ["skey", "size", "slice"])
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.nullif("source_size", F.lit(0))).otherwise(0.0)
     last = F.col("longer") + F.col("earlier") + F.col("rank")
-    at = lambda rank: F.floor(rank * F.col("rate") + F.col("offset"))
-    out = ranked.withColumns({"rate": rate, "offset": offset(F.col("skey"), seed)})
-    out = out.withColumn("copies", (at(last) - at(last - 1)).cast("long"))
+    out = ranked.withColumn("copies", (at(last) - at(last - 1)).cast("long"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 

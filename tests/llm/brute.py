@@ -134,11 +134,12 @@ def mix(rows, weights=(3, 1, 2), share=1.5, most=2.0, seed="mix"):
     out = []
     for s in order:
         key = "1" if s is None else "0" + s
-        off = int(hashlib.md5((seed + key).encode()).hexdigest()[:8], 16) / 2**32
+        offs = [int(hashlib.md5(f"{seed}:{j}:{key}".encode()).hexdigest()[:8], 16) / 2**32 for j in range(64)]
         mine = sorted(((len(words(t)), d) for d, t, x in rows if x == s), key=lambda r: (-r[0], r[1] is None, (r[1] or 0) % 64, r[1] or 0))
         rate = target[s] / size[s] if size[s] else 0.0
-        for k, (n, d) in enumerate(mine, 1):
-            out.append((d, n, size[s], target[s], math.floor(k * rate + off) - math.floor((k - 1) * rate + off)))
+        copies = [[math.floor(k * rate + u) - math.floor((k - 1) * rate + u) for k in range(1, len(mine) + 1)] for u in offs]
+        chosen = min(copies, key=lambda c: abs(sum(x * n for x, (n, _) in zip(c, mine, strict=True)) - target[s]))
+        out += [(d, n, size[s], target[s], c) for (n, d), c in zip(mine, chosen, strict=True)]
     return out
 
 
