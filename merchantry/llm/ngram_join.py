@@ -4,15 +4,17 @@ Two documents link when 100 |A & B| >= 75 |A | B| for their sets of distinct 5-w
 document's component under links. No link is lost; each step only drops what cannot link:
 
 1. Documents with the same set are one node, named by the smallest id among them.
-2. A set of n shingles that links shares at least ceil(0.75 n) of them, so any two linked sets share a shingle within
-   the first n - ceil(0.75 n) + 1 of each, in any common order (here: by hash). Nodes whose prefix shares nothing go.
+2. A set of n shingles that links lacks at most n - ceil(0.75 n) of them in its partner. So of the m shingles whose
+   hash is in the lowest five sixteenths it shares at least m - n + ceil(0.75 n). Nodes that share fewer of these with all
+   other nodes together go; where that bound is not positive they stay.
 3. For the rest, whole sets are counted: a node less than 75% of whose shingles stand in another remaining set goes.
-   Then the common order is rarest first, and prefixes are taken anew. Nodes that share a prefix shingle, directly or
-   by way of others, form a bundle; links cross no bundle.
+   The common order is rarest first. Linked sets share a shingle within the first n - ceil(0.75 n) + 1 of each. Nodes
+   that share one of these prefix shingles, directly or by way of others, form a bundle; links cross no bundle.
 4. In a bundle, sets are ordered by frequency and stored in a radix trie. A set is probed by walking the trie with the
    overlap counted so far, which all sets below share. A subtree is pruned when the remaining lengths cannot reach the
-   overlap needed, or when all its sets are already in the probing set's component. Links found join components.
-5. A bundle over `block_items` shingles is cut into blocks. First each of its sets is compared with the bundle's hub
+   overlap needed, or when all its sets are already in the probing set's component. Links found join components. The walk
+   goes level by level, all open nodes of a level at once.
+5. A bundle over `block_items` (shingles, and SET_WEIGHT for each set) is cut into blocks. First each of its sets is compared with the bundle's hub
    (one set); those that link with it are one component, and blocks of only such sets need not meet each other. Each
    other pair of blocks is a task of its own. Memory is bounded by two blocks (a set longer than a block is a block).
 
@@ -35,7 +37,12 @@ from merchantry.llm import vectors
 from merchantry.llm.components import components
 from merchantry.session import cut
 
-BLOCK_ITEMS = 400_000
+BLOCK_ITEMS = 150_000
+#: What a set counts for in a block beside its shingles.
+SET_WEIGHT = 64
+SAMPLED = 0.3125
+#: Lists of ids up to this length are broadcast; longer ones are joined by shuffles.
+BROADCAST_IDS = 500_000
 
 
 def needed(n, num: int = 75, den: int = 100):
@@ -43,27 +50,41 @@ def needed(n, num: int = 75, den: int = 100):
     return -((-n * num) // den)
 
 
-def _prefixes(num: int, den: int, k: int):
+def _keys(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in vectors.pieces(batch.column(1)):
                 sets = vectors.shingle_sets(vectors.words(piece, lower=True), k)
-                sums = [(int(vectors.mix(s.view(np.uint64)).sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(s)) if len(s) else 0) for s in sets]
-                prefix = [s[: len(s) - needed(len(s), num, den) + 1] if len(s) else s for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(piece.first, piece.n),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([a for a, _ in sums], pa.int64()),
-                        pa.array([b for _, b in sums], pa.int64()),
-                        vectors.lists(prefix),
-                    ],
-                    names=["doc_id", "n", "k1", "k2", "prefix"],
-                )
+                sums = [int(vectors.mix(s.view(np.uint64)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
+                xors = [int(np.bitwise_xor.reduce(s)) if len(s) else 0 for s in sets]
+                columns = [pa.array(c, pa.int64()) for c in ([len(s) for s in sets], sums, xors)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, piece.n), *columns], names=["doc_id", "n", "k1", "k2"])
 
     return run
 
 
+def _low(k: int):
+    """The sampled shingles of each text, with the first key of its set."""
+    limit = np.int64(-(1 << 63) + int(SAMPLED * (1 << 64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in vectors.pieces(batch.column(1)):
+                sets = vectors.shingle_sets(vectors.words(piece, lower=True), k)
+                sums = [int(vectors.mix(s.view(np.uint64)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
+                low = [s[: np.searchsorted(s, limit)] for s in sets]
+                columns = [pa.array(c, pa.int64()) for c in ([len(s) for s in sets], sums)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, piece.n), *columns, vectors.lists(low)], names=["doc_id", "n", "k1", "low"])
+
+    return run
+
+
+def _with_ids(rows: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:
+    """A semi or anti join with a list of ids, which is broadcast only if it is short."""
+    ids = cut(ids)
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
+
+
 def _whole(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,48 +96,52 @@ def _whole(k: int):
 
 
 class Trie:
-    """A radix trie over sorted integer sequences, built from their lexicographic order. Node i covers the sequences
-    lo[i]..hi[i]-1; its edge is labels[i]."""
+    """A radix trie over sorted integer sequences, built from their lexicographic order.
+
+    Nodes are numbered by level, so that the children of a node are neighbours; all properties are arrays over nodes.
+    Node i covers sequences lo..hi-1, of which the first `ended` end with it; its edge is `edge` elements from `at`.
+    """
 
     def __init__(self, sequences: list[np.ndarray]) -> None:
-        self.labels: list[np.ndarray] = []
-        self.children: list[list[int]] = []
-        self.lo: list[int] = []
-        self.hi: list[int] = []
-        self.depth: list[int] = []  # elements up to the end of the edge
-        self.ends: list[list[int]] = []  # sequences that end here
-        common = [0]
-        for a, b in zip(sequences, sequences[1:], strict=False):
+        common = np.zeros(len(sequences), np.int64)
+        for i, (a, b) in enumerate(zip(sequences, sequences[1:], strict=False), 1):
             m = min(len(a), len(b))
             other = np.flatnonzero(a[:m] != b[:m])
-            common.append(int(other[0]) if len(other) else m)
-        lengths = [len(s) for s in sequences]
-        stack = [(0, len(sequences), 0, -1)]
-        while stack:
-            lo, hi, depth, parent = stack.pop()
-            end = lengths[lo] if hi - lo == 1 else min(lengths[lo], min(common[lo + 1 : hi]))
-            me = len(self.labels)
-            self.labels.append(sequences[lo][depth:end])
-            self.children.append([])
-            self.lo.append(lo)
-            self.hi.append(hi)
-            self.depth.append(end)
-            if parent >= 0:
-                self.children[parent].append(me)
-            begin = lo
-            while begin < hi and lengths[begin] == end:
-                begin += 1
-            self.ends.append(list(range(lo, begin)))
-            cut_at = [begin, *(i for i in range(begin + 1, hi) if common[i] == end), hi] if begin < hi else []
-            for x, y in zip(cut_at, cut_at[1:], strict=False):
-                stack.append((x, y, end, me))
-        size = np.array(lengths)
-        self.least = [int(size[x:y].min()) for x, y in zip(self.lo, self.hi, strict=True)]
-        self.most = [int(size[x:y].max()) for x, y in zip(self.lo, self.hi, strict=True)]
-
-
-def link_components(sets: list[np.ndarray], num: int = 75, den: int = 100, start: np.ndarray | None = None) -> np.ndarray:
-    """The component label of each set under links among them; start has labels that are known already."""
+            common[i] = other[0] if len(other) else m
+        size = np.array([len(s) for s in sequences])
+        edges, rows, level, filled = [], [], [(0, len(sequences), 0)], 0
+        while level:
+            below = []
+            for lo, hi, depth in level:
+                end = int(size[lo]) if hi - lo == 1 else int(min(size[lo], common[lo + 1 : hi].min()))
+                edges.append(sequences[lo][depth:end])
+                begin = lo
+                while begin < hi and size[begin] == end:
+                    begin += 1
+                cuts = [begin, *(begin + 1 + np.flatnonzero(common[begin + 1 : hi] == end)).tolist(), hi] if begin < hi else []
+                last = int(sequences[lo][end - 1]) if end else -1
+                rows.append((lo, hi, end, begin - lo, filled, end - depth, last, size[lo:hi].min(), size[lo:hi].max(), len(below), max(len(cuts) - 1, 0)))
+                filled += end - depth
+                below += [(x, y, end) for x, y in zip(cuts, cuts[1:], strict=False)]
+            # children are counted from the start of their level; the level follows the nodes so far
+            first = len(rows)
+            for i in range(first - len(level), first):
+                rows[i] = (*rows[i][:9], rows[i][9] + first, rows[i][10])
+            level = below
+        self.labels = np.concatenate(edges)
+        table = np.array(rows, np.int64).T
+        self.lo, self.hi, self.depth, self.ended, self.at, self.edge, self.last, self.least, self.most, self.child, self.children = table
+
+
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All numbers of the given ranges, one range after another."""
+    before = np.cumsum(counts) - counts
+    return np.repeat(starts - before, counts) + np.arange(counts.sum())
+
+
+def link_components(sets: list[np.ndarray], num: int = 75, den: int = 100, start: np.ndarray | None = None, stored: np.ndarray | None = None) -> np.ndarray:
+    """The component label of each set under links among them. start has labels that are known already. stored marks the
+    sets that go into the trie, the others probe it; without it all sets do both."""
     label = np.arange(len(sets)) if start is None else start.copy()
     filled = [i for i, s in enumerate(sets) if len(s)]
     if len(filled) < 2:
@@ -125,48 +150,56 @@ def link_components(sets: list[np.ndarray], num: int = 75, den: int = 100, start
     place = np.empty(len(values), np.int64)
     place[np.argsort(-counts, kind="stable")] = np.arange(len(values))
     ranked = {i: np.sort(place[np.searchsorted(values, sets[i])]) for i in filled}
-    order = sorted(filled, key=lambda i: ranked[i].astype(">i8").tobytes())
-    sequences = [ranked[i] for i in order]
-    trie, marks = Trie(sequences), np.zeros(len(values) + 1, bool)
-    labels = label[order]
-    for probe, own in enumerate(sequences):
-        if (labels == labels[probe]).all():
-            break
-        n = len(own)
-        marks[own] = True
-        below = np.searchsorted(own, np.arange(len(values) + 1)) if len(values) <= 4 * n else None
-        stack = [(0, 0)]
-        while stack:
-            node, overlap = stack.pop()
-            lo, hi = trie.lo[node], trie.hi[node]
-            mine = labels[probe]
-            if trie.most[node] * den < n * num or trie.least[node] * num > n * den or (labels[lo:hi] == mine).all():
-                continue
-            edge = trie.labels[node]
-            overlap += int(np.count_nonzero(marks[edge]))
-            if len(edge):
-                used = int(below[edge[-1] + 1]) if below is not None else int(np.searchsorted(own, edge[-1], "right"))
-                possible = overlap + min(n - used, trie.most[node] - trie.depth[node])
-                if possible * (num + den) < num * (n + trie.least[node]):
-                    continue
-            for s in trie.ends[node]:
-                if labels[s] != labels[probe] and den * overlap >= num * (n + len(sequences[s]) - overlap):
-                    labels[labels == labels[s]] = labels[probe]
-            stack.extend((child, overlap) for child in trie.children[node])
-        marks[own] = False
-    for i, s in zip(order, labels, strict=True):
-        label[i] = s
+    order = sorted((i for i in filled if stored is None or stored[i]), key=lambda i: ranked[i].astype(">i8").tobytes())
+    probes = order if stored is None else [i for i in filled if not stored[i]]
+    if not order or not probes:
+        return label
+    trie, order, marks = Trie([ranked[i] for i in order]), np.array(order), np.zeros(len(values), np.int64)
+    other = np.zeros(len(order) + 1, np.int64)
+    for probe in probes:
+        own, n = ranked[probe], len(ranked[probe])
+        marks[own] = 1
+        nodes, overlap, changed = np.zeros(1, np.int64), np.zeros(1, np.int64), True
+        while len(nodes):
+            if changed:
+                np.cumsum(label[order] != label[probe], out=other[1:])
+                changed = False
+            # subtrees of sets in the probe's component, or of lengths that cannot link, are pruned
+            open_ = (other[trie.hi[nodes]] > other[trie.lo[nodes]]) & (trie.most[nodes] * den >= n * num) & (trie.least[nodes] * num <= n * den)
+            nodes, overlap = nodes[open_], overlap[open_]
+            if not len(nodes):
+                break
+            edge = trie.edge[nodes]
+            seen = np.concatenate([[0], np.cumsum(marks[trie.labels[ranges(trie.at[nodes], edge)]])])
+            ends = np.cumsum(edge)
+            overlap = overlap + seen[ends] - seen[ends - edge]
+            # and those where the lengths that remain cannot reach the overlap needed
+            possible = overlap + np.minimum(n - np.searchsorted(own, trie.last[nodes], "right"), trie.most[nodes] - trie.depth[nodes])
+            open_ = possible * (num + den) >= num * (n + trie.least[nodes])
+            nodes, overlap = nodes[open_], overlap[open_]
+            linked = nodes[(trie.ended[nodes] > 0) & (den * overlap >= num * (n + trie.depth[nodes] - overlap))]
+            if len(linked):
+                met = np.unique(label[order[ranges(trie.lo[linked], trie.ended[linked])]])
+                met = met[met != label[probe]]
+                if len(met):
+                    label[np.isin(label, met)] = label[probe]
+                    changed = True
+            count = trie.children[nodes]
+            nodes, overlap = ranges(trie.child[nodes], count), np.repeat(overlap, count)
+        marks[own] = 0
     return label
 
 
 def _task(num: int, den: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        nodes = rows["node"].to_numpy()
+        nodes, hub = rows["node"].to_numpy(), rows["at_hub"].to_numpy(bool)
         start = np.arange(len(nodes))
-        known = np.flatnonzero(rows["at_hub"].to_numpy())
+        known = np.flatnonzero(hub)
         if len(known):
             start[known] = known[0]
-        label = link_components([np.asarray(x, np.int64) for x in rows["items"]], num, den, start)
+        x, y = int(rows["x"].iloc[0]), int(rows["y"].iloc[0])
+        stored = None if x == y else hub if y < 0 else rows["block"].to_numpy() == y
+        label = link_components([np.asarray(s, np.int64) for s in rows["items"]], num, den, start, stored)
         least = pd.Series(nodes).groupby(label).transform("min").to_numpy()
         moved = least != nodes
         return pd.DataFrame({"a": nodes[moved], "b": least[moved]})
@@ -188,9 +221,11 @@ def _linked_to_hub(num: int, den: int):
 
 def _bundle_links(sets: DataFrame, num: int, den: int, block_items: int) -> DataFrame:
     """Links (a, b) that span each bundle's components. sets: node, bundle, items."""
-    sized = sets.groupBy("bundle").agg(F.sum(F.size("items")).alias("weight"), F.min("node").alias("hub_node"))
+    weight = F.sum(F.size("items") + SET_WEIGHT)
+    sized = sets.groupBy("bundle").agg(weight.alias("weight"), F.min("node").alias("hub_node"))
     small = sets.join(sized.where(F.col("weight") <= block_items), "bundle")
-    small = small.select("bundle", "node", "items", F.lit(False).alias("at_hub"))
+    zero = [F.lit(0).alias(c) for c in ("block", "x", "y")]
+    small = small.select("bundle", "node", "items", F.lit(False).alias("at_hub"), *zero)
     links = small.groupBy("bundle").applyInPandas(_task(num, den), "a long, b long")
     large = cut(sized.where(F.col("weight") > block_items))
     if large.isEmpty():
@@ -203,7 +238,7 @@ def _bundle_links(sets: DataFrame, num: int, den: int, block_items: int) -> Data
     mine = mine.join(flags, "node")
     spans = mine.where("at_hub and node <> hub_node").select(F.col("node").alias("a"), F.col("hub_node").alias("b"))
     # Blocks by hash of the node; sets that linked with the hub have blocks of their own.
-    kinds = mine.groupBy("bundle", "at_hub").agg(F.sum(F.size("items")).alias("w"))
+    kinds = mine.groupBy("bundle", "at_hub").agg(weight.alias("w"))
     kinds = kinds.withColumn("blocks", F.ceil(F.col("w") / F.lit(block_items)).cast("int")).drop("w")
     dealt = mine.join(kinds, ["bundle", "at_hub"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     counts = kinds.groupBy("bundle").agg(
@@ -218,8 +253,8 @@ def _bundle_links(sets: DataFrame, num: int, den: int, block_items: int) -> Data
     with_hub = F.transform(at_hub, lambda y: F.struct(F.col("block").alias("x"), (-1 - y).alias("y")))
     as_hub = F.transform(others, lambda x: F.struct(x.alias("x"), (-1 - F.col("block")).alias("y")))
     pairs = F.when(F.col("at_hub"), as_hub).otherwise(F.concat(with_others, with_hub))
-    spread = dealt.select("bundle", "node", "items", "at_hub", F.explode(pairs).alias("p"))
-    spread = spread.select("bundle", "node", "items", "at_hub", "p.x", "p.y")
+    spread = dealt.select("bundle", "node", "items", "at_hub", "block", F.explode(pairs).alias("p"))
+    spread = spread.select("bundle", "node", "items", "at_hub", "block", "p.x", "p.y")
     crossed = spread.groupBy("bundle", "x", "y").applyInPandas(_task(num, den), "a long, b long")
     return links.union(spans).union(crossed)
 
@@ -228,25 +263,31 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), wo
     """doc_id, n_shingles, component_id for each row of docs."""
     num, den = similarity
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketch = cut(texts.mapInArrow(_prefixes(num, den, words), "doc_id long, n long, k1 long, k2 long, prefix array<long>"))
-    key = ["n", "k1", "k2"]
-    nodes = cut(sketch.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("node")).where("node is not null"))
-    # 2. Prefix shingles in hash order; one node for each set.
-    firsts = sketch.where("n > 0").join(nodes, [*(sketch[c] == nodes[c] for c in key), sketch.doc_id == nodes.node], "left_semi")
-    entries = firsts.select(F.col("doc_id").alias("node"), F.explode("prefix").alias("item")).repartition("item")
-    shared = entries.groupBy("item").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("item")
-    alive = cut(entries.join(shared, "item", "left_semi").select("node").distinct())
+    slim = cut(texts.mapInArrow(_keys(words), "doc_id long, n long, k1 long, k2 long"))
+    key, least = ["n", "k1", "k2"], F.ceil(F.col("n") * num / F.lit(den))
+    nodes = cut(slim.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("node")).where("node is not null"))
+    # 2. One node for each set; low shingles that two nodes share. Low shingles are taken from the texts anew: kept, they
+    # would be a quarter of the input. Counts of a shingle are summed before the shuffle, and where many nodes share one,
+    # its entries meet a single row, so that Spark can split them.
+    copies = slim.join(nodes, key).where("doc_id <> node").select("doc_id", "k1").distinct()
+    low = texts.where("doc_id is not null").mapInArrow(_low(words), "doc_id long, n long, k1 long, low array<long>").where("n > 0")
+    firsts = _with_ids(low, copies, ["doc_id", "k1"], "left_anti")
+    due = (F.size("low") - (F.col("n") - least)).cast("int")
+    entries = firsts.select(F.col("doc_id").alias("node"), due.alias("due"), F.explode_outer("low").alias("item"))
+    shared = entries.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1 and item is not null").select("item")
+    met = entries.where("due > 0").join(shared, "item", "left_semi").groupBy("node", "due").agg(F.count(F.lit(1)).alias("met"))
+    free = entries.where("due <= 0").select(F.col("node").alias("doc_id"))
+    alive = met.where("met >= due").select(F.col("node").alias("doc_id")).union(free).distinct()
     # 3. Whole sets of the nodes that are left.
-    chosen = texts.join(alive.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    sets = cut(chosen.mapInArrow(_whole(words), "node long, items array<long>").withColumn("n", F.size("items")).where("n > 0"))
-    entries = sets.select("node", "n", F.explode("items").alias("item")).repartition("item")
+    chosen = _with_ids(texts, alive, ["doc_id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    sets = cut(chosen.mapInArrow(_whole(words), "node long, items array<long>").withColumn("n", F.size("items"))).where("n > 0")
+    entries = sets.select("node", "n", F.explode("items").alias("item"))
     shared = entries.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    common = cut(entries.join(shared, "item"))
-    able = common.groupBy("node", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= F.ceil(F.col("n") * num / F.lit(den)))
     # Of n shingles, n - c are in no other set and come first; the prefix has n - ceil(0.75 n) + 1 - (n - c) shared ones.
-    able = able.withColumn("take", F.col("c") - F.ceil(F.col("n") * num / F.lit(den)) + 1)
-    ordered = common.join(able.select("node", "n", "take"), ["node", "n"]).groupBy("node", "n", "take").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("s"))
-    prefix = cut(ordered.select("node", F.explode(F.slice("s", F.lit(1), F.col("take").cast("int"))).alias("s")).select("node", F.col("s.item").alias("item")))
+    ordered = entries.join(shared, "item").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("s"))
+    take = (F.size("s") - least + 1).cast("int")
+    prefix = ordered.where(take > 0).select("node", F.explode(F.slice("s", F.lit(1), take)).alias("s"))
+    prefix = cut(prefix.select("node", F.col("s.item").alias("item")))
     leads = prefix.groupBy("item").agg(F.min("node").alias("lead"), F.max("node").alias("top")).where("lead < top")
     ties = prefix.join(leads, "item").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
     bundles = components(ties).withColumnRenamed("component", "bundle")
@@ -254,7 +295,7 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), wo
     found = components(links)
     named = nodes.join(found, "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))
     # The many copies of one set meet a single row of named: Spark splits such a partition of the join.
-    out = sketch.select("doc_id", *key).join(named, key, "left")
+    out = slim.join(named, key, "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
