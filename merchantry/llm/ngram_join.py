@@ -5,7 +5,7 @@ document's component under links. No link is lost; each step only drops what can
 
 1. Documents with the same set are one node, named by the smallest id among them.
 2. A set of n shingles that links lacks at most n - ceil(0.75 n) of them in its partner. So of the m shingles whose
-   hash is in the lowest five sixteenths it shares at least m - n + ceil(0.75 n). Nodes that share fewer of these with all
+   hash is in the lowest three eighths it shares at least m - n + ceil(0.75 n). Nodes that share fewer of these with all
    other nodes together go; where that bound is not positive they stay.
 3. For the rest, whole sets are counted: a node less than 75% of whose shingles stand in another remaining set goes.
    The common order is rarest first. Linked sets share a shingle within the first n - ceil(0.75 n) + 1 of each. Nodes
@@ -40,7 +40,7 @@ from merchantry.session import cut
 BLOCK_ITEMS = 150_000
 #: What a set counts for in a block beside its shingles.
 SET_WEIGHT = 64
-SAMPLED = 0.3125
+SAMPLED = 0.375
 #: Lists of ids up to this length are broadcast; longer ones are joined by shuffles.
 BROADCAST_IDS = 500_000
 
