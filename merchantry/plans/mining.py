@@ -62,11 +62,17 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cosine_sparse(spark: SparkSession, sf: str) -> DataFrame:
-    """Every hundredth document against all, by term counts without the most frequent words of a text."""
+    """Every hundredth document against all, by counts of the terms of 10 characters or more, as its SQL states it."""
     terms = vectors.term_rows(table(spark, sf, "documents"), "doc_id", F.filter(tx.token_stream(F.col("text")), lambda t: F.char_length(t) > 9))
     return vectors.similar(terms, terms.where("doc_id % 100 = 0"), "doc_id", 0.3).select("query", "doc_id", F.round("cosine", 6).alias("cosine"))
 
 
+def cosine_sparse_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every hundredth document against all, by counts of all terms."""
+    terms = vectors.term_rows(table(spark, sf, "documents"), "doc_id", tx.token_stream(F.col("text")))
+    return vectors.similar(terms, terms.where("doc_id % 100 = 0"), "doc_id", 0.3).select("query", "doc_id", F.round("cosine", 6).alias("cosine"))
+
+
 def cosine_dense(spark: SparkSession, sf: str) -> DataFrame:
     """Each vector with the first vector of its label; the build side is one row a label."""
     rows = table(spark, sf, "embeddings")
@@ -119,7 +125,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         strip_punct, tokenise, capitalised, salted_hashes, hour_marks, url_parts, ngram_freq, neighbour_entropy, word_accept,
-        vector_topk, cosine_sparse, cosine_dense, leader_groups, clean_title, extract_brand, dictionary_filter, event_windows,
+        vector_topk, cosine_sparse, cosine_sparse_all, cosine_dense, leader_groups, clean_title, extract_brand, dictionary_filter, event_windows,
     )
 }
 

@@ -7,8 +7,11 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from merchantry.functions import props
+from merchantry.functions import text as tx
 from merchantry.operators import grouping, lookups, merge, paging, tree, words
+from merchantry.plans import mining
 from merchantry.sources import files
+from merchantry.sources.tables import table
 from merchantry.streaming import incremental
 
 
@@ -107,6 +110,22 @@ def test_leader_groups(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 1}
 
 
+def test_cosines_of_all_terms(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", tx.token_stream(F.col("text")).alias("t")).collect()
+    bags = {r.doc_id: Counter(r.t) for r in docs}
+    norms = {k: math.sqrt(sum(n * n for n in b.values())) for k, b in bags.items()}
+    expected = {}
+    for q in (k for k in bags if k % 100 == 0):
+        for d in bags.keys() - {q}:
+            cos = sum(n * bags[d][t] for t, n in bags[q].items()) / ((norms[q] * norms[d]) or 1)
+            if cos >= 0.3:
+                expected[q, d] = cos
+    got = {(r.query, r.doc_id): r.cosine for r in mining.cosine_sparse_all(spark, sf).collect()}
+    assert got.keys() == expected.keys()
+    assert all(abs(got[k] - expected[k]) < 1e-6 for k in got)
+    assert len(got) > mining.cosine_sparse(spark, sf).count()
+
+
 def test_standard_item(spark):
     schema = "num_iid long, api_data struct<title string, nick string, cid long, price string, props_name string, item_imgs array<struct<url string>>>"
     raw = spark.createDataFrame([(1, ("t", "n", 7, "x9", "1:2:a:b", [("u1",), ("u2",)]))], schema)
