@@ -1,47 +1,76 @@
 """Leader clustering of items within categories.
 
 Items of a category come in order; each joins the most similar group among those within the price limit, if it is similar
-enough, or else leads a new group. The order matters, so a category's batch is one sequence. Copies (same vector and
-price) always follow the first of them, so a sequence holds distinct items only, and a batch bounds its length.
+enough, or else leads a new group. The order matters, so a category is one sequence. Copies (same vector and price) always
+follow the first of them, so a sequence holds distinct items only. It is taken in batches, and the groups so far (vector,
+mean price, count) are a checkpointed table that each batch continues (R05), so batches do not change the result.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from zlib import crc32
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merchantry.session import cut
 
-_OUT = "category string, item long, group_lead long"
+#: Rows of items have no mean; rows of groups, item being the lead, have one. parts: batches of the category.
+_OUT = "category string, item long, group_lead long, mean double, n long, terms array<string>, weights array<double>, parts long"
+_COLUMNS = [c.split()[0] for c in _OUT.split(", ")]
+
+
+def _prefix(own: dict, norm: float, threshold: float) -> list[str]:
+    """Terms of a vector, in a common order, until the others' norm is too small for the threshold: of two vectors that
+    are similar enough, the prefixes share a term."""
+    rest, least, out = norm * norm, (threshold * norm) ** 2 * (1 - 1e-9), []
+    for t in sorted(own, key=lambda t: (crc32(t.encode()), t)):
+        if rest < least:
+            break
+        out.append(t)
+        rest -= own[t] * own[t]
+    return out
 
 
 def _leaders(threshold: float, price_limit: float) -> object:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        leads: list[tuple[int, dict, float]] = []
-        means, counts, out = np.zeros(0), np.zeros(0), []
+    def run(state: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        leads, means, counts, index, out = [], [], [], {}, []
+        by_prefix = threshold > 0  # else vectors without a common term match too
+
+        def add(item: int, own: dict, mean: float, n: int) -> None:
+            norm = sum(w * w for w in own.values()) ** 0.5
+            for t in _prefix(own, norm, threshold) if by_prefix else ():
+                index.setdefault(t, []).append(len(leads))
+            leads.append((item, own, norm))
+            means.append(mean)
+            counts.append(n)
+
+        for item, terms, weights, mean, n in state.sort_values("item")[["item", "terms", "weights", "mean", "n"]].itertuples(index=False):
+            add(item, dict(zip(terms, weights, strict=True)), mean, n)
         for item, terms, weights, price in rows.sort_values("item")[["item", "terms", "weights", "price"]].itertuples(index=False):
             own = dict(zip(terms, weights, strict=True))
             norm = sum(w * w for w in own.values()) ** 0.5
             best, chosen = threshold, -1
-            high = np.maximum(means, price)
-            near = np.flatnonzero(np.where(high > 0, 1 - np.minimum(means, price) / np.where(high > 0, high, 1), 0) <= price_limit)
-            for g in near:
+            for g in sorted({g for t in _prefix(own, norm, threshold) for g in index.get(t, ())}) if by_prefix else range(len(leads)):
+                high = max(means[g], price)
+                if (1 - min(means[g], price) / high if high > 0 else 0) > price_limit:
+                    continue
                 _, other, other_norm = leads[g]
                 if norm and other_norm:
                     cos = sum(w * other.get(t, 0.0) for t, w in own.items()) / (norm * other_norm)
                     if cos >= best and (cos > best or chosen < 0):
                         best, chosen = cos, g
             if chosen < 0:
-                leads.append((item, own, norm))
-                means, counts = np.append(means, price), np.append(counts, 1)
+                add(item, own, price, 1)
                 chosen = len(leads) - 1
             else:
                 means[chosen] = (means[chosen] * counts[chosen] + price) / (counts[chosen] + 1)
                 counts[chosen] += 1
-            out.append((rows["category"].iloc[0], item, leads[chosen][0]))
-        return pd.DataFrame(out, columns=["category", "item", "group_lead"])
+            out.append((item, leads[chosen][0], None, None, None, None))
+        of = (state if len(state) else rows).iloc[0]
+        out += [(item, item, m, n, list(own), list(own.values())) for (item, own, _), m, n in zip(leads, means, counts, strict=True)]
+        return pd.DataFrame([(of["category"], *r, of["parts"]) for r in out], columns=_COLUMNS).astype({"n": "Int64"})
 
     return run
 
@@ -49,16 +78,25 @@ def _leaders(threshold: float, price_limit: float) -> object:
 def leader_groups(items: DataFrame, threshold: float = 0.995, price_limit: float = 0.3, batch: int = 10_000) -> DataFrame:
     """category, item, group_lead. items: category, item (the order), price, terms, weights (sorted by term).
 
-    A category's distinct items are taken in batches of `batch` in order; each batch groups within itself.
+    A category's distinct items are taken in batches of `batch` in order; each continues the groups of those before.
     """
     key = ["category", "terms", "weights", "price"]
     firsts = cut(items.groupBy(*key).agg(F.min("item").alias("item")))
     # Batches by quantile ranges of the order, so that no task sorts a whole category.
     sizes = firsts.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("lo"), F.max("item").alias("hi"))
     parts = F.greatest(F.ceil(F.col("n") / F.lit(batch)), F.lit(1))
-    dealt = firsts.join(sizes, "category").withColumn("part", F.floor((F.col("item") - F.col("lo")) * parts / (F.col("hi") - F.col("lo") + 1)))
-    grouped = dealt.groupBy("category", "part").applyInPandas(_leaders(threshold, price_limit), _OUT)
-    led = firsts.join(grouped.select(F.col("item"), "group_lead"), "item").select(*key, "group_lead")
+    sizes = cut(sizes.withColumn("parts", parts.cast("long")))
+    dealt = firsts.join(sizes, "category").withColumn("part", F.floor((F.col("item") - F.col("lo")) * F.col("parts") / (F.col("hi") - F.col("lo") + 1)))
+    dealt = dealt.select("category", "item", "terms", "weights", F.col("price").cast("double").alias("price"), "parts", "part")
+    state = items.sparkSession.createDataFrame([], _OUT)
+    grouped = None
+    for k in range(sizes.agg(F.max("parts")).first()[0] or 0):
+        rows = dealt.where(F.col("part") == k)
+        out = cut(state.groupBy("category").cogroup(rows.groupBy("category")).applyInPandas(_leaders(threshold, price_limit), _OUT))
+        state = out.where(F.col("mean").isNotNull() & (F.col("parts") > k + 1))
+        found = out.where("mean is null").select("item", "group_lead")
+        grouped = found if grouped is None else grouped.unionByName(found)
+    if grouped is None:
+        grouped = state.select("item", "group_lead")
+    led = firsts.join(grouped, "item").select(*key, "group_lead")
     return items.join(led, key).select("category", "item", "group_lead")
-
-

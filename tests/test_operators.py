@@ -110,6 +110,22 @@ def test_leader_groups(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 1}
 
 
+def test_leader_groups_continue_across_batches(spark):
+    names = [["a", "b"], ["a", "c"], ["b", "c", "d"]]
+    rows = [("cd"[i % 2], i, 10.0 + (i * 7) % 23 + i / 100, names[i % 3]) for i in range(60)]
+    items = spark.createDataFrame([(*r, [1.0] * len(r[3])) for r in rows], "category string, item long, price double, terms array<string>, weights array<double>")
+    groups, expected = [], {}
+    for category, item, price, terms in rows:
+        near = [g for g in groups if g[:2] == [category, terms] and 1 - min(g[2], price) / max(g[2], price) <= 0.3]
+        if near:
+            near[0][2:4] = [(near[0][2] * near[0][3] + price) / (near[0][3] + 1), near[0][3] + 1]
+        else:
+            groups.append([category, terms, price, 1, item])
+        expected[item] = (near or groups[-1:])[0][4]
+    for batch in (4, 10_000):
+        assert {r.item: r.group_lead for r in grouping.leader_groups(items, batch=batch).collect()} == expected
+
+
 def test_cosines_of_all_terms(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", tx.token_stream(F.col("text")).alias("t")).collect()
     bags = {r.doc_id: Counter(r.t) for r in docs}
