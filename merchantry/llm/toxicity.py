@@ -3,8 +3,8 @@
 The lexicon is learnt from labelled documents: whole words, and stems that begin words, which toxic documents hold much
 more often than others. A word of a text hits the lexicon as it is, by its beginning, or misspelled: a Levenshtein
 automaton of the word, for one edit, walks the trie of the terms, and each term on which both accept is a hit. Only words
-that share a term's first or second half can be one edit away, which a hash of either half finds beforehand; misspellings
-of a term count only where labelled clean documents have none.
+that share a term's first or second half can be one edit away, which a hash of either half finds beforehand. Words of
+labelled clean documents are no misspellings, only they themselves are left out; every whole word of the lexicon is met misspelled.
 
 Around each hit a window of text is read. Quotation marks around it or a word of reporting before it make it a quotation,
 which counts less; a word that addresses the reader makes it abuse, which counts more. A logistic model, fitted to the
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -100,8 +99,9 @@ class Automaton:
 class Lexicon:
     """Terms with weights; find() has the hits of a piece of texts."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], fuzzy: set[str]) -> None:
-        self.words, self.stems, self.fuzzy = words, stems, fuzzy
+    def __init__(self, words: dict[str, float], stems: dict[str, float], fuzzy: set[str], clean: frozenset[str] = frozenset()) -> None:
+        """clean: words that are no misspellings of the fuzzy terms."""
+        self.words, self.stems, self.fuzzy, self.clean = words, stems, fuzzy, clean
         self.automaton = Automaton(sorted(fuzzy))
         self.exact = self._table({w: x for w, x in words.items()})
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -137,7 +137,7 @@ class Lexicon:
     def near(self, t: Tokens) -> np.ndarray:
         """Numbers of the tokens that may be one edit from a fuzzy term."""
         size = t.ends - t.starts
-        some = np.flatnonzero((size >= max(self.bounds[0], 2)) & (size <= self.bounds[1]))
+        some = np.flatnonzero((size >= max(self.bounds[0], 1)) & (size <= self.bounds[1]))
         out = np.zeros(len(some), bool)
         for tables, head in ((self.heads, True), (self.tails, False)):
             for n, table in tables.items():
@@ -163,7 +163,8 @@ class Lexicon:
                 key = int(hashes[i])
                 if weight[i] == 0 and key not in self.memo:
                     word = t.data[t.starts[i] : t.ends[i]].tobytes().decode("utf-8", "replace")
-                    self.memo[key] = MISSPELLED * max([0.0, *(self.words[m] for m in self.automaton.within_one(word))])
+                    near = [] if word in self.clean else self.automaton.within_one(word)
+                    self.memo[key] = MISSPELLED * max([0.0, *(self.words[m] for m in near)])
                 if weight[i] == 0:
                     weight[i] = self.memo[key]
         hit = np.flatnonzero(weight)
@@ -222,18 +223,22 @@ def learn_terms(sample: DataFrame, least_docs: int, least_log_ratio: float, most
     return {r.term[1:]: r.x for r in rows if r.term[0] == "w"}, stems
 
 
-def _misspelled(words: dict[str, float], stems: dict[str, float], fuzzy: set[str]) -> object:
+def _near_words(words: dict[str, float], fuzzy: set[str]) -> object:
+    """The distinct words that are one edit from a fuzzy term and none themselves."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, seen = Lexicon(words, stems, fuzzy), Counter()
+        lexicon, seen, tried = Lexicon(words, {}, fuzzy), set(), set()
         for batch in batches:
             for piece in vectors.pieces(batch.column(1)):
                 t = tokens(piece)
                 for i in lexicon.near(t):
                     word = t.data[t.starts[i] : t.ends[i]].tobytes().decode("utf-8", "replace")
-                    if word not in words:
-                        seen.update(lexicon.automaton.within_one(word))
+                    if word not in words and word not in tried:
+                        tried.add(word)
+                        if lexicon.automaton.within_one(word):
+                            seen.add(word)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(seen))], names=["word"])
 
     return run
 
@@ -251,20 +256,20 @@ def _sums(lexicon: tuple) -> object:
 
 
 def fit(sample: DataFrame, toxic_share: float, least_docs: int = 4, least_log_ratio: float = 3.0, most_terms: int = 400) -> tuple[tuple, np.ndarray] | None:
-    """((words, stems, fuzzy terms), weights) of a bounded sample; None where a label is missing."""
+    """((words, stems, fuzzy terms, clean near-words), weights) of a bounded sample; None where a label is missing."""
     if not 0 < toxic_share < 1:
         return None
     words, stems = learn_terms(sample, least_docs, least_log_ratio, most_terms)
-    fuzzy = {w for w in words if len(w) >= 5 and w.isalpha()}
-    clean = sample.where("label = 0").select("doc_id", "text", "label").mapInArrow(_misspelled(words, stems, fuzzy), "term string, n long")
-    fuzzy -= {r.term for r in clean.select("term").distinct().collect()}  # at most most_terms
-    rows = sample.select("doc_id", "text", "label").mapInArrow(_sums((words, stems, fuzzy)), "label int, x array<double>").collect()
+    fuzzy = set(words)
+    near = sample.where("label = 0").select("doc_id", "text", "label").mapInArrow(_near_words(words, fuzzy), "word string")
+    clean = frozenset(r.word for r in near.distinct().collect())  # of a bounded sample, beside at most most_terms terms
+    rows = sample.select("doc_id", "text", "label").mapInArrow(_sums((words, stems, fuzzy, clean)), "label int, x array<double>").collect()
     y, x = np.array([r.label for r in rows], float), np.array([r.x for r in rows])
     weights = logistic(x, y, ridge=1e-4)
     share = y.mean()
     # The sample holds both labels in other shares than the labels do.
     weights[-1] += math.log(toxic_share / (1 - toxic_share)) - math.log(share / (1 - share))
-    return (words, stems, fuzzy), weights
+    return (words, stems, fuzzy, clean), weights
 
 
 def _scored(model: tuple[tuple, np.ndarray] | None) -> object:

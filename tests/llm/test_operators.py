@@ -279,6 +279,15 @@ def test_misspelled_and_quoted_terms():
     assert toxicity.text_sums(lexicon, piece_of("stapled cupid"))[0][1] == 0
 
 
+def test_clean_near_words_leave_the_terms_fuzzy(spark):
+    rows = [(i, f"tall moron and scum b{i}x here", 1) for i in range(25)] + [(100 + i, f"tall oron and here c{i}x", 0) for i in range(25)]
+    model, _ = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"), 0.5)
+    lexicon = toxicity.Lexicon(*model)
+    hits = lambda text: toxicity.text_sums(lexicon, piece_of(text))[0][1] > 0
+    assert all(hits(f"tall {w} here") for w in ("moron", "m0ron", "miron", "s-cum", "skum"))
+    assert not any(hits(f"tall {w} here") for w in ("oron", "and"))
+
+
 @pytest.mark.parametrize(("module", "label", "folds", "held_out", "least"), [(toxicity, "toxic", 3, 1, 0.93), (pairwise_quality, "quality", 4, 2, 0.95)])
 def test_held_out_accuracy(spark, module, label, folds, held_out, least):
     import zlib
