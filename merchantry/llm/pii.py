@@ -2,7 +2,7 @@
 
 Base entities are those of four fixed expressions (email, ip, card, phone), with their checks. Each stands in a lexical
 pattern: the word before it, and the two words before it. Together with the other identifier-shaped mentions of the
-texts (words with a digit or @ that overlap no base entity) they form a graph of patterns and instances. Rounds score it:
+texts (words with a digit, @, (at) or [at], cut where base entities stand, chains of them and each word of a chain) they form a graph of patterns and instances. Rounds score it:
 a pattern's confidence in a kind is the summed confidence of its distinct instances over their number, if at least
 `support` of them are known; an instance's confidence is the chance that not all its patterns err. Mentions of the right
 shape that end at `least` or more are further entities. Base entities always stay.
@@ -32,7 +32,8 @@ BASE = {
 }
 #: What a text must have for the expression to be tried at all.
 _TRIGGER = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-MENTION = rf"(?<!{_WORD})(?={_WORD}*[0-9@]){_WORD}++(?:\x20(?={_WORD}*[0-9]){_WORD}++)*+"
+_SIGN = r"(?:[0-9@]|\(at\)|\[at\])"
+MENTION = rf"(?<!{_WORD})(?={_WORD}*{_SIGN}){_WORD}++(?:\x20(?={_WORD}*[0-9]){_WORD}++)*+"
 #: Shapes of further entities, after outer punctuation is cut off.
 SHAPES = {
     "email": r"^[A-Za-z0-9._%+-]+(?:@|\(at\)|\[at\])[A-Za-z0-9.-]+$",
@@ -96,20 +97,52 @@ def _shape(value: Column) -> Column:
     return out
 
 
+def _pieces(mentions: Column, base: Column) -> Column:
+    """What base spans leave of the mentions: each piece as a whole, and its words where it has several."""
+    none = F.array().cast(_SPAN)
+    span = lambda m, a, b: F.struct(a.alias("start"), b.alias("end"), F.substring(m["value"], (a - m["start"] + 1).cast("int"), (b - a).cast("int")).alias("value"))
+
+    def clear(m: Column) -> Column:
+        cuts = F.array_sort(F.transform(F.filter(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])), lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))))
+        cuts = F.concat(cuts, F.array(F.struct(m["end"].alias("start"), m["end"].alias("end"))))
+        zero = F.struct(m["start"].alias("at"), none.alias("spans"))
+
+        def step(acc: Column, c: Column) -> Column:
+            more = F.when(acc["at"] < c["start"], F.array(span(m, acc["at"], c["start"]))).otherwise(none)
+            return F.struct(F.greatest(acc["at"], c["end"]).alias("at"), F.concat(acc["spans"], more).alias("spans"))
+
+        return F.aggregate(cuts, zero, step)["spans"]
+
+    def words(p: Column) -> Column:
+        zero = F.struct(p["start"].alias("at"), none.alias("spans"))
+
+        def step(acc: Column, w: Column) -> Column:
+            end = acc["at"] + F.char_length(w)
+            own = F.struct(acc["at"].alias("start"), end.alias("end"), w.alias("value"))
+            return F.struct((end + 1).alias("at"), F.concat(acc["spans"], F.array(own)).alias("spans"))
+
+        return F.aggregate(F.split(p["value"], " "), zero, step)["spans"]
+
+    mark = lambda spans, whole: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(whole).alias("whole")))
+    signed = lambda spans: F.filter(spans, lambda s: F.regexp_like(s["value"], F.lit(_SIGN)))
+    pieces = signed(F.flatten(F.transform(mentions, clear)))
+    chains = F.filter(pieces, lambda p: F.contains(F.trim(p["value"]), F.lit(" ")))
+    return F.concat(mark(pieces, True), mark(signed(F.flatten(F.transform(chains, words))), False))
+
+
 def base_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, an array of valid spans for each kind, and the mentions that overlap none of them, each with
-    the text before it."""
+    """doc_id, text_hash, an array of valid spans for each kind, and what they leave of the mentions, each with the text
+    before it. whole: it is not a word of a longer one."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     for kind in KINDS:
         rows = rows.withColumn(kind, _only_valid(kind, _found(F.col("text"), BASE[kind], _TRIGGER[kind])))
-    rows = rows.withColumn("mention", _found(F.col("text"), MENTION, "[0-9@]"))
+    rows = rows.withColumn("mention", _found(F.col("text"), MENTION, _SIGN))
     base = F.concat(*KINDS)
-    clear = lambda m: ~F.exists(F.col("base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
     lead = lambda s: F.substring(F.col("text"), F.greatest(s["start"] - 79, F.lit(1)).cast("int"), F.least(s["start"], F.lit(80)).cast("int"))
-    placed = lambda kind, c: F.transform(c, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), lead(s).alias("before")))
-    rows = rows.withColumn("base", base).withColumn("mention", F.filter("mention", clear))
-    seen = F.concat(*(placed(k, F.col(k)) for k in KINDS), placed(None, F.col("mention")))
+    placed = lambda kind, c, whole: F.transform(c, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), lead(s).alias("before"), whole(s).alias("whole")))
+    rows = rows.withColumn("base", base).withColumn("mention", _pieces(F.col("mention"), F.col("base")))
+    seen = F.concat(*(placed(k, F.col(k), lambda s: F.lit(True)) for k in KINDS), placed(None, F.col("mention"), lambda s: s["whole"]))
     return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), *KINDS, seen.alias("seen"))
 
 
@@ -132,7 +165,7 @@ def _mentions(found: DataFrame) -> DataFrame:
     rows = rows.withColumn("last", F.transform(last, lambda w: F.substring(w, -24, 24)))
     patterns = F.array(F.concat(F.lit("1:"), F.element_at("last", 2)), F.concat(F.lit("2:"), F.element_at("last", 1), F.lit(" "), F.element_at("last", 2)))
     shape = F.when(own, F.col("kind")).otherwise(_shape(F.col("value")))
-    return rows.select("doc_id", "text_hash", "start", "end", F.xxhash64(F.lower("value")).alias("instance"), F.col("kind").alias("base"), shape.alias("kind"), patterns.alias("patterns")).where("end > start")
+    return rows.select("doc_id", "text_hash", "start", "end", F.xxhash64(F.lower("value")).alias("instance"), F.col("kind").alias("base"), shape.alias("kind"), patterns.alias("patterns"), "whole").where("end > start and (whole or kind is not null)")
 
 
 def discovered(found: DataFrame, support: int = 5, least: float = 0.9, rounds: int = 3) -> DataFrame:
@@ -167,6 +200,9 @@ def find(docs: DataFrame, support: int = 5, least: float = 0.9, rounds: int = 3,
     order = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind")).cast("int") - 1
     more = discovered(found, support, least, rounds).groupBy("doc_id", "text_hash")
     more = more.agg(F.collect_set(F.struct(order.alias("o"), "start", "end")).alias("more"))
+    # Of a chain and its words, where both are taken, the chain stays.
+    outer = lambda s, t: (t["start"] <= s["start"]) & (s["end"] <= t["end"]) & (t["end"] - t["start"] > s["end"] - s["start"])
+    more = more.withColumn("more", F.filter("more", lambda s: ~F.exists(F.col("more"), lambda t: outer(s, t))))
     more = more.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "more")
     joined = found.join(more, found.doc_id.eqNullSafe(F.col("id")) & (found.text_hash == F.col("hash")), "left")
     place = lambda o, k: F.transform(k, lambda s: F.struct(F.lit(o).alias("o"), s["start"].alias("start"), s["end"].alias("end")))

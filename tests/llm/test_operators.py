@@ -97,6 +97,19 @@ def test_pii_discovers_by_context(spark):
     assert sorted(got, key=str) == sorted([(100, "phone:13:27", 0), (100, "phone:13:27", 0), (None, "phone:10:24", 0)], key=str)
 
 
+def test_pii_discovers_beside_base_entities_and_in_chains(spark):
+    rows = [(i, f"call my phone: +1 (2{i}4) 555-12{i}4 now") for i in range(10, 20)]
+    rows += [(i, f"write to my inbox: user{i}@example.com now") for i in range(20, 30)]
+    rows += [(100, "my inbox: john(at)example.com ok"), (101, "my inbox: eve[at]site.org ok")]
+    rows += [(102, "my phone: 020-7946-0958 a@b.com"), (103, "my phone: 5551234567 20241128 77"), (104, "my phone: 020 7946 0958 ok")]
+    # Beside a base entity: the words before the second number are the first address, in all texts.
+    rows += [(i, f"mail a@b.com +1 (2{i}4) 555-12{i}4 now") for i in range(30, 40)] + [(105, "mail a@b.com 020-7946-0959")]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).where("n_discovered > 0").collect()}
+    assert got == {
+        100: "email:10:29", 101: "email:10:25", 102: "email:24:31,phone:10:23", 103: "phone:10:20", 104: "phone:10:23", 105: "email:5:12,phone:13:26",
+    }
+
+
 def test_pii_of_nothing(nothing):
     assert pii.find(nothing).count() == 0
 
