@@ -56,6 +56,24 @@ def word_accept(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("word", "freq", F.round("prob", 10).alias("prob"), F.round("entropy", 6).alias("entropy"))
 
 
+def ngram_freq_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of up to 5 tokens, all of them, as the source counts."""
+    freq = words.frequencies(table(spark, sf, "documents"), tx.token_stream(F.col("text")), 5)
+    return freq.select("word", "len", "freq", F.round("prob", 10).alias("prob"))
+
+
+def neighbour_entropy_all(spark: SparkSession, sf: str) -> DataFrame:
+    runs = words.grams(table(spark, sf, "documents"), tx.token_stream(F.col("text")), 5)
+    both = words.entropy(runs, "left", True).join(words.entropy(runs, "right", False), "word")
+    return both.select("word", F.round("entropy_left", 6).alias("entropy_left"), F.round("entropy_right", 6).alias("entropy_right"))
+
+
+def word_accept_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of up to 5 tokens under the source's thresholds, which are the defaults."""
+    found = words.discover(table(spark, sf, "documents"), tx.token_stream(F.col("text")))
+    return found.select("word", "freq", F.round("prob", 10).alias("prob"), F.round("entropy", 6).alias("entropy"))
+
+
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     terms = vectors.term_rows(table(spark, sf, "documents"), "doc_id", tx.token_stream(F.col("text")))
     return vectors.top_terms(terms, "doc_id", 20)
@@ -125,6 +143,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         strip_punct, tokenise, capitalised, salted_hashes, hour_marks, url_parts, ngram_freq, neighbour_entropy, word_accept,
+        ngram_freq_all, neighbour_entropy_all, word_accept_all,
         vector_topk, cosine_sparse, cosine_sparse_all, cosine_dense, leader_groups, clean_title, extract_brand, dictionary_filter, event_windows,
     )
 }

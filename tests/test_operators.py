@@ -142,6 +142,34 @@ def test_cosines_of_all_terms(spark, sf):
     assert len(got) > mining.cosine_sparse(spark, sf).count()
 
 
+def test_mining_of_runs_up_to_five(spark, sf):
+    docs = [r.t for r in table(spark, sf, "documents").select(tx.token_stream(F.col("text")).alias("t")).collect()]
+    freq, sides = Counter(), ({}, {})
+    for t in docs:
+        for i in range(len(t)):
+            for k in range(1, min(5, len(t) - i) + 1):
+                word = " ".join(t[i : i + k])
+                freq[word] += 1
+                for side, at in zip(sides, (i - 1, i + k), strict=True):
+                    near = side.setdefault(word, Counter())
+                    if 0 <= at < len(t):
+                        near[t[at]] += 1
+    total = sum(freq.values())
+    got = {r.word: (r.len, r.freq, r.prob) for r in mining.ngram_freq_all(spark, sf).collect()}
+    assert {w: g[1] for w, g in got.items()} == freq
+    assert all(g[0] == w.count(" ") + 1 and abs(g[2] - freq[w] / total) < 1e-9 for w, g in got.items())
+    entropy = lambda c: -sum(n / c.total() * math.log(n / c.total()) for n in c.values())
+    both = {r.word: r.entropy_right for r in mining.neighbour_entropy_all(spark, sf).collect()}
+    assert both.keys() == freq.keys() and all(abs(h - entropy(sides[1][w])) < 2e-6 for w, h in both.items())
+    expected = []
+    for w, n in freq.items():
+        t, least = w.split(" "), min(entropy(side[w]) for side in sides)
+        split = min((freq[" ".join(t[:i])] * freq[" ".join(t[i:])] / total**2 for i in range(1, len(t))), default=1)
+        if least >= 2.8 and ((len(t) > 1 and n >= 10 and n / total / split >= 200) or (len(t) == 1 and len(w) > 1 and n >= 300)):
+            expected.append((n, round(least, 4)))
+    assert sorted((r.freq, round(r.entropy, 4)) for r in mining.word_accept_all(spark, sf).collect()) == sorted(expected)
+
+
 def test_standard_item(spark):
     schema = "num_iid long, api_data struct<title string, nick string, cid long, price string, props_name string, item_imgs array<struct<url string>>>"
     raw = spark.createDataFrame([(1, ("t", "n", 7, "x9", "1:2:a:b", [("u1",), ("u2",)]))], schema)
