@@ -6,7 +6,8 @@ document's component under links. No link is lost; each step only drops what can
 1. Documents with the same set are one node, named by the smallest id among them.
 2. A set of n shingles that links lacks at most n - ceil(0.75 n) of them in its partner. So of the m shingles whose
    hash is in the lowest three eighths it shares at least m - n + ceil(0.75 n). Nodes that share fewer of these with all
-   other nodes together go; where that bound is not positive they stay.
+   other nodes together go; where that bound is not positive they stay. Shingles are looked at in chunks first: from a
+   chunk, a shingle goes out once, so a very common one is as many rows as there are chunks.
 3. For the rest, whole sets are counted: a node less than 75% of whose shingles stand in another remaining set goes.
    The common order is rarest first. Linked sets share a shingle within the first n - ceil(0.75 n) + 1 of each. Nodes
    that share one of these prefix shingles, directly or by way of others, form a bundle; links cross no bundle.
@@ -14,9 +15,11 @@ document's component under links. No link is lost; each step only drops what can
    overlap counted so far, which all sets below share. A subtree is pruned when the remaining lengths cannot reach the
    overlap needed, or when all its sets are already in the probing set's component. Links found join components. The walk
    goes level by level, all open nodes of a level at once.
-5. A bundle over `block_items` (shingles, and SET_WEIGHT for each set) is cut into blocks. First each of its sets is compared with the bundle's hub
-   (one set); those that link with it are one component, and blocks of only such sets need not meet each other. Each
-   other pair of blocks is a task of its own. Memory is bounded by two blocks (a set longer than a block is a block).
+5. A bundle over `block_items` (shingles, and SET_WEIGHT for each set) is cut into blocks. First each of its sets is
+   compared with the bundle's hub (one set); those that link with it are one component, and blocks of only such sets need
+   not meet each other. Blocks hold sets of one level of sizes, levels being as wide as linked sizes may differ, and meet
+   those of their own and the neighbouring levels. Each pair of blocks is a task. Memory is bounded by two blocks (a set
+   longer than a block is a block).
 
 Defined results: null and blank texts have no shingles, link with nothing and are their own component; one to four words
 are one shingle; rows that repeat an id are one vertex, each with its own row in the result; rows with a null id get the
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from merchantry.llm import vectors
@@ -43,6 +46,12 @@ SET_WEIGHT = 64
 SAMPLED = 0.375
 #: Lists of ids up to this length are broadcast; longer ones are joined by shuffles.
 BROADCAST_IDS = 500_000
+#: The same for the shingles of hubs.
+BROADCAST_ITEMS = 4_000_000
+#: Sampled shingles that one Python task looks at together, and the bits of them that are compared in the first filter.
+#: Two shingles that agree in these bits keep a node at most, and none is lost.
+CHUNK_ITEMS = 2_000_000
+ITEM_BITS = 48
 
 
 def needed(n, num: int = 75, den: int = 100):
@@ -85,6 +94,48 @@ def _with_ids(rows: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataF
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
 
 
+def _marks(num: int, den: int):
+    """Rows (item, node, w) of a first filter. The sampled shingles of some `CHUNK_ITEMS` are looked at together: one that
+    a single node has is (item, node, 1); of one that more have, only (item, null, 2) leaves, and their number stays with
+    each node as what it met. A node's own row has in w, times 4, what it met less what it is due."""
+
+    def rows(nodes: np.ndarray, sizes: np.ndarray, lows: list[np.ndarray]) -> pa.RecordBatch:
+        count = np.array([len(s) for s in lows], np.int64)
+        items = np.concatenate(lows) & ((1 << ITEM_BITS) - 1)
+        owner = np.repeat(np.arange(len(lows)), count)
+        _, place, often = np.unique(items, return_inverse=True, return_counts=True)
+        alone = often[place] == 1
+        met = np.bincount(owner[~alone], minlength=len(lows))
+        due = count - (sizes - needed(sizes, num, den))
+        several = np.unique(items[~alone])
+        at = vectors.mix(nodes.view(np.uint64)).view(np.int64) & ((1 << ITEM_BITS) - 1)
+        named = np.concatenate([nodes[owner[alone]], np.zeros(len(several), np.int64), nodes])
+        absent = np.zeros(len(named), bool)
+        absent[alone.sum() : alone.sum() + len(several)] = True
+        w = np.concatenate([np.ones(alone.sum(), np.int64), np.full(len(several), 2), 4 * (met - due)]).astype(np.int32)
+        columns = [pa.array(np.concatenate([items[alone], several, at])), pa.array(named, mask=absent), pa.array(w)]
+        return pa.RecordBatch.from_arrays(columns, names=["item", "node", "w"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, sizes, lows, held = [], [], [], 0
+        for batch in batches:
+            ids, n = (batch.column(c).to_numpy() for c in (0, 1))
+            low = batch.column(2)
+            ends, flat = low.offsets.to_numpy(), low.values.to_numpy()
+            for i in range(batch.num_rows):
+                nodes.append(ids[i])
+                sizes.append(n[i])
+                lows.append(flat[ends[i] : ends[i + 1]])
+                held += len(lows[-1])
+                if held >= CHUNK_ITEMS:
+                    yield rows(np.array(nodes), np.array(sizes), lows)
+                    nodes, sizes, lows, held = [], [], [], 0
+        if nodes:
+            yield rows(np.array(nodes), np.array(sizes), lows)
+
+    return run
+
+
 def _whole(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,7 +249,7 @@ def _task(num: int, den: int):
         if len(known):
             start[known] = known[0]
         x, y = int(rows["x"].iloc[0]), int(rows["y"].iloc[0])
-        stored = None if x == y else hub if y < 0 else rows["block"].to_numpy() == y
+        stored = None if x == y else rows["code"].to_numpy() == y
         label = link_components([np.asarray(s, np.int64) for s in rows["items"]], num, den, start, stored)
         least = pd.Series(nodes).groupby(label).transform("min").to_numpy()
         moved = least != nodes
@@ -214,7 +265,7 @@ def _linked_to_hub(num: int, den: int):
             for own, hub in zip(rows["items"], rows["hub"], strict=True):
                 same = len(np.intersect1d(np.asarray(own), np.asarray(hub), assume_unique=True))
                 got.append(den * same >= num * (len(own) + len(hub) - same))
-            yield rows[["node"]].assign(at_hub=got)
+            yield rows.drop(columns="hub").assign(at_hub=got)
 
     return run
 
@@ -222,39 +273,38 @@ def _linked_to_hub(num: int, den: int):
 def _bundle_links(sets: DataFrame, num: int, den: int, block_items: int) -> DataFrame:
     """Links (a, b) that span each bundle's components. sets: node, bundle, items."""
     weight = F.sum(F.size("items") + SET_WEIGHT)
-    sized = sets.groupBy("bundle").agg(weight.alias("weight"), F.min("node").alias("hub_node"))
-    small = sets.join(sized.where(F.col("weight") <= block_items), "bundle")
-    zero = [F.lit(0).alias(c) for c in ("block", "x", "y")]
+    sized = cut(sets.groupBy("bundle").agg(weight.alias("weight"), F.min("node").alias("hub_node")))
+    large = sized.where(F.col("weight") > block_items).select("bundle", "hub_node")
+    n_large = large.count()  # at most all items / block_items
+    short = n_large <= BROADCAST_IDS
+    small = sets.join(F.broadcast(large) if short else large, "bundle", "left_anti")
+    zero = [F.lit(0).cast("long").alias(c) for c in ("code", "x", "y")]
     small = small.select("bundle", "node", "items", F.lit(False).alias("at_hub"), *zero)
     links = small.groupBy("bundle").applyInPandas(_task(num, den), "a long, b long")
-    large = cut(sized.where(F.col("weight") > block_items))
-    if large.isEmpty():
+    if not n_large:
         return links
-    # Few bundles are large, at most all items / block_items; their members are spread anew before the hub meets them.
-    mine = sets.join(large, "bundle")
-    hubs = mine.where("node = hub_node").select(F.col("bundle").alias("hb"), F.col("items").alias("hub"))
-    met = mine.join(hubs, F.col("bundle") == F.col("hb")).select("node", "items", "hub")
-    flags = cut(met.mapInPandas(_linked_to_hub(num, den), "node long, at_hub boolean"))
-    mine = mine.join(flags, "node")
+    mine = sets.join(F.broadcast(large) if short else large, "bundle")
+    hubs = cut(mine.where("node = hub_node").select(F.col("bundle").alias("hb"), F.col("items").alias("hub")))
+    held = hubs.agg(F.sum(F.size("hub"))).first()[0]
+    met = mine.join(F.broadcast(hubs) if held <= BROADCAST_ITEMS else hubs, F.col("bundle") == F.col("hb"))
+    met = met.select("bundle", "node", "items", "hub_node", "hub")
+    mine = cut(met.mapInPandas(_linked_to_hub(num, den), "bundle long, node long, items array<long>, hub_node long, at_hub boolean"))
     spans = mine.where("at_hub and node <> hub_node").select(F.col("node").alias("a"), F.col("hub_node").alias("b"))
-    # Blocks by hash of the node; sets that linked with the hub have blocks of their own.
-    kinds = mine.groupBy("bundle", "at_hub").agg(weight.alias("w"))
-    kinds = kinds.withColumn("blocks", F.ceil(F.col("w") / F.lit(block_items)).cast("int")).drop("w")
-    dealt = mine.join(kinds, ["bundle", "at_hub"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    counts = kinds.groupBy("bundle").agg(
-        F.coalesce(F.max(F.when(F.col("at_hub"), F.col("blocks"))), F.lit(0)).alias("n_hub"),
-        F.coalesce(F.max(F.when(~F.col("at_hub"), F.col("blocks"))), F.lit(0)).alias("n_other"),
-    )
-    dealt = dealt.join(counts, "bundle")
-    # A pair is (x, y) with x a block of other sets: another block y >= x of them, or a block at the hub (numbered -1, -2, ...).
-    others = F.when(F.col("n_other") > 0, F.sequence(F.lit(0), F.col("n_other") - 1)).otherwise(F.array().cast("array<int>"))
-    at_hub = F.when(F.col("n_hub") > 0, F.sequence(F.lit(0), F.col("n_hub") - 1)).otherwise(F.array().cast("array<int>"))
-    with_others = F.transform(others, lambda y: F.struct(F.least(F.col("block"), y).alias("x"), F.greatest(F.col("block"), y).alias("y")))
-    with_hub = F.transform(at_hub, lambda y: F.struct(F.col("block").alias("x"), (-1 - y).alias("y")))
-    as_hub = F.transform(others, lambda x: F.struct(x.alias("x"), (-1 - F.col("block")).alias("y")))
-    pairs = F.when(F.col("at_hub"), as_hub).otherwise(F.concat(with_others, with_hub))
-    spread = dealt.select("bundle", "node", "items", "at_hub", "block", F.explode(pairs).alias("p"))
-    spread = spread.select("bundle", "node", "items", "at_hub", "block", "p.x", "p.y")
+    # Sets of sizes a <= b link only if b <= a den / num: in levels of that width, a set meets its own and the next two.
+    width = float(np.log(den / num * 1.0001))
+    mine = mine.withColumn("level", F.floor(F.log(F.size("items").cast("double")) / width).cast("int"))
+    kinds = mine.groupBy("bundle", "level", "at_hub").agg(F.ceil(weight / F.lit(block_items)).cast("int").alias("blocks"))
+    kinds = cut(kinds)
+    fit = F.broadcast(kinds) if kinds.count() <= BROADCAST_IDS else kinds
+    code = lambda level, hub, block: F.shiftleft(level.cast("long"), 33) + F.shiftleft(hub.cast("long"), 32) + block
+    dealt = mine.join(fit, ["bundle", "level", "at_hub"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("bundle", "node", "items", "at_hub", "level", code(F.col("level"), F.col("at_hub"), F.col("block")).alias("code"))
+    dealt = dealt.withColumn("near", F.explode(F.array(*(F.col("level") + d for d in (-1, 0, 1)))))
+    other = fit.select(F.col("bundle").alias("ob"), F.col("level").alias("ol"), F.col("at_hub").alias("oh"), F.col("blocks").alias("on"))
+    # Sets that linked with the hub are one component: their blocks need not meet each other.
+    spread = dealt.join(other, (F.col("bundle") == F.col("ob")) & (F.col("near") == F.col("ol")) & ~(F.col("at_hub") & F.col("oh")))
+    spread = spread.withColumn("ob", F.explode(F.sequence(F.lit(0), F.col("on") - 1))).withColumn("with", code(F.col("ol"), F.col("oh"), F.col("ob")))
+    spread = spread.select("bundle", "node", "items", "at_hub", "code", F.least("code", "with").alias("x"), F.greatest("code", "with").alias("y"))
     crossed = spread.groupBy("bundle", "x", "y").applyInPandas(_task(num, den), "a long, b long")
     return links.union(spans).union(crossed)
 
@@ -267,19 +317,19 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), wo
     key, least = ["n", "k1", "k2"], F.ceil(F.col("n") * num / F.lit(den))
     nodes = cut(slim.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("node")).where("node is not null"))
     # 2. One node for each set; low shingles that two nodes share. Low shingles are taken from the texts anew: kept, they
-    # would be a quarter of the input. Counts of a shingle are summed before the shuffle, and where many nodes share one,
-    # its entries meet a single row, so that Spark can split them.
+    # would be a quarter of the input. They are shuffled once, and a shingle reaches its task once from each chunk.
     copies = slim.join(nodes, key).where("doc_id <> node").select("doc_id", "k1").distinct()
     low = texts.where("doc_id is not null").mapInArrow(_low(words), "doc_id long, n long, k1 long, low array<long>").where("n > 0")
-    firsts = _with_ids(low, copies, ["doc_id", "k1"], "left_anti")
-    due = (F.size("low") - (F.col("n") - least)).cast("int")
-    entries = firsts.select(F.col("doc_id").alias("node"), due.alias("due"), F.explode_outer("low").alias("item"))
-    shared = entries.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1 and item is not null").select("item")
-    met = entries.where("due > 0").join(shared, "item", "left_semi").groupBy("node", "due").agg(F.count(F.lit(1)).alias("met"))
-    free = entries.where("due <= 0").select(F.col("node").alias("doc_id"))
-    alive = met.where("met >= due").select(F.col("node").alias("doc_id")).union(free).distinct()
+    firsts = _with_ids(low, copies, ["doc_id", "k1"], "left_anti").select("doc_id", "n", "low")
+    marks = firsts.mapInArrow(_marks(num, den), "item long, node long, w int")
+    cover = F.sum(F.col("w").bitwiseAND(3)).over(Window.partitionBy("item"))
+    met = marks.withColumn("total", cover).where("node is not null")
+    gain = F.when(F.col("w") == 1, (F.col("total") > 1).cast("int")).otherwise(F.shiftright("w", 2))
+    alive = met.groupBy("node").agg(F.sum(gain).alias("rest")).where("rest >= 0").select(F.col("node").alias("doc_id"))
     # 3. Whole sets of the nodes that are left.
-    chosen = _with_ids(texts, alive, ["doc_id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    chosen = _with_ids(texts, alive, ["doc_id"], "left_semi")
+    if not slim.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").isEmpty():
+        chosen = chosen.dropDuplicates(["doc_id", "text"])  # repeated rows would count as sets of their own
     sets = cut(chosen.mapInArrow(_whole(words), "node long, items array<long>").withColumn("n", F.size("items"))).where("n > 0")
     entries = sets.select("node", "n", F.explode("items").alias("item"))
     shared = entries.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
