@@ -2,28 +2,36 @@
 
 Base entities are those of four fixed expressions (email, ip, card, phone), with their checks. Each stands in a lexical
 pattern: the word before it, and the two words before it. Together with the other identifier-shaped mentions of the
-texts (words with a digit, @, (at) or [at], cut where base entities stand, chains of them and each word of a chain) they form a graph of patterns and instances. Rounds score it:
-a pattern's confidence in a kind is the summed confidence of its distinct instances over their number, if at least
-`support` of them are known; an instance's confidence is the chance that not all its patterns err. Mentions of the right
-shape that end at `least` or more are further entities. Base entities always stay.
-
-Expressions are written so that matching takes time in proportion to the text: runs are possessive and are entered at
-their beginning or where the last match ended, which gives the same leftmost matches.
-
-Defined results: a null or empty text has no entities; counts and the digest are of base entities; rows that agree in id
+texts (words with a digit, @, (at) or [at] between base entities, chains of them and each word of a chain) they form a
+graph of patterns and instances. Rounds score it: a pattern's confidence in a kind is the summed confidence of its
+distinct instances over their number, if at least `support` of them are known; an instance's confidence is the chance
+that not all its patterns err. Rounds end when the instances at `least` or more stay the same (or after `rounds`). Those
+of the right shape are further entities. Base entities always stay.
+
+Matching takes time in proportion to the text: runs are possessive and are entered at their beginning or where the last
+match ended, which gives the same leftmost matches. Places are running sums over gaps and matches, taken by blocks of
+the square root of their number. In a copy of the text each base entity is a mark of the same length, so mentions end
+there and words before one are read with the mark for what it covers.
+
+Defined results: in a text that holds U+E000 to U+E00F these count as "?" for mentions; a mention that touches a base
+entity which overlaps one of another kind is dropped; a null or empty text has no entities; counts and the digest are of base entities; rows that agree in id
 and text get the same result each, and count once as instances; null ids are kept; an empty table gives no rows; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchantry.session import cut
 
 KINDS = ("email", "ip", "card", "phone")
-_WORD, _LOCAL = r"[^\x20\x09-\x0D]", "[A-Za-z0-9._%+-]"
+_MARKS, _FILL = "", ""
+_PRIVATE = "".join(chr(c) for c in range(0xE000, 0xE010))
+_WORD, _LOCAL = rf"[^\x20\x09-\x0D{_MARKS}{_FILL}]", "[A-Za-z0-9._%+-]"
 BASE = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -41,24 +49,46 @@ SHAPES = {
     "card": r"^[0-9](?:[\x20._/-]?[0-9]){12,18}$",
     "phone": r"^\(?[0-9](?:[\x20()./-]{0,2}[0-9]){8,14}$",
 }
-_SPAN = "array<struct<start:bigint,end:bigint,value:string>>"
+_TOKEN = rf"[{_MARKS}]{_FILL}*+|{MENTION}"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once, also where body has it inside a function of elements."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _starts(lengths: Column) -> Column:
+    """Running sums before each element. A sum that appends to an array copies it each time, so blocks of the square
+    root of the number are summed one by one."""
+    none = F.array().cast("array<bigint>")
+
+    def scan(values: Column, first: Column) -> Column:
+        zero = F.struct(first.alias("at"), none.alias("out"))
+        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+        return F.aggregate(values, zero, step)["out"]
+
+    def whole(values: Column) -> Column:
+        size = F.greatest(F.size(values), F.lit(1))
+        side = F.ceil(F.sqrt(size.cast("double"))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(size / side).cast("int") - 1), lambda j: F.slice(values, j * side + 1, side))
+        zero = F.lit(0).cast("bigint")
+        sums = lambda b: F.transform(b, lambda x: F.aggregate(x, zero, lambda acc, v: acc + v))
+        return _let(blocks, lambda b: F.flatten(F.zip_with(b, scan(sums(b), zero), scan)))
+
+    return _let(F.transform(lengths, lambda x: x.cast("bigint")), whole)
 
 
-def _found(text: Column, expression: str, trigger: str) -> Column:
-    """Start, end and value of all matches, in code points: gaps between matches and matches add up to the text."""
+def _steps(text: Column, expression: str) -> Column:
+    """The matches m of an expression, each with the text g from the match before it."""
     matches = F.regexp_extract_all(text, F.lit(expression), F.lit(0))
-    gaps = F.split(text, expression, -1)
-    steps = F.arrays_zip(matches.alias("m"), F.slice(gaps, F.lit(1), F.size(matches)).alias("g"))
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("spans"))
+    return F.arrays_zip(matches.alias("m"), F.slice(F.split(text, expression, -1), F.lit(1), F.size(matches)).alias("g"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["g"])
-        end = start + F.char_length(x["m"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    spans = F.aggregate(steps, zero, step)["spans"]
-    return F.when(F.regexp_like(text, F.lit(trigger)), spans).otherwise(F.array().cast(_SPAN))
+def _placed(steps: Column) -> Column:
+    """Steps with start and end in code points."""
+    length = lambda s: F.char_length(s["g"]) + F.char_length(s["m"])
+    place = lambda s, at: F.struct((at + F.char_length(s["g"])).alias("start"), (at + length(s)).alias("end"), s["m"].alias("value"), s["g"].alias("gap"))
+    return _let(steps, lambda x: F.zip_with(x, _starts(F.transform(x, length)), place))
 
 
 def _digits(value: Column) -> Column:
@@ -80,10 +110,6 @@ def _valid(kind: str, value: Column) -> Column:
     return n.between(9, 15) if kind == "phone" else F.lit(True)
 
 
-def _only_valid(kind: str, spans: Column) -> Column:
-    return F.filter(spans, lambda s: _valid(kind, s["value"]))
-
-
 def _shape(value: Column) -> Column:
     """The kind that a mention may be of, or null."""
     out = F.lit(None).cast("string")
@@ -97,53 +123,79 @@ def _shape(value: Column) -> Column:
     return out
 
 
-def _pieces(mentions: Column, base: Column) -> Column:
-    """What base spans leave of the mentions: each piece as a whole, and its words where it has several."""
-    none = F.array().cast(_SPAN)
-    span = lambda m, a, b: F.struct(a.alias("start"), b.alias("end"), F.substring(m["value"], (a - m["start"] + 1).cast("int"), (b - a).cast("int")).alias("value"))
+def _marked(text: Column, steps: Column, expression: str, kind: str) -> Column:
+    """The text with a mark and fill over each valid match."""
+    cover = lambda v: F.concat(F.lit(_MARKS[KINDS.index(kind)]), F.repeat(F.lit(_FILL), F.char_length(v) - 1))
+    one = lambda s: F.concat(s["g"], F.when(_valid(kind, s["m"]), cover(s["m"])).otherwise(s["m"]))
+    rest = F.element_at(F.split(text, expression, -1), -1)
+    return F.when(F.exists(steps, lambda s: _valid(kind, s["m"])), F.concat(F.array_join(F.transform(steps, one), ""), rest)).otherwise(text)
+
+
+def _before(steps: Column, i: Column) -> Column:
+    """What stands before the match of step i, from the last match but one on: its last 80 characters."""
+    match = lambda j: F.coalesce(F.get(steps, j)["value"], F.lit(""))
+    gap = lambda j: F.coalesce(F.get(steps, j)["gap"], F.lit(""))
+    return F.substring(F.concat(match(i - 2), gap(i - 1), match(i - 1), gap(i)), -80, 80)
+
 
-    def clear(m: Column) -> Column:
-        cuts = F.array_sort(F.transform(F.filter(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])), lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))))
-        cuts = F.concat(cuts, F.array(F.struct(m["end"].alias("start"), m["end"].alias("end"))))
-        zero = F.struct(m["start"].alias("at"), none.alias("spans"))
+def _words(piece: Column) -> Column:
+    """The words of a chain as mentions of their own."""
 
-        def step(acc: Column, c: Column) -> Column:
-            more = F.when(acc["at"] < c["start"], F.array(span(m, acc["at"], c["start"]))).otherwise(none)
-            return F.struct(F.greatest(acc["at"], c["end"]).alias("at"), F.concat(acc["spans"], more).alias("spans"))
+    def each(words: Column, at: Column) -> Column:
+        word = lambda j: F.concat(F.get(words, j), F.lit(" "))
+        lead = lambda i: F.when(i == 0, piece["before"]).when(i == 1, F.concat(piece["before"], word(i - 1))).otherwise(F.concat(word(i - 2), word(i - 1)))
+        start = lambda i: piece["start"] + F.get(at, i)
+        one = lambda w, i: _mention(F.lit(None), start(i), start(i) + F.char_length(w), w, F.substring(lead(i), -80, 80), False, piece["start"])
+        return F.transform(words, one)
 
-        return F.aggregate(cuts, zero, step)["spans"]
+    return _let(F.split(piece["value"], " "), lambda w: _let(_starts(F.transform(w, lambda x: F.char_length(x) + 1)), lambda at: each(w, at)))
 
-    def words(p: Column) -> Column:
-        zero = F.struct(p["start"].alias("at"), none.alias("spans"))
 
-        def step(acc: Column, w: Column) -> Column:
-            end = acc["at"] + F.char_length(w)
-            own = F.struct(acc["at"].alias("start"), end.alias("end"), w.alias("value"))
-            return F.struct((end + 1).alias("at"), F.concat(acc["spans"], F.array(own)).alias("spans"))
+def _mention(kind: Column, start: Column, end: Column, value: Column, before: Column, whole: bool, piece: Column) -> Column:
+    columns = {"kind": kind.cast("string"), "start": start, "end": end, "value": value, "before": before, "whole": F.lit(whole), "piece": piece}
+    return F.struct(*(c.alias(n) for n, c in columns.items()))
 
-        return F.aggregate(F.split(p["value"], " "), zero, step)["spans"]
 
-    mark = lambda spans, whole: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(whole).alias("whole")))
-    signed = lambda spans: F.filter(spans, lambda s: F.regexp_like(s["value"], F.lit(_SIGN)))
-    pieces = signed(F.flatten(F.transform(mentions, clear)))
-    chains = F.filter(pieces, lambda p: F.contains(F.trim(p["value"]), F.lit(" ")))
-    return F.concat(mark(pieces, True), mark(signed(F.flatten(F.transform(chains, words))), False))
+def _of_kind(tokens: Column, kind: str) -> Column:
+    return F.filter(tokens, lambda s: F.startswith(s["value"], F.lit(_MARKS[KINDS.index(kind)])))
+
+
+def _seeds(kind: str, tokens: Column, values: Column) -> Column:
+    """The marks of a kind as mentions with the values that they cover."""
+    return F.zip_with(tokens, values, lambda s, v: _mention(F.lit(kind), s["start"], s["end"], v, s["before"], True, s["start"]))
 
 
 def base_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, an array of valid spans for each kind, and what they leave of the mentions, each with the text
-    before it. whole: it is not a word of a longer one."""
+    """doc_id, text_hash, an array of valid spans for each kind, and all mentions, each with the text before it. whole:
+    it is not a word of a longer one, which begins at piece."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    rows = rows.withColumn("marked", F.translate("text", _PRIVATE, "?" * len(_PRIVATE)))
+    none = F.array().cast("array<struct<m:string,g:string>>")
+    tried = lambda text, expression, trigger: F.when(F.regexp_like(text, F.lit(trigger)), _steps(text, expression)).otherwise(none)
     for kind in KINDS:
-        rows = rows.withColumn(kind, _only_valid(kind, _found(F.col("text"), BASE[kind], _TRIGGER[kind])))
-    rows = rows.withColumn("mention", _found(F.col("text"), MENTION, _SIGN))
-    base = F.concat(*KINDS)
-    lead = lambda s: F.substring(F.col("text"), F.greatest(s["start"] - 79, F.lit(1)).cast("int"), F.least(s["start"], F.lit(80)).cast("int"))
-    placed = lambda kind, c, whole: F.transform(c, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), lead(s).alias("before"), whole(s).alias("whole")))
-    rows = rows.withColumn("base", base).withColumn("mention", _pieces(F.col("mention"), F.col("base")))
-    seen = F.concat(*(placed(k, F.col(k), lambda s: F.lit(True)) for k in KINDS), placed(None, F.col("mention"), lambda s: s["whole"]))
-    return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), *KINDS, seen.alias("seen"))
+        rows = rows.withColumns({f"{kind}_steps": tried(F.col("text"), BASE[kind], _TRIGGER[kind]), "steps": tried(F.col("marked"), BASE[kind], _TRIGGER[kind])})
+        spans = F.filter(_placed(F.col(f"{kind}_steps")), lambda s: _valid(kind, s["value"]))  # noqa: B023
+        values = F.transform(F.filter("steps", lambda s: _valid(kind, s["m"])), lambda s: s["m"])  # noqa: B023
+        marked = _marked(F.col("marked"), F.col("steps"), BASE[kind], kind)
+        rows = rows.withColumns({kind: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))), f"{kind}_values": values, "marked": marked})
+        rows = rows.drop("steps", f"{kind}_steps")
+    rows = rows.withColumn("tokens", _placed(tried(F.col("marked"), _TOKEN, rf"[{_MARKS}]|{_SIGN}")))
+    placed = lambda s, i: _mention(F.lit(None), s["start"], s["end"], s["value"], _before(F.col("tokens"), i), True, s["start"])
+    rows = rows.withColumn("tokens", F.transform("tokens", placed))
+    key = lambda s: s["start"] * (1 << 32) + s["end"]
+    of = {k: _of_kind(F.col("tokens"), k) for k in KINDS}
+    seeds = [_seeds(k, of[k], F.col(f"{k}_values")) for k in KINDS]
+    # Base entities that overlap one of an earlier kind have no mark of their own.
+    hidden = F.flatten(F.array(*(F.array_except(F.transform(k, key), F.transform(of[k], key)) for k in KINDS)))
+    rows = rows.withColumns({"seeds": F.concat(*seeds), "hidden": hidden})
+    plain = F.filter("tokens", lambda s: ~F.regexp_like(s["value"], F.lit(f"^[{_MARKS}]")))
+    meets = lambda s, h: (s["start"] < h % (1 << 32)) & (F.floor(h / (1 << 32)) < s["end"])
+    apart = lambda hidden: F.filter(plain, lambda s: ~F.exists(hidden, lambda h: meets(s, h)))
+    rows = rows.withColumn("mentions", _let(F.col("hidden"), apart))
+    chains = F.filter("mentions", lambda s: F.contains(s["value"], F.lit(" ")))
+    signed = F.filter(F.flatten(F.transform(chains, _words)), lambda s: F.regexp_like(s["value"], F.lit(_SIGN)))
+    return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), *KINDS, F.concat("seeds", "mentions", signed).alias("seen"))
 
 
 def _mentions(found: DataFrame) -> DataFrame:
@@ -156,7 +208,7 @@ def _mentions(found: DataFrame) -> DataFrame:
         {
             "value": F.when(own, F.col("value")).otherwise(value),
             "start": F.when(own, F.col("start")).otherwise(F.col("start") + lead),
-            "before": F.regexp_replace(F.lower("before"), "[0-9]", "0"),
+            "before": F.regexp_replace(F.regexp_replace(F.translate(F.lower("before"), _FILL, ""), f"[{_MARKS}]", "@"), "[0-9]", "0"),
         }
     )
     rows = rows.withColumn("end", F.when(own, F.col("end")).otherwise(F.col("start") + F.char_length("value")))
@@ -165,15 +217,16 @@ def _mentions(found: DataFrame) -> DataFrame:
     rows = rows.withColumn("last", F.transform(last, lambda w: F.substring(w, -24, 24)))
     patterns = F.array(F.concat(F.lit("1:"), F.element_at("last", 2)), F.concat(F.lit("2:"), F.element_at("last", 1), F.lit(" "), F.element_at("last", 2)))
     shape = F.when(own, F.col("kind")).otherwise(_shape(F.col("value")))
-    return rows.select("doc_id", "text_hash", "start", "end", F.xxhash64(F.lower("value")).alias("instance"), F.col("kind").alias("base"), shape.alias("kind"), patterns.alias("patterns"), "whole").where("end > start and (whole or kind is not null)")
+    return rows.select("doc_id", "text_hash", "start", "end", F.xxhash64(F.lower("value")).alias("instance"), F.col("kind").alias("base"), shape.alias("kind"), patterns.alias("patterns"), "whole", "piece").where("end > start and (whole or kind is not null)")
 
 
-def discovered(found: DataFrame, support: int = 5, least: float = 0.9, rounds: int = 3) -> DataFrame:
+def discovered(found: DataFrame, support: int = 5, least: float = 0.9, rounds: int = 30) -> DataFrame:
     """doc_id, text_hash, kind, start, end of the further entities."""
     mentions = cut(_mentions(found))
     edges = cut(mentions.select(F.explode("patterns").alias("pattern"), "instance", "base", "kind").distinct())
     spread = edges.groupBy("pattern").agg(F.count_distinct("instance").alias("n"))
     known = mentions.where("base is not null").select("instance", "kind").distinct().withColumn("c", F.lit(1.0))
+    seen = None
     for _ in range(rounds):
         sure = edges.select("pattern", "instance", "kind").where("kind is not null").distinct().join(known, ["instance", "kind"])
         scored = sure.groupBy("pattern", "kind").agg(F.sum("c").alias("c"), F.count_if(F.col("c") >= least).alias("k"))
@@ -183,8 +236,19 @@ def discovered(found: DataFrame, support: int = 5, least: float = 0.9, rounds: i
         miss = F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-6))))
         new = open_ones.join(scored, ["pattern", "kind"]).groupBy("instance", "kind").agg((1 - F.exp(miss)).alias("c"))
         known = cut(known.where("c = 1.0").unionByName(new).groupBy("instance", "kind").agg(F.max("c").alias("c")))
+        # Which instances are at `least` or more, and how far the others are, to three digits.
+        mark = F.xxhash64("instance", "kind", F.col("c") >= least, F.round("c", 3)) % F.lit(1 << 40)
+        now = tuple(known.agg(F.count_if(F.col("c") >= least), F.sum(mark)).first())
+        if now == seen:
+            break
+        seen = now
     taken = known.where(F.col("c") >= least).select("instance", "kind")
-    return mentions.where("base is null").join(taken, ["instance", "kind"]).select("doc_id", "text_hash", "kind", "start", "end")
+    hits = mentions.where("base is null").join(taken, ["instance", "kind"])
+    # Of a chain and its words, where both are taken, the chain stays.
+    chains = hits.where("whole").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.col("piece").alias("at")).distinct()
+    of_chain = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")) & (F.col("piece") == F.col("at"))
+    alone = hits.where("not whole").join(chains, of_chain, "left_anti")
+    return hits.where("whole").unionByName(alone).select("doc_id", "text_hash", "kind", "start", "end")
 
 
 def _text(spans: Column) -> Column:
@@ -194,15 +258,12 @@ def _text(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), one), ",")
 
 
-def find(docs: DataFrame, support: int = 5, least: float = 0.9, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, support: int = 5, least: float = 0.9, rounds: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_discovered for each row of docs."""
     found = cut(base_entities(docs, id_col, text_col))
     order = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind")).cast("int") - 1
     more = discovered(found, support, least, rounds).groupBy("doc_id", "text_hash")
     more = more.agg(F.collect_set(F.struct(order.alias("o"), "start", "end")).alias("more"))
-    # Of a chain and its words, where both are taken, the chain stays.
-    outer = lambda s, t: (t["start"] <= s["start"]) & (s["end"] <= t["end"]) & (t["end"] - t["start"] > s["end"] - s["start"])
-    more = more.withColumn("more", F.filter("more", lambda s: ~F.exists(F.col("more"), lambda t: outer(s, t))))
     more = more.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "more")
     joined = found.join(more, found.doc_id.eqNullSafe(F.col("id")) & (found.text_hash == F.col("hash")), "left")
     place = lambda o, k: F.transform(k, lambda s: F.struct(F.lit(o).alias("o"), s["start"].alias("start"), s["end"].alias("end")))

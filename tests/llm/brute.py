@@ -150,3 +150,35 @@ def edits(a, b):
         for j, y in enumerate(b, 1):
             row.append(min(row[-1] + 1, before[j] + 1, before[j - 1] + (x != y)))
     return row[-1]
+
+
+def bootstrapped(rows, support=5, least=0.9):
+    """Documents whose number, not a base entity, is taken. Each text has one number, after two words or more."""
+    seen = []
+    for d, text in rows:
+        base = entities(text)["phone"]
+        found = base[0] if base else (m.span() if (m := re.search(r"\S*\d\S*", text)) else None)
+        value = text[slice(*found)]
+        fits = re.fullmatch(r"\(?[0-9](?:[ ()./-]{0,2}[0-9]){8,14}", value)
+        before = text[: found[0]].split()
+        seen.append((d, {before[-1], " ".join(before[-2:])}, value, bool(base), bool(base or fits)))
+    confidence = {v: 1.0 for _, _, v, base, _ in seen if base}
+    of = defaultdict(dict)
+    for _, patterns, v, base, fits in seen:
+        for p in patterns:
+            of[p][v] = fits
+    for _ in range(100):
+        chance = {}
+        for p, values in of.items():
+            known = [confidence[v] for v, fits in values.items() if fits and v in confidence]
+            if sum(c >= least for c in known) >= support and sum(known) / len(values) >= 0.5:
+                chance[p] = sum(known) / len(values)
+        new = {v: c for v, c in confidence.items() if c == 1.0}
+        for v in {v for _, _, v, base, fits in seen if fits and not base}:
+            of_v = {p for _, patterns, w, _, _ in seen if w == v for p in patterns if p in chance}
+            if of_v:
+                new[v] = max(new.get(v, 0), 1 - math.prod(max(1 - chance[p], 1e-6) for p in of_v))
+        if new == confidence:
+            break
+        confidence = new
+    return {d for d, _, v, base, _ in seen if not base and confidence.get(v, 0) >= least}

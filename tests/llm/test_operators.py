@@ -110,6 +110,28 @@ def test_pii_discovers_beside_base_entities_and_in_chains(spark):
     }
 
 
+def test_pii_of_long_texts(spark):
+    """Texts with 200 000 matches: base entities between mentions, one chain of mentions, and chains cut by entities."""
+    rows = [(1, "12, " * 200_000), (2, "1 " * 200_000), (3, "a1@b.co 12 " * 100_000), (4, "x 1.2.3.4 y12 " * 60_000)]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert [got[i].n_email for i in (1, 2, 3, 4)] == [0, 0, 100_000, 0] and got[4].n_ip == 60_000
+    spans = ",".join(f"email:{11 * i}:{11 * i + 7}" for i in range(100_000))
+    assert got[3].spans == spans and got[3].base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
+
+
+def test_pii_rounds_reach_a_fixed_point(spark):
+    """Numbers of each layer stand after the words of two layers, so confidence goes from layer to layer."""
+    words = ("alpha beta", "gamma delta", "eps zeta", "eta theta", "iota kappa", "lam mu")
+    texts = [f"ring alpha beta +49 30 1234{i}678 end" for i in range(12)]
+    for layer, size in enumerate((10, 8, 7, 6, 5)):
+        texts += [f"ring {words[layer + k]} 0{layer}0-55{i}1-77{layer}9 end" for i in range(size) for k in (0, 1)]
+    texts += [f"ring lam mu word{i} end" for i in range(30)]
+    rows = list(enumerate(texts))
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).where("n_discovered > 0").collect()
+    expected = brute.bootstrapped(rows)
+    assert {r.doc_id for r in found} == expected and len(expected) > 50
+
+
 def test_pii_of_nothing(nothing):
     assert pii.find(nothing).count() == 0
 
