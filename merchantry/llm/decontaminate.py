@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from merchantry.llm import vectors
 from merchantry.llm.ngram_join import needed
-from merchantry.session import cut
+from merchantry.session import cut, ship_package
 
 BLOCK_BYTES = 8 << 20
 _SCHEMA = "doc_id long, text_hash long, item_id long, n_item long, n_shared long"
@@ -104,6 +104,7 @@ def find(docs: DataFrame, benchmark: DataFrame, share: tuple[int, int] = (75, 10
     """doc_id, text_hash (xxhash64), item_id, n_item (the item's shingles) and n_shared for each document that holds an
     item."""
     spark = docs.sparkSession
+    ship_package(spark)
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text"))
     items = cut(items.where(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -30,7 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchantry.llm import vectors
-from merchantry.session import cut
+from merchantry.llm.learning import free
+from merchantry.session import cut, ship_package
 
 _LINES = "doc_id long, text_hash long, pos int, line_no int, line long, bytes int, words int, fwd int, back int"
 
@@ -93,6 +94,7 @@ def _names(runs: DataFrame, key: list[str]) -> DataFrame:
 
 def later_copies(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash and line_no (from 0, of the text split at newlines) of every line to delete."""
+    ship_package(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.withColumn("text_hash", F.xxhash64("text"))
     lines = cut(texts.where("text is not null").mapInArrow(_lines(min_words), _LINES))
@@ -126,7 +128,8 @@ def later_copies(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", te
 
 
 def delete_runs(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with later copies deleted from the text, and the new columns n_lines (with a word, before) and n_deleted."""
+    """docs with later copies deleted from the text, and the new columns n_lines (with a word, before) and n_deleted (with
+    underscores behind the name, where docs has a column of that name)."""
     gone = later_copies(docs, min_words, id_col, text_col).groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone"))
     # Names that no column of docs has.
     mark = "_" * (1 + max([0, *(len(c) for c in docs.columns)]))
@@ -140,6 +143,6 @@ def delete_runs(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", tex
     lines = F.size(F.filter(parts, lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]"))))
     return docs.join(gone, same, "left").select(
         *columns,
-        F.when(text.isNull(), 0).otherwise(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size(numbers), F.lit(0)).cast("long").alias("n_deleted"),
+        F.when(text.isNull(), 0).otherwise(lines).cast("long").alias(free("n_lines", docs.columns)),
+        F.coalesce(F.size(numbers), F.lit(0)).cast("long").alias(free("n_deleted", docs.columns)),
     )

@@ -21,6 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from merchantry.llm.learning import free
 from merchantry.session import cut
 
 
@@ -89,11 +90,14 @@ def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFrame:
-    """The rows of docs as often as plan() takes them, numbered by `copy_no` from 1. Rows that share an id and a size are
-    taken by the largest count among them."""
+    """The rows of docs as often as plan() takes them, numbered by `copy_no` from 1 (copy_no_ and so on, where docs has a
+    column of that name, which passes through). Rows that share an id and a size are taken by the largest count among
+    them."""
+    mark = "_" * (1 + max([0, *(len(c) for c in docs.columns)]))  # names that no column of docs has
     taken = plan(docs, id_col=id_col, **options).groupBy("doc_id", "size").agg(F.max("copies").alias("copies"))
-    taken = taken.where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.sequence(F.lit(1), F.col("copies").cast("int")).alias("_copies"))
+    numbers = F.sequence(F.lit(1), F.col("copies").cast("int")).alias(f"{mark}copies")
+    taken = taken.where("copies > 0").select(F.col("doc_id").alias(f"{mark}id"), F.col("size").alias(f"{mark}size"), numbers)
     text_col = options.get("text_col", "text")
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (word_count(docs[text_col]) == F.col("_size"))
+    same = docs[id_col].cast("long").eqNullSafe(F.col(f"{mark}id")) & (word_count(docs[text_col]) == F.col(f"{mark}size"))
     joined = docs.join(taken, same)
-    return joined.select(*(docs[c] for c in docs.columns), F.explode("_copies").alias("copy_no"))
+    return joined.select(*(docs[c] for c in docs.columns), F.explode(f"{mark}copies").alias(free("copy_no", docs.columns)))

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from merchantry.llm import vectors
 from merchantry.llm.components import components
-from merchantry.session import cut
+from merchantry.session import cut, ship_package
 
 BLOCK_ITEMS = 150_000
 #: What a set counts for in a block beside its shingles.
@@ -312,6 +312,7 @@ def _bundle_links(sets: DataFrame, num: int, den: int, block_items: int) -> Data
 def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = (75, 100), words: int = 5, block_items: int = BLOCK_ITEMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     num, den = similarity
+    ship_package(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     slim = cut(texts.mapInArrow(_keys(words), "doc_id long, n long, k1 long, k2 long"))
     key, least = ["n", "k1", "k2"], F.ceil(F.col("n") * num / F.lit(den))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchantry.llm import vectors
-from merchantry.session import cut
+from merchantry.session import cut, ship_package
 
 #: Rule: its cutoffs from lenient to strict. A ratio of a count and the number of words, bytes of words or lines.
 RULES = {
@@ -104,6 +104,7 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts of every whole text; see piece_features()."""
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_feature_batches, _FEATURES)
 

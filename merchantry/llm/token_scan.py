@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from merchantry.session import ship_package
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the published splitting pattern of the 50k byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -68,6 +70,7 @@ def _encoded(vocabulary: object, key: int) -> object:
 
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Writes the flat files of docs below folder; returns folder. The vocabulary's size is checked before it is sent."""
+    ship_package(docs.sparkSession)
     if os.path.getsize(vocabulary) > MAX_VOCABULARY_BYTES:
         raise ValueError("the vocabulary is too large to send to every executor")
     with open(vocabulary, "rb") as f:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from merchantry.llm import vectors
 from merchantry.llm.learning import fold, labelled_sample, logistic, sigmoid
-from merchantry.session import cut
+from merchantry.session import cut, ship_package
 
 CUT = 0.7
 WINDOW = 60  # bytes to either side
@@ -264,6 +264,7 @@ def fit(sample: DataFrame, toxic_share: float, least_docs: int = 4, least_log_ra
     near = sample.where("label = 0").select("doc_id", "text", "label").mapInArrow(_near_words(words, fuzzy), "word string")
     clean = frozenset(r.word for r in near.distinct().collect())  # of a bounded sample, beside at most most_terms terms
     rows = sample.select("doc_id", "text", "label").mapInArrow(_sums((words, stems, fuzzy, clean)), "label int, x array<double>").collect()
+    rows.sort(key=lambda r: (r.label, r.x))  # sums are the same whatever order the rows arrive in
     y, x = np.array([r.label for r in rows], float), np.array([r.x for r in rows])
     weights = logistic(x, y, ridge=1e-4)
     share = y.mean()
@@ -286,6 +287,7 @@ def _scored(model: tuple[tuple, np.ndarray] | None) -> object:
 def score(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, most: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """doc_id, held_out, score and predicted for each row of docs. The model is fitted to at most `most` documents of
     each label, none of the held-out fold."""
+    ship_package(docs.sparkSession)
     known = labels.where(F.col(label_col).isin(0, 1) & (fold(F.col(id_col).cast("long"), folds) != held_out))
     toxic_share = known.agg(F.avg((F.col(label_col) == 1).cast("double"))).first()[0] or 0.0
     sample = cut(labelled_sample(docs, labels, label_col, folds, held_out, most, id_col, text_col))

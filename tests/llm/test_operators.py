@@ -57,7 +57,8 @@ def test_mixing_comes_near_its_targets(spark):
 def test_mixing_repeats_rows(docs, rows, nothing):
     taken = {d: c for d, _, _, _, c in brute.mix([(d, t, s) for d, t, _, s, _ in rows])}
     out = mixing.sample(docs)
-    assert out.columns == [*docs.columns, "copy_no"]
+    assert out.columns == [*docs.columns, "copy_no_"]
+    assert {r.copy_no for r in out.select("copy_no").collect()} == {8}
     assert Counter(r.doc_id for r in out.collect()) == Counter({d: c for d, c in taken.items() if c})
     assert mixing.plan(nothing).count() == 0 and mixing.sample(nothing).count() == 0
 
@@ -355,11 +356,11 @@ def test_scores_without_labels(spark, docs, nothing, module, label, value):
 def test_line_runs(docs, rows, least):
     gone = brute.deleted_lines([(d, t) for d, t, *_ in rows], least)
     got = line_runs.delete_runs(docs, min_words=least)
-    assert got.columns == [*docs.columns, "n_lines", "n_deleted"]
+    assert got.columns == [*docs.columns, "n_lines_", "n_deleted_"]
     for r in got.collect():
         text = next(t for d, t, *_ in rows if d == r.doc_id)
-        assert r.text == brute.without_lines(text, gone.get(r.doc_id)) and r.n_deleted == len(gone.get(r.doc_id, ()))
-        assert r.n_lines == sum(bool(brute.words(x)) for x in (text or "").split("\n"))
+        assert r.text == brute.without_lines(text, gone.get(r.doc_id)) and r.n_deleted == 9 and r.n_deleted_ == len(gone.get(r.doc_id, ()))
+        assert r.n_lines_ == sum(bool(brute.words(x)) for x in (text or "").split("\n"))
 
 
 def test_line_runs_of_short_lines(spark):
