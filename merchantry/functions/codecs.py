@@ -20,6 +20,16 @@ def decoder(charset: str) -> object:
     return decode
 
 
+def encoder(charset: str) -> object:
+    """A UDF from text to bytes in charset; characters that it has not are question marks."""
+
+    @F.pandas_udf(T.BinaryType())
+    def encode(text: pd.Series) -> pd.Series:
+        return text.map(lambda s: None if s is None else s.encode(charset, "replace"))
+
+    return encode
+
+
 @F.pandas_udf(T.BinaryType())
 def compressed(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else zlib.compress(s.encode()))

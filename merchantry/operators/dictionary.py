@@ -14,9 +14,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from merchantry.functions.numbers import dictionary_frequency
+from merchantry.functions.text import capitalise, choose_brand
+from merchantry.session import cut, ship_package
+
 MAX_ENTRIES = 2_000_000
-#: Fixed value: what is blanked out of a title before its words are looked at.
-NOISE = re.compile(r"^[!-/:-@\[-`{-~]|&[a-z0-9]*;(?:[a-z0-9];)?|[【】★!。◆*（）$+<=>^|~]|___|\(\)|满.+包邮")
+MAX_ENTRY_BYTES = 64 << 20
+#: Fixed value: what is blanked out of a title before its words are looked at. The JVM matches it, for its classes.
+NOISE = r"(^\p{P})|(&[a-z0-9]*;([a-z0-9];)?)|(【)|(】)|★|!|(<>)|(。)|(___)|(\(\))|(◆)|(\*)|(\p{S})|(（)|(）)|(满.+包邮)"
 
 
 def tokens(text: str) -> list[str]:
@@ -65,10 +70,11 @@ class Phrases:
 
 
 def _entries(dictionary: DataFrame, *columns: str) -> list:
-    rows = dictionary.select(*columns).limit(MAX_ENTRIES + 1).collect()
-    if len(rows) > MAX_ENTRIES:
-        raise ValueError(f"a dictionary of over {MAX_ENTRIES} entries is not sent to executors; use an anti-join")
-    return [tuple(r) for r in rows]
+    chosen = cut(dictionary.select(*columns))
+    n, size = chosen.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(columns[0])), F.lit(0))).first()
+    if n > MAX_ENTRIES or size > MAX_ENTRY_BYTES:
+        raise ValueError(f"a dictionary of over {MAX_ENTRIES} entries or {MAX_ENTRY_BYTES} bytes is not sent to executors; use an anti-join")
+    return sorted(tuple(r) for r in chosen.collect())
 
 
 def spaced(words: list[str]) -> str:
@@ -78,8 +84,8 @@ def spaced(words: list[str]) -> str:
 
 
 def cleaned(title: str, banned: Phrases) -> str:
-    """The title without noise and banned phrases, the leftmost longest first, until none is left."""
-    words = tokens(NOISE.sub(" ", title))
+    """A title, its noise blanked out, without banned phrases, the leftmost longest first, until none is left."""
+    words = tokens(title)
     i = 0
     while i < len(words):
         end, found = banned.longest([w.lower() for w in words[i:]], 0)
@@ -121,7 +127,8 @@ def segmented(text: str, weights: dict[str, float], longest: int, unknown: float
     return out[::-1]
 
 
-def _udf(spark: SparkSession, entries: list, build: Callable, work: Callable, kind: str) -> Callable[[str], Column]:
+def _udf(spark: SparkSession, entries: list, build: Callable, work: Callable, kind: str) -> Callable[[str | Column], Column]:
+    ship_package(spark)
     sent = spark.sparkContext.broadcast(entries)
     made: list = []
 
@@ -136,7 +143,8 @@ def _udf(spark: SparkSession, entries: list, build: Callable, work: Callable, ki
 
 def cleaner(spark: SparkSession, banned: DataFrame, word: str = "word") -> Callable[[str], Column]:
     """A column function that cleans titles."""
-    return _udf(spark, [(w, None) for (w,) in _entries(banned, word)], Phrases, cleaned, "string")
+    clean = _udf(spark, [(w, None) for (w,) in _entries(banned, word)], Phrases, cleaned, "string")
+    return lambda title: clean(F.regexp_replace(title, NOISE, " "))
 
 
 def extractor(spark: SparkSession, brands: DataFrame, word: str = "word", freq: str = "freq") -> Callable[[str], Column]:
@@ -155,6 +163,32 @@ def segmenter(spark: SparkSession, dictionary: DataFrame, word: str = "word", fr
     return _udf(spark, _entries(dictionary, word, freq), build, lambda t, d: segmented(t, *d), "array<string>")
 
 
+def segment_dictionary(words: DataFrame, brands: DataFrame) -> DataFrame:
+    """word, freq that titles are segmented by (T13, F38): words over 50 or entered by hand, and the parts between slashes
+    of brands, valid or over 50; the greatest frequency of a word stays. words: word, freq, manual, deleted; brands: name,
+    freq, valid, deleted."""
+    kept = words.where(~F.coalesce("deleted", F.lit(False)) & (F.col("manual") | (F.col("freq") > 50)))
+    kept = kept.select("word", dictionary_frequency(F.col("freq"), F.col("manual"), F.lit(False)).alias("freq"))
+    parts = brands.where(~F.coalesce("deleted", F.lit(False)) & (F.col("valid") | (F.col("freq") > 50)))
+    parts = parts.select(F.explode(F.split("name", "/")).alias("word"), dictionary_frequency(F.col("freq"), F.lit(False), F.col("valid")).alias("freq"))
+    return kept.unionByName(parts.where("word <> ''")).groupBy("word").agg(F.max("freq").cast("long").alias("freq"))
+
+
+def first_brand(segments: DataFrame, brands: DataFrame, key: str) -> DataFrame:
+    """key and brand: the first segment that is exactly a brand, written as names are; keys without one are left out.
+    segments: key, place, segment; brands: word."""
+    hit = segments.join(brands.select(F.col("word").alias("segment")).distinct(), "segment", "left_semi")
+    first = hit.groupBy(key).agg(F.min_by("segment", "place").alias("segment"))
+    return first.select(key, F.replace(capitalise(F.col("segment"), r"A-z"), F.lit("——"), F.lit("-")).alias("brand"))
+
+
+def title_report(titles: DataFrame, banned: DataFrame, brands: DataFrame, key: str, title: str) -> DataFrame:
+    """key, title, brand and cleaned of a batch of titles (T19). brands: word, freq."""
+    spark = titles.sparkSession
+    found = extractor(spark, brands)(title)
+    return titles.select(key, title, choose_brand(found).alias("brand"), cleaner(spark, banned)(title).alias("cleaned"))
+
+
 def brand_words(brands: DataFrame) -> DataFrame:
     """word, freq of the brand dictionary (T04): valid brands, and others over 50 that are not deleted; valid ones count
     9999."""

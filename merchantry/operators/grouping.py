@@ -1,9 +1,10 @@
-"""Leader clustering of items within categories.
+"""Leader clustering of items within categories.
 
 Items of a category come in order; each joins the most similar group among those within the price limit, if it is similar
-enough, or else leads a new group. The order matters, so a category is one sequence. Copies (same vector and price) always
-follow the first of them, so a sequence holds distinct items only. It is taken in batches, and the groups so far (vector,
-mean price, count) are a checkpointed table that each batch continues (R05), so batches do not change the result.
+enough, or else leads a new group. Every item, copies too, moves its group's mean price and count. The order matters, so a
+category is one sequence: it is taken in batches, and the groups so far (lead, mean price, count, vector) are a checkpointed
+table that each batch continues, so batches bound memory and do not change the result. The same table goes in and out of
+a run: a later run continues the groups of earlier ones whose lead item is still there.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merchantry.session import cut
+from merchantry.session import cut, ship_package
 
 #: Rows of items have no mean; rows of groups, item being the lead, have one. parts: batches of the category.
 _OUT = "category string, item long, group_lead long, mean double, n long, terms array<string>, weights array<double>, parts long"
@@ -68,35 +69,48 @@ def _leaders(threshold: float, price_limit: float) -> object:
                 means[chosen] = (means[chosen] * counts[chosen] + price) / (counts[chosen] + 1)
                 counts[chosen] += 1
             out.append((item, leads[chosen][0], None, None, None, None))
-        of = (state if len(state) else rows).iloc[0]
+        of = (rows if len(rows) else state).iloc[0]
         out += [(item, item, m, n, list(own), list(own.values())) for (item, own, _), m, n in zip(leads, means, counts, strict=True)]
         return pd.DataFrame([(of["category"], *r, of["parts"]) for r in out], columns=_COLUMNS).astype({"n": "Int64"})
 
     return run
 
 
-def leader_groups(items: DataFrame, threshold: float = 0.995, price_limit: float = 0.3, batch: int = 10_000) -> DataFrame:
-    """category, item, group_lead. items: category, item (the order), price, terms, weights (sorted by term).
-
-    A category's distinct items are taken in batches of `batch` in order; each continues the groups of those before.
+def continued(items: DataFrame, groups: DataFrame | None = None, delegates: DataFrame | None = None, threshold: float = 0.995, price_limit: float = 0.3, batch: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """(category, item, group_lead) of items, and the groups after them (category, item, mean, n, terms, weights), item
+    being the lead. items: category, item (the order, distinct), price, terms, weights (sorted by term). groups: those of
+    earlier runs; of these, only groups whose lead is among delegates (item) take part, where delegates are given. Items
+    without a category are left out.
     """
-    key = ["category", "terms", "weights", "price"]
-    firsts = cut(items.groupBy(*key).agg(F.min("item").alias("item")))
-    # Batches by quantile ranges of the order, so that no task sorts a whole category.
-    sizes = firsts.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("lo"), F.max("item").alias("hi"))
+    ship_package(items.sparkSession)
+    rows = cut(items.select("category", "item", F.col("price").cast("double").alias("price"), "terms", "weights"))
+    # Batches by ranges of the order, so that no task sorts a whole category.
+    sizes = rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("lo"), F.max("item").alias("hi"))
     parts = F.greatest(F.ceil(F.col("n") / F.lit(batch)), F.lit(1))
     sizes = cut(sizes.withColumn("parts", parts.cast("long")))
-    dealt = firsts.join(sizes, "category").withColumn("part", F.floor((F.col("item") - F.col("lo")) * F.col("parts") / (F.col("hi") - F.col("lo") + 1)))
-    dealt = dealt.select("category", "item", "terms", "weights", F.col("price").cast("double").alias("price"), "parts", "part")
-    state = items.sparkSession.createDataFrame([], _OUT)
-    grouped = None
+    dealt = rows.join(sizes, "category").withColumn("part", F.floor((F.col("item") - F.col("lo")) * F.col("parts") / (F.col("hi") - F.col("lo") + 1)))
+    dealt = dealt.select("category", "item", "terms", "weights", "price", "parts", "part")
+    empty = items.sparkSession.createDataFrame([], _OUT)
+    known = empty if groups is None else groups
+    if delegates is not None:
+        known = known.join(delegates.select("item").distinct(), "item", "left_semi")
+    filled = known.select("category", "item", F.col("item").alias("group_lead"), "mean", "n", "terms", "weights")
+    state = filled.join(sizes.select("category", "parts"), "category").select(_COLUMNS)
+    after = [filled.join(sizes, "category", "left_anti").drop("group_lead")]
+    grouped = empty.select("category", "item", "group_lead")
     for k in range(sizes.agg(F.max("parts")).first()[0] or 0):
-        rows = dealt.where(F.col("part") == k)
-        out = cut(state.groupBy("category").cogroup(rows.groupBy("category")).applyInPandas(_leaders(threshold, price_limit), _OUT))
-        state = out.where(F.col("mean").isNotNull() & (F.col("parts") > k + 1))
-        found = out.where("mean is null").select("item", "group_lead")
-        grouped = found if grouped is None else grouped.unionByName(found)
-    if grouped is None:
-        grouped = state.select("item", "group_lead")
-    led = firsts.join(grouped, "item").select(*key, "group_lead")
-    return items.join(led, key).select("category", "item", "group_lead")
+        now = dealt.where(F.col("part") == k)
+        out = cut(state.groupBy("category").cogroup(now.groupBy("category")).applyInPandas(_leaders(threshold, price_limit), _OUT))
+        grouped = grouped.unionByName(out.where("mean is null").select("category", "item", "group_lead"))
+        groups_now = out.where("mean is not null")
+        after.append(groups_now.where(F.col("parts") <= k + 1).drop("group_lead", "parts"))
+        state = groups_now.where(F.col("parts") > k + 1)
+    out = after[0]
+    for done in after[1:]:
+        out = out.unionByName(done)
+    return grouped, out
+
+
+def leader_groups(items: DataFrame, threshold: float = 0.995, price_limit: float = 0.3, batch: int = 10_000) -> DataFrame:
+    """category, item, group_lead of a first run; see continued()."""
+    return continued(items, threshold=threshold, price_limit=price_limit, batch=batch)[0]

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merchantry.functions.numbers import lenient_float, lenient_int
+from merchantry.functions.text import cut_bytes, location
+from merchantry.functions.urls import query_value, shop_number
 
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 
@@ -95,3 +97,229 @@ def signed_rate(c: Column) -> Column:
 def shop_links(html: Column) -> Column:
     """Distinct links to shops, in order."""
     return F.array_distinct(F.filter(attribute(html, "a", "href"), lambda u: F.regexp_like(u, F.lit(r"^https?://(shop\d+|[\w-]+)\.[\w.-]+/?$"))))
+
+
+#: Marks of the archived page layouts.
+IMAGE_SIZE = r"_\d+x\d+\.jpg|_b\.jpg"
+HIDDEN_TITLE, DETAIL_TITLE, CONTACT = "商品屏蔽", "宝贝详情", "联系卖家"
+
+
+def blocks(html: Column, tag: str, name: str = "") -> Column:
+    """The inner markup of all elements of a tag (of a class, where one is named) that hold no element of that tag."""
+    start = rf"<{tag}\b[^>]*\bclass=[\"'][^\"'>]*(?<![\w-]){name}(?![\w-])[^>]*>" if name else rf"<{tag}\b[^>]*>"
+    return F.regexp_extract_all(html, F.lit(rf"(?is){start}((?:(?!<{tag}\b).)*?)</{tag}\s*>"), F.lit(1))
+
+
+def bare(markup: Column) -> Column:
+    return F.trim(unescaped(F.regexp_replace(markup, "<[^>]*>", "")))
+
+
+def _first(c: Column) -> Column:
+    return F.get(c, F.lit(0))
+
+
+def _found(c: Column, pattern: str) -> Column:
+    """The first group of a pattern, or null."""
+    return F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
+
+
+def _sized(url: Column) -> Column:
+    return F.regexp_replace(url, IMAGE_SIZE, "")
+
+
+def mobile_item(page: Column) -> Column:
+    """error and the fields of a mobile item page (H01). Of the paragraphs of detail blocks the first holds the picture, if
+    there is one, then come a promotion price, if the next is not the price itself, the price, and two and three places on
+    the sales and the place. error: missing (hidden or no such item), title, cattag (another layout), group (sold
+    elsewhere), count (a sales line without a number); then the fields mean nothing."""
+    title = F.coalesce(element(page, "title"), F.lit(""))
+    box, details = blocks(page, "p", "box"), blocks(page, "div", "detail")
+    links = F.flatten(F.transform(box, lambda b: attribute(b, "a", "href")))
+    category = F.try_element_at(links, F.lit(-1))
+    paragraphs = F.flatten(F.transform(details, lambda d: F.regexp_extract_all(d, F.lit(r"(?is)<p\b[^>]*>(.*?)</p\s*>"), F.lit(1))))
+    lines = F.transform(paragraphs, bare)
+    pictures = F.flatten(F.transform(paragraphs, lambda p: F.regexp_extract_all(p, F.lit(r"(?i)<img\b[^>]*>"), F.lit(0))))
+    lead = F.when(~F.contains(_first(pictures), F.lit(f'alt="{CONTACT}"')), attribute(_first(pictures), "img", "src"))
+    more = F.flatten(F.transform(blocks(page, "table", "mt"), lambda t: attribute(t, "img", "src")))
+    images = F.when(lead.isNull(), F.array().cast("array<string>")).otherwise(F.transform(F.concat(lead, more), _sized))
+    some = F.size(images) > 0
+    judge = F.coalesce(F.get(lines, some.cast("int")), F.lit(""))
+    priced = F.contains(judge, F.lit("格："))
+    second_hand = ~priced & F.contains(judge, F.lit("价："))
+    at = F.when(~some, 0).when(priced, 1).otherwise(2)
+    amount = lambda i: F.regexp_extract(F.coalesce(F.get(lines, i), F.lit("")), r"(\d+\.\d+)", 1).try_cast("double")
+    sales = F.coalesce(F.get(lines, at + 2), F.lit(""))
+    sold = _found(sales, r"(\d+)")
+    place = F.coalesce(F.get(lines, at + 3), F.lit(""))
+    rating = _first(F.flatten(F.transform(blocks(page, "table", "rate_desc"), lambda t: blocks(t, "td", "link_btn"))))
+    number = F.when(second_hand, bare(rating)).otherwise(bare(_first(blocks(rating, "span"))))
+    buttons = F.filter(pictures, lambda p: F.contains(p, F.lit("nick=")))
+    error = (
+        F.when(F.contains(title, F.lit(HIDDEN_TITLE)) | (title == DETAIL_TITLE), "missing")
+        .when(F.octet_length(title) < 18, "title")
+        .when(F.size(box) <= 0, "cattag")
+        .when(category.isNotNull() & ~F.contains(category, F.lit("cat")), "group")
+        .when(sold.isNull() & F.contains(sales, F.lit("量")), "count")
+    )
+    return F.struct(
+        error.alias("error"),
+        cut_bytes_end(title, 18).alias("title"),
+        F.regexp_extract(category, r"(\d+)$", 1).try_cast("long").alias("cid"),
+        images.alias("item_imgs"),
+        (F.size(F.coalesce(F.regexp_extract_all(F.get(details, F.lit(1)), F.lit(r"(?i)<table\b"), F.lit(0)), F.array().cast("array<string>"))) != 1).alias("in_stock"),
+        F.when(~priced, amount(F.lit(1))).alias("promotion_price"),
+        amount(at).alias("price"),
+        sold.try_cast("long").alias("monthly_sales"),
+        F.when(F.contains(place, F.lit("地")), location(F.get(F.split(place, "："), F.lit(1)))).alias("location"),
+        F.coalesce(F.regexp_extract(number, r"(\d+)", 1).try_cast("long"), F.lit(0)).alias("reviews"),
+        query_value(_first(attribute(_first(buttons), "img", "src")), "nick").alias("nick"),
+    )
+
+
+def cut_bytes_end(c: Column, n: int) -> Column:
+    """The text without its last n bytes."""
+    data = F.encode(c, "UTF-8")
+    return F.try_validate_utf8(F.substring(data, F.lit(1), F.octet_length(data) - n).cast("string"))
+
+
+def detail_page(page: Column) -> Column:
+    """error, reviews and properties of a detail page (H02): a row of the goods-property table is a name and a value."""
+    red = _first(F.flatten(F.transform(blocks(page, "p"), lambda p: F.filter(F.transform(blocks(p, "strong"), bare), lambda s: s != ""))))
+    rows = F.flatten(F.transform(blocks(page, "table", "goods-property"), lambda t: blocks(t, "tr")))
+    cells = F.filter(F.transform(rows, lambda r: F.transform(blocks(r, "td"), lambda d: F.regexp_replace(bare(d), r"\r?\n", " "))), lambda c: F.size(c) > 1)
+    return F.struct(F.when(red.isNull(), "reviews").alias("error"), _found(red, r"(\d+)").try_cast("long").alias("reviews"), _last_wins(cells).alias("props"))
+
+
+def _last_wins(pairs: Column) -> Column:
+    """A map of arrays of name and value; of equal names the last wins."""
+    entries = F.transform(pairs, lambda p: F.struct(F.get(p, F.lit(0)).alias("k"), F.get(p, F.lit(1)).alias("v")))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["k"] == e["k"]))
+    return F.map_from_entries(last)
+
+
+def _listed(page: Column) -> Column:
+    listed = F.regexp_extract(page, r"(?is)<div\b[^>]*\bclass=[\"'][^\"'>]*(?<![\w-])attributes(?![\w-])[^>]*>(.*?)</ul\s*>", 1)
+    items = F.transform(blocks(listed, "li"), bare)
+    return _last_wins(F.filter(F.transform(items, lambda s: F.split(s, ":")), lambda p: F.size(p) > 1))
+
+
+def _desktop(page: Column, cid: Column, nick: Column, price: Column, source: str, online: Column, kind: str, tail: int) -> Column:
+    """Fields that both desktop layouts have. tail: characters at the end of the title that name the site."""
+    lead = F.regexp_extract(page, r"(?i)(<img\b[^>]*\bid=[\"']J_ImgBooth[\"'][^>]*>)", 1)
+    thumbs = F.regexp_extract(page, r"(?is)<ul\b[^>]*\bid=[\"']J_UlThumb[\"'][^>]*>(.*?)</ul\s*>", 1)
+    title = element(page, "title")
+    error = F.when(cid.isNull(), "category").when(nick.isNull(), "nick").when(price.isNull(), "price").when(lead == "", "image")
+    return F.struct(
+        error.alias("error"),
+        F.substring(title, F.lit(1), F.char_length(title) - tail).alias("title"),
+        cid.try_cast("long").alias("cid"),
+        nick.alias("nick"),
+        price.try_cast("double").alias("price"),
+        F.transform(F.concat(attribute(lead, "img", source), attribute(thumbs, "img", source)), _sized).alias("item_imgs"),
+        online.alias("in_stock"),
+        F.lit(kind).alias("shop_type"),
+        _listed(page).alias("props"),
+    )
+
+
+def mall_item(page: Column) -> Column:
+    """error and the fields of the desktop layout of malls."""
+    online = F.coalesce(_found(page, r"isOnline':(true|false)") == "true", F.lit(True))
+    nick = F.try_url_decode(_found(page, r"sellerNickName\" : '([^'\n]+)'"))
+    return _desktop(page, _found(page, r"categoryId':'(\d+)"), nick, _found(page, r"reservePrice' : '(\d+\.\d+)"), "src", online, "tmall.com", 12)
+
+
+def market_item(page: Column) -> Column:
+    """error and the fields of the desktop layout of single sellers."""
+    cid = F.coalesce(_found(page, r" cid:'(\d+)"), _found(page, r"data-catid =\"(\d+)"))
+    price = _found(_first(F.transform(blocks(page, "em", "tb-rmb-num"), bare)), r"(\d+\.\d+)")
+    gone = F.exists(F.transform(F.split(page, r"(?i)tb-out-of-date"), lambda s: s), lambda s: F.regexp_like(s, F.lit(r"(?is)^[^<]*>.*?<p\b[^>]*tb-hint[^>]*>\s*<strong")))
+    return _desktop(page, cid, _found(page, r"sellerNick:\"([^\"\n]+)\""), price, "data-src", ~gone, "taobao.com", 4)
+
+
+def merged_item(front: Column, detail: Column, item: Column, shop: Column, kind: Column, page: Column) -> Column:
+    """decision and the record of an item from its two pages (H04). decision: drop (the front page failed softly or the
+    detail page failed), missing, off (out of stock) or keep. The shop comes from the front page's link where it is not
+    known or was stored as the item."""
+    decision = F.when(front["error"] == "missing", "missing").when(front["error"].isNotNull() | detail["error"].isNotNull(), "drop").when(~front["in_stock"], "off").otherwise("keep")
+    known = F.coalesce(shop, F.lit("")) == ""
+    sid = F.when(known | (shop == item), shop_number(shop_link(page))).otherwise(shop)
+    return F.struct(
+        decision.alias("decision"),
+        item.try_cast("long").alias("num_iid"),
+        lenient_int(sid).alias("sid"),
+        kind.alias("shop_type"),
+        front["title"].alias("title"),
+        front["price"].alias("price"),
+        F.coalesce(front["promotion_price"], front["price"]).alias("promotion_price"),
+        detail["reviews"].alias("reviews"),
+        detail["props"].alias("props"),
+    )
+
+
+def shop_link(page: Column) -> Column:
+    """The shop's address on a mobile item page: the first link in bold type."""
+    strong = F.flatten(F.transform(blocks(page, "p"), lambda p: F.transform(blocks(p, "strong"), lambda s: _first(attribute(s, "a", "href")))))
+    return _first(F.filter(strong, lambda u: u.isNotNull()))
+
+
+def shop_nick(page: Column) -> Column:
+    """The seller's name in the address of the contact picture."""
+    return query_value(_first(F.filter(attribute(page, "img", "src"), lambda u: F.contains(u, F.lit("nick=")))), "nick")
+
+
+def listed_items(page: Column) -> Column:
+    """Numbers of the items that a page of a shop lists, and the next page where there is one."""
+    links = F.transform(blocks(page, "td", "pic"), lambda t: _found(_first(attribute(t, "a", "href")), r"(\d+)"))
+    pager = _first(blocks(page, "div", "pager"))
+    first = F.regexp_extract(pager, r"(?is)(<a\b[^>]*>.*?</a\s*>)", 1)
+    return F.struct(F.filter(links, lambda u: u.isNotNull()).alias("items"), F.when(bare(first) == "下页", _first(attribute(first, "a", "href"))).alias("next"))
+
+
+def shop_page(page: Column, link: Column) -> Column:
+    """The record of a shop's mobile page (H05); its error is gone where the page names no shop."""
+    title = _first(F.transform(blocks(page, "p", "box"), bare))
+    contact = _first(F.filter(F.regexp_extract_all(page, F.lit(r"(?is)<a\b[^>]*>\s*<img\b[^>]*alt=[\"']ww[\"'][^>]*>"), F.lit(0)), lambda s: s != ""))
+    picture = _first(F.transform(blocks(page, "td", "pic"), lambda t: _first(attribute(t, "img", "src"))))
+    rate = _found(page, r"好评率：([0-9.]+)")
+    return F.struct(
+        F.when(F.coalesce(title, F.lit("")) == "", "gone").alias("error"),
+        F.trim(cut_bytes(title, 8, 1 << 20)).alias("title"),
+        query_value(_first(attribute(contact, "img", "src")), "nick").alias("nick"),
+        query_value(_first(attribute(contact, "a", "href")), "shopId").try_cast("long").alias("sid"),
+        F.regexp_replace(picture, r"_\d+x\d+.jpg$|_b.jpg$", "").alias("pic_path"),
+        lenient_float(rate).alias("praise_rate"),
+        F.regexp_replace(link, r"\.m\.t", ".t").alias("shop_link"),
+    )
+
+
+def seller_id(page: Column) -> Column:
+    """The seller's number on a shop's page, or null."""
+    return F.coalesce(_found(page, r"(?:userId|userid|sellerid|sellerId)=(\d+)"), _found(page, r"userId:\"(\d+)\""))
+
+
+def rating_page(page: Column) -> Column:
+    """company, main products, place and the three signed rates of a rating page (H05). A rate is below zero where its
+    class is not `percent over`; ---- is zero; other than three rates are none."""
+    company = F.try_element_at(F.transform(F.flatten(F.transform(blocks(page, "li", "company"), lambda c: blocks(c, "div", "fleft2"))), bare), F.lit(-1))
+    items = F.flatten(F.transform(blocks(page, "li", "J_RateInfoTrigger"), lambda c: F.array(c)))
+
+    def rate(item: Column) -> Column:
+        marks = blocks(item, "em")
+        over = F.regexp_like(F.get(marks, F.lit(1)), F.lit(r"class=[\"']percent over[\"']"))
+        size = F.coalesce(F.regexp_extract(bare(F.get(marks, F.lit(1))), r"^([0-9.]+)", 1).try_cast("double"), F.lit(0.0))
+        return F.struct(lenient_float(bare(_first(marks))).alias("score"), F.when(over | (size == 0), size).otherwise(-size).alias("rate"))
+
+    rates = F.transform(items, rate)
+    return F.struct(
+        company.alias("company"),
+        F.when(company.isNull(), "taobao.com").otherwise("tmall.com").alias("shop_type"),
+        F.trim(_found(page, r"当前主营：([^<\n]+)")).alias("main_products"),
+        _found(page, r"所在地区：[\s\p{C}]+(\p{L}+)").alias("location"),
+        F.when(F.size(rates) == 3, rates).alias("rates"),
+    )
+
+
+def service_numbers(body: Column, schema: str) -> Column:
+    """JSON of the service feed: numbers in quotation marks are numbers."""
+    return F.from_json(F.regexp_replace(body, r'"([0-9.]+)"', "$1"), schema)

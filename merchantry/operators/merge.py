@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -83,6 +83,45 @@ def keep_curated(table: DataFrame, changes: DataFrame, key: str, column: str, un
     return joined.select(*(value.alias(c) if c == column else F.col(c) for c in table.columns))
 
 
+def set_all(table: DataFrame, values: Mapping[str, Column]) -> DataFrame:
+    """Every row updated."""
+    return table.withColumns(dict(values))
+
+
+def replaced_structs(table: DataFrame, changes: DataFrame, key: str, structs: Sequence[str], stamps: Mapping[str, Column]) -> DataFrame:
+    """Whole nested structs replaced, a null one included, and times stamped, for the keys that changes name."""
+    new = changes.select(F.col(key), *(F.col(c).alias(f"_new_{c}") for c in structs), F.lit(True).alias("_hit"))
+    joined, hit = table.join(new, key, "left"), F.col("_hit")
+    value = lambda c: F.when(hit, F.col(f"_new_{c}")).otherwise(F.col(c)) if c in structs else F.when(hit, stamps[c]).otherwise(F.col(c))
+    return joined.select(*(value(c).alias(c) if c in structs or c in stamps else F.col(c) for c in table.columns))
+
+
+def refreshed_shops(table: DataFrame, fetched: DataFrame, key: str, keep: Sequence[str], kind: str, ruling: str) -> DataFrame:
+    """Shops as fetched anew, but for the columns of keep; the kind `ruling` stays; shops that are gone leave.
+    fetched: key, gone, and columns of table; shops that were not fetched stay as they are."""
+    others = [c for c in fetched.columns if c not in (key, "gone")]
+    new = fetched.select(F.col(key), "gone", *(F.col(c).alias(f"_new_{c}") for c in others), F.lit(True).alias("_hit"))
+    joined, hit = table.join(new, key, "left").where("not coalesce(gone, false)"), F.col("_hit").isNotNull()
+    changed = lambda c: F.when(hit & (F.lit(c != kind) | (F.col(kind) != ruling)), F.col(f"_new_{c}")).otherwise(F.col(c))
+    return joined.select(*(changed(c).alias(c) if c in others and c not in keep else F.col(c) for c in table.columns))
+
+
+def with_children(table: DataFrame, rows: DataFrame, trimmed: Sequence[str], as_of: Column) -> DataFrame:
+    """Child rows appended, named texts trimmed and both times set."""
+    new = rows.withColumns({c: F.trim(c) for c in trimmed}).withColumns({"created_time": as_of, "updated_time": as_of})
+    return table.unionByName(new)
+
+
+def recrawled(parsed: DataFrame, failed: DataFrame, shops: DataFrame, key: str, shop: str, as_of: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a new crawl leaves (K24): records of pages that parsed, the failed table with pages that did not, and shops
+    with those seen for the first time, queued. parsed: key, shop, error, record; failed: key; shops: shop, status,
+    created_time."""
+    good = parsed.where("error is null")
+    left = failed.join(good.select(key), key, "left_anti").unionByName(parsed.where("error is not null").select(key)).distinct()
+    new = good.where(F.col(shop).isNotNull()).select(shop).distinct().select(shop, F.lit("queued").alias("status"), as_of.alias("created_time"))
+    return good.select(key, shop, "record.*"), left, insert_absent(shops, new, shop)
+
+
 def claim(table: DataFrame, key: str, state: str, order: Sequence[Column], queued: str, taken: str) -> DataFrame:
     """The head of the queue is taken (K09): one row changes its state."""
     head = table.where(F.col(state) == queued).orderBy(*order).limit(1).select(F.col(key).alias("_key"))
@@ -101,7 +140,3 @@ def next_states(state: Column, last: Column, as_of: Column, cycle_hours: Column,
         .otherwise(state)
     )
 
-
-def first_by(window_key: Sequence[str], order: Sequence[Column]) -> object:
-    """A window for the rare case that every row needs its rank."""
-    return Window.partitionBy(*window_key).orderBy(*order)

@@ -38,7 +38,7 @@ def shop_priority(likes: Column, selections: Column, items: Column) -> Column:
     return (
         F.when(selections >= 100, 5)
         .when((selections >= 20) & (per_item >= 200), 6)
-        .when(selections > 30, 7)
+        .when(selections >= 30, 7)
         .when(likes >= 3000, 8)
         .when(selections >= 5, 9)
         .otherwise(10)

@@ -89,14 +89,15 @@ def semi_in_list(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def anti_absent(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an urgent order."""
+    orders = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf, "customer").join(orders, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
 def price_band_join(spark: SparkSession, sf: str) -> DataFrame:
-    parts = table(spark, sf, "part")
-    items = parts.where(F.col("p_size") <= 5).select("p_partkey", "p_brand", "p_retailprice")
-    groups = parts.where(F.col("p_size") >= 48).select(F.col("p_partkey").alias("group_id"), "p_brand", F.col("p_retailprice").alias("group_price"))
+    """All parts with the groups of their brand (one a size, all parts in them) whose mean price is within 30 %."""
+    items = table(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice")
+    groups = table(spark, sf, "part").groupBy("p_brand", "p_size").agg(F.min("p_partkey").alias("group_id"), F.round(F.avg("p_retailprice"), 4).alias("group_price")).drop("p_size")
     joined = lookups.price_band(items, groups, "p_brand", "p_retailprice", "group_price", 0.3)
     return joined.select("p_partkey", "group_id", F.round(numbers.price_difference(F.col("p_retailprice"), F.col("group_price")), 6).alias("difference"))
 
@@ -179,12 +180,11 @@ SQL = {
     "semi_in_list": """
         SELECT c_custkey, c_name FROM customer
         WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""",
-    "anti_absent": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "anti_absent": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "price_band_join": """
-        SELECT a.p_partkey, b.p_partkey AS group_id, round(1 - least(a.p_retailprice, b.p_retailprice)
-               / greatest(a.p_retailprice, b.p_retailprice), 6) AS difference
-        FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size <= 5 AND b.p_size >= 48
-        WHERE 1 - least(a.p_retailprice, b.p_retailprice) / greatest(a.p_retailprice, b.p_retailprice) <= 0.3""",
+        WITH g AS (SELECT p_brand, min(p_partkey) AS group_id, round(avg(p_retailprice), 4) AS price FROM part GROUP BY p_brand, p_size)
+        SELECT p_partkey, group_id, round(1 - least(p_retailprice, price) / greatest(p_retailprice, price), 6) AS difference
+        FROM part JOIN g USING (p_brand) WHERE 1 - least(p_retailprice, price) / greatest(p_retailprice, price) <= 0.3""",
     "bulk_read": """
         SELECT i.c_custkey, CASE WHEN c.c_custkey IS NULL THEN 'error' ELSE 'found' END AS status, c_name
         FROM (SELECT DISTINCT o_custkey * 2 AS c_custkey FROM orders) i LEFT JOIN customer c ON i.c_custkey = c.c_custkey""",

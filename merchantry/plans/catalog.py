@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from merchantry.plans import browse, mining, pages, shops, streams, tables
+from merchantry.plans import browse, forms, layouts, mining, pages, shops, streams, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [shops, browse, tables, mining, pages, streams]
+MODULES = [shops, browse, tables, mining, pages, streams, layouts, forms]
 
 
 def queries() -> dict[str, Query]:

@@ -46,7 +46,7 @@ def ngram_freq(spark: SparkSession, sf: str) -> DataFrame:
 def neighbour_entropy(spark: SparkSession, sf: str) -> DataFrame:
     rows, tokens = table(spark, sf, "documents"), tx.token_stream(F.col("text"))
     freq = words.frequencies(rows, tokens, 2, least=50).select("word")
-    runs = words.grams(rows, tokens, 2).join(freq, "word", "left_semi")
+    runs = words.neighbours(rows, tokens, 2).join(freq, "word", "left_semi")
     both = words.entropy(runs, "left", True).join(words.entropy(runs, "right", False), "word")
     return both.select("word", F.round("entropy_left", 6).alias("entropy_left"), F.round("entropy_right", 6).alias("entropy_right"))
 
@@ -63,7 +63,7 @@ def ngram_freq_all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def neighbour_entropy_all(spark: SparkSession, sf: str) -> DataFrame:
-    runs = words.grams(table(spark, sf, "documents"), tx.token_stream(F.col("text")), 5)
+    runs = words.neighbours(table(spark, sf, "documents"), tx.token_stream(F.col("text")), 5)
     both = words.entropy(runs, "left", True).join(words.entropy(runs, "right", False), "word")
     return both.select("word", F.round("entropy_left", 6).alias("entropy_left"), F.round("entropy_right", 6).alias("entropy_right"))
 

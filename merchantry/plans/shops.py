@@ -56,7 +56,7 @@ SQL = {
     "shop_priority": f"""
         SELECT s_suppkey, total_items, CAST(CASE WHEN total_selections >= 100 THEN 5
             WHEN total_selections >= 20 AND total_likes // nullif(total_items, 0) >= 200 THEN 6
-            WHEN total_selections > 30 THEN 7 WHEN total_likes >= 3000 THEN 8
+            WHEN total_selections >= 30 THEN 7 WHEN total_likes >= 3000 THEN 8
             WHEN total_selections >= 5 THEN 9 ELSE 10 END AS INTEGER) AS priority FROM ({_TOTALS}) t""",
     "item_score": f"""
         SELECT l_orderkey, l_linenumber, round((1 + pow(ln(

@@ -13,10 +13,10 @@ from merchantry.sources.tables import table
 
 
 def upsert_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """Older orders, with a batch of newer ones whose price is known and whose priority is not."""
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
-    changes = orders.where("o_orderkey % 3 = 0").select("o_orderkey", (F.col("o_totalprice") + 1).alias("o_totalprice"), F.lit(None).cast("string").alias("o_orderpriority"))
-    return merge.upsert(orders.where("o_orderkey % 2 = 0"), changes, "o_orderkey").withColumn("o_totalprice", F.round("o_totalprice", 2))
+    """Orders up to 1996, with a batch of those from 1995 on whose price is known and whose priority is not."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", F.year("o_orderdate").alias("y"))
+    changes = orders.where("y >= 1995").select("o_orderkey", (F.col("o_totalprice") + 1).alias("o_totalprice"), F.lit(None).cast("string").alias("o_orderpriority"))
+    return merge.upsert(orders.where("y <= 1996").drop("y"), changes, "o_orderkey").withColumn("o_totalprice", F.round("o_totalprice", 2))
 
 
 def counter_merge(spark: SparkSession, sf: str) -> DataFrame:
@@ -32,11 +32,12 @@ def partial_update(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def refresh_records(spark: SparkSession, sf: str) -> DataFrame:
-    """Known documents (every second one without a title) seen again among others."""
-    docs = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 20).alias("title"))
+    """Known documents (all but German ones; those under 400 characters without a title) seen again (all but French ones)
+    with their whole text as title."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("title"), F.coalesce("lang", F.lit("")).alias("lang"), "n_chars")
     none = F.lit(None).cast("timestamp_ntz")
-    old = docs.where("doc_id % 3 <> 0").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("title")).alias("title"), none.alias("created_time"), none.alias("refresh_time"), F.lit(False).alias("refreshed"), F.lit(True).alias("uploaded"))
-    return merge.insert_or_refresh(old, docs.where("doc_id % 5 <> 0"), "doc_id", F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz"))
+    old = docs.where("lang <> 'de'").select("doc_id", F.when(F.col("n_chars") >= 400, F.col("title")).alias("title"), none.alias("created_time"), none.alias("refresh_time"), F.lit(False).alias("refreshed"), F.lit(True).alias("uploaded"))
+    return merge.insert_or_refresh(old, docs.where("lang <> 'fr'").select("doc_id", "title"), "doc_id", F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz"))
 
 
 def delete_keys(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,8 +46,10 @@ def delete_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def insert_absent(spark: SparkSession, sf: str) -> DataFrame:
-    customers = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    return merge.insert_absent(customers.where("c_custkey % 4 <> 0"), customers.where("c_custkey % 6 = 0"), "c_custkey")
+    """Customers of all segments but one, to which those of several segments, that one too, are added."""
+    customers = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    known = customers.where("c_mktsegment <> 'BUILDING'").drop("c_mktsegment")
+    return merge.insert_absent(known, customers.where("c_mktsegment < 'G'").drop("c_mktsegment"), "c_custkey")
 
 
 def unbind_items(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,16 +160,15 @@ _CLOSURE = f"""WITH RECURSIVE e AS ({_EDGES}), up(node, ancestor, distance) AS (
 
 SQL = {
     "upsert_merge": """
-        SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN round(o_totalprice + 1, 2) ELSE round(o_totalprice, 2) END AS o_totalprice,
-               CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS o_orderpriority
-        FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0""",
+        SELECT o_orderkey, round(CASE WHEN year(o_orderdate) >= 1995 THEN o_totalprice + 1 ELSE o_totalprice END, 2) AS o_totalprice,
+               CASE WHEN year(o_orderdate) <= 1996 THEN o_orderpriority END AS o_orderpriority FROM orders""",
     "counter_merge": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
     "partial_update": """
         SELECT p_partkey, p_brand, p_size + CASE WHEN p_partkey IN (SELECT l_partkey FROM lineitem
                WHERE l_quantity >= 50 AND l_suppkey < 3) THEN 100 ELSE 0 END AS p_size FROM part""",
     "refresh_records": """
-        WITH o AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 20) END AS title FROM documents WHERE doc_id % 3 <> 0),
-        s AS (SELECT doc_id, substr(text, 1, 20) AS t FROM documents WHERE doc_id % 5 <> 0),
+        WITH o AS (SELECT doc_id, CASE WHEN n_chars >= 400 THEN text END AS title FROM documents WHERE coalesce(lang, '') <> 'de'),
+        s AS (SELECT doc_id, text AS t FROM documents WHERE coalesce(lang, '') <> 'fr'),
         j AS (SELECT coalesce(o.doc_id, s.doc_id) AS doc_id, title, t, o.doc_id IS NOT NULL AS known,
                      t IS NOT NULL AS hit, title IS NULL OR title = '' AS fresh FROM o FULL JOIN s ON o.doc_id = s.doc_id)
         SELECT doc_id, coalesce(t, title) AS title, CASE WHEN hit AND fresh THEN TIMESTAMP '2024-01-01' END AS created_time,
@@ -175,7 +177,7 @@ SQL = {
     "delete_keys": """
         SELECT o_orderkey, o_orderstatus FROM orders
         WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""",
-    "insert_absent": "SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 4 <> 0 OR c_custkey % 6 = 0",
+    "insert_absent": "SELECT c_custkey, c_nationkey FROM customer",
     "unbind_items": "SELECT c_custkey, CASE WHEN c_nationkey = 7 THEN -1 ELSE c_nationkey END AS c_nationkey FROM customer",
     "keep_curated": """
         SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 1 AND o_orderpriority IN ('5-LOW', '4-NOT SPECIFIED')
