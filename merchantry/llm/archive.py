@@ -4,6 +4,10 @@ The archive is two Parquet tables. `payloads` has each distinct payload once, un
 record with the record's exact header bytes and no payload. Reading joins records with payloads by digest, verifies the
 digest and the length of every payload, and parses the headers again, so that results come from what was stored.
 
+round_trip() goes all the way: each response is put together as the bytes of a WARC record, and type, length and digest are
+taken from these bytes; a revisit has its payload from the record that it refers to. Payloads are stored in buckets of
+their digest, so they are shuffled once, when equal ones are found, and not again when records are put together.
+
 Defined results: a null payload is empty; of equal payloads of at least `least_bytes` bytes the records with the smallest
 id are responses and the others revisit it, shorter ones are all responses; rows with null ids revisit where their
 payload has a record with an id, and are responses otherwise; repeated rows give a record each; an empty table gives an
@@ -12,6 +16,8 @@ empty archive; other columns are not archived.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,14 +59,38 @@ def records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html"
     return placed.select("page_id", "digest", F.encode(header, "UTF-8").alias("header")), payloads
 
 
-def write(pages: DataFrame, folder: str, **names: object) -> str:
+def write(pages: DataFrame, folder: str, compression: str = "zstd", **names: object) -> str:
     """Writes the archive below folder; returns folder."""
     rows, payloads = records(pages, **names)
-    rows.write.parquet(f"{folder}/records")
-    payloads.write.parquet(f"{folder}/payloads")
+    rows.write.option("compression", compression).parquet(f"{folder}/records")
+    payloads.write.option("compression", compression).parquet(f"{folder}/payloads")
     return folder
 
 
+def write_bucketed(pages: DataFrame, folder: str, compression: str = "zstd", **names: object) -> tuple[DataFrame, DataFrame]:
+    """As write(), payloads in buckets by digest, which read() takes as plain files. Returns (records, payloads); the
+    payloads keep their buckets as long as this session plans with them."""
+    spark = pages.sparkSession
+    rows, payloads = records(pages, **names)
+    rows.write.option("compression", compression).parquet(f"{folder}/records")
+    name, buckets = f"payloads_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = payloads.write.format("parquet").option("compression", compression).option("path", f"{folder}/payloads")
+    out.bucketBy(buckets, "digest").sortBy("digest").saveAsTable(name)
+    return spark.read.parquet(f"{folder}/records"), spark.table(name)
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    """Stored records with the fields of their headers."""
+    return rows.select(F.decode("header", "UTF-8").alias("header")).select(
+        "header",
+        F.regexp_extract(_header("WARC-Record-ID"), r"<urn:page:(-?[0-9]*)>", 1).try_cast("long").alias("page_id"),
+        _header("WARC-Type").alias("record_type"),
+        F.regexp_extract(_header("WARC-Refers-To"), r"<urn:page:(-?[0-9]+)>", 1).try_cast("long").alias("refers_to"),
+        F.regexp_extract(_header("WARC-Payload-Digest"), "sha256:([0-9a-f]+)", 1).alias("payload_digest"),
+        _header("X-Payload-Length").try_cast("long").alias("payload_bytes"),
+    )
+
+
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """Every record again: page_id, record_type, refers_to, payload_digest, payload_bytes, header, payload; `verified`
     is false where the stored payload does not fit the header's digest or length.
@@ -74,15 +104,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         F.octet_length("payload").cast("long").alias("found_bytes"),
         "payload",
     )
-    rows = spark.read.parquet(f"{folder}/records").withColumn("header", F.decode("header", "UTF-8"))
-    rows = rows.select(
-        "header",
-        F.regexp_extract(_header("WARC-Record-ID"), r"<urn:page:(-?[0-9]*)>", 1).try_cast("long").alias("page_id"),
-        _header("WARC-Type").alias("record_type"),
-        F.regexp_extract(_header("WARC-Refers-To"), r"<urn:page:(-?[0-9]+)>", 1).try_cast("long").alias("refers_to"),
-        F.regexp_extract(_header("WARC-Payload-Digest"), "sha256:([0-9a-f]+)", 1).alias("payload_digest"),
-        _header("X-Payload-Length").try_cast("long").alias("payload_bytes"),
-    )
+    rows = _parsed(spark.read.parquet(f"{folder}/records"))
     joined = rows.join(payloads, rows.payload_digest == payloads.stored_digest, "left")
     good = (F.col("found_digest") == F.col("payload_digest")) & (F.col("found_bytes") == F.col("payload_bytes"))
     return joined.withColumn("verified", F.coalesce(good, F.lit(False))).drop("stored_digest", "found_digest", "found_bytes")
@@ -94,9 +116,41 @@ def record_bytes() -> Column:
     return F.concat(F.encode("header", "UTF-8"), body, F.lit(b"\r\n\r\n"))
 
 
+def _taken_apart(record: Column, header_bytes: Column) -> tuple[Column, Column]:
+    """Digest and length of the payload within the bytes of a response record."""
+    text = F.substring(record, F.lit(1), header_bytes).cast("string")
+    length = F.regexp_extract(text, r"(?m)^Content-Length: ([0-9]+)", 1).cast("int")
+    # The record ends with the payload and two line ends.
+    payload = F.substring(record, F.octet_length(record) - length - 3, length)
+    return F.sha2(payload, 256), F.octet_length(payload).cast("long")
+
+
+def rebuilt(rows: DataFrame, payloads: DataFrame, least_bytes: int = 100) -> DataFrame:
+    """page_id, record_type, refers_to and, out of the bytes of the record that holds the payload, payload_digest and
+    payload_bytes. Payloads of `least_bytes` and more are in one response each and meet it in their bucket; shorter ones may
+    be in very many, so they are few bytes that Spark may shuffle and split."""
+    parsed = _parsed(rows)
+    responses = parsed.where("record_type = 'response'")
+    stored = payloads.select(F.col("digest").alias("payload_digest"), "payload")
+    long_, length = F.octet_length("payload") >= least_bytes, F.col("payload_bytes") >= least_bytes
+    whole = responses.where(length).join(stored.where(long_), "payload_digest")
+    whole = whole.unionByName(responses.where(~length).join(stored.where(~long_), "payload_digest"))
+    digest, size = _taken_apart(F.col("record"), F.octet_length("header"))
+    names = F.col("payload_digest").alias("stored_digest"), F.col("payload_bytes").alias("stored_bytes")
+    found = whole.withColumn("record", record_bytes()).select("page_id", *names, digest.alias("payload_digest"), size.alias("payload_bytes"))
+    same = (F.col("payload_digest") == F.col("stored_digest")) & (F.col("payload_bytes") == F.col("stored_bytes"))
+    checked = F.when(same, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a stored payload does not fit its digest")))
+    found = found.withColumn("payload_digest", checked)
+    # A payload with revisits is long, and its one response is found again by the digest.
+    targets = found.where(F.col("stored_bytes") >= least_bytes).groupBy("stored_digest").agg(F.first("payload_digest").alias("d"), F.first("payload_bytes").alias("b"))
+    again = parsed.where("record_type = 'revisit'").join(targets, F.col("payload_digest") == F.col("stored_digest"), "left")
+    again = again.select("page_id", F.coalesce("d", F.raise_error(F.lit("a revisit refers to no record")).cast("string")).alias("payload_digest"), F.col("b").alias("payload_bytes"), "record_type", "refers_to")
+    none = F.lit(None).cast("long")
+    return found.select("page_id", "payload_digest", "payload_bytes", F.lit("response").alias("record_type"), none.alias("refers_to")).unionByName(again)
+
+
 def round_trip(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
-    """Archives the pages in the shared folder and returns the records as read back."""
+    """Archives the pages in the shared folder and returns the records as rebuilt from what is stored."""
     spark = pages.sparkSession
-    found = read(spark, write(pages, new_folder(spark, "archive"), least_bytes=least_bytes))
-    checked = F.when(F.col("verified"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a stored payload does not fit its digest")))
-    return found.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
+    stored = write_bucketed(pages, new_folder(spark, "archive"), least_bytes=least_bytes)
+    return rebuilt(*stored, least_bytes).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
