@@ -50,7 +50,7 @@ BROADCAST_IDS = 500_000
 BROADCAST_ITEMS = 4_000_000
 #: Sampled shingles that one Python task looks at together, and the bits of them that are compared in the first filter.
 #: Two shingles that agree in these bits keep a node at most, and none is lost.
-CHUNK_ITEMS = 500_000
+CHUNK_ITEMS = 200_000
 ITEM_BITS = 48
 
 
