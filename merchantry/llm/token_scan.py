@@ -3,13 +3,13 @@
 write_tokens() makes flat files of 16-bit little-endian token ids, nothing else: no index, no lengths. Id 0 ends a
 document, so a vocabulary id is stored plus one. A document may begin with a header of ids that carry its doc_id.
 
-count() reads such files, cuts each into blocks wherever they end, and searches the blocks for the separator with numpy.
-A block yields what it holds whole (documents between two of its separators) and two ends: the tokens before its first
-separator and after its last. A prefix scan over a file's blocks adds up what stays open from block to block, which gives
-each document that crosses a boundary its length, its header and its ordinal.
+count() cuts such files into blocks wherever they end, deals the blocks to tasks, and each task reads its blocks' byte ranges
+and searches them for the separator with numpy; a file of any size is read by many tasks. A block yields what it holds whole
+(documents between two of its separators) and two ends: the tokens before its first separator and after its last. A prefix
+scan over the ends of a file's blocks, some hundred bytes for each 4 MB, adds up what stays open from block to block, which
+gives each document that crosses a boundary its length, its header and its ordinal; the documents themselves join that by block.
 
-A file is read as one value: files are as large as the input split they were written from. Longer ones than
-spark.sql.sources.binaryFile.maxLength are refused by Spark.
+Tasks open byte ranges with pyarrow's file systems (file, hdfs, viewfs, s3, gs, abfs), as Spark's readers give whole files.
 
 Defined results: a null or empty text is a document of 0 tokens; repeated rows are counted each; a null id is kept; tokens
 after the last separator are a document too; an empty file or table has no documents; other columns are ignored.
@@ -20,19 +20,22 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from merchantry.session import ship_package
+from merchantry.session import cut, ship_package
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the published splitting pattern of the 50k byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 MAX_VOCABULARY_BYTES = 64 << 20
-BLOCK_TOKENS = 32768
+BLOCK_TOKENS = 1 << 21
+TASK_BYTES, MAX_TASKS = 4 << 20, 1 << 16  # a scan has a task for so many bytes, and at most so many tasks
 DIGIT, HEADER = 60000, 6  # a header is two 32-bit halves in three digits each, stored plus one; all 60001 for null
 _ENCODINGS: dict[int, object] = {}
 
@@ -82,14 +85,25 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, id_
     return folder
 
 
-def _scan(n_header: int) -> object:
+def _opened(path: str) -> pa.NativeFile:
+    """The file at a path as Spark writes it, which is not percent-encoded."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme or scheme == "file":
+        local = rest if scheme == "file" and colon else path
+        return fs.LocalFileSystem().open_input_file("/" + local.lstrip("/"))
+    system, inner = fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{quote(rest, safe='/:@')}")
+    return system.open_input_file(inner)
+
+
+def _scan(n_header: int, step: int) -> object:
     names = ["path", "block", "n_tokens", "n_sep", "head", "tail", "head_ids", "tail_ids", "docs", "counts"]
+    types = [pa.string(), *[pa.int64()] * 5, *[pa.list_(pa.int64())] * 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, block, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = np.frombuffer(data, "<u2")
+            for path, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with _opened(path) as f:
+                    ids = np.frombuffer(f.read_at(step, block * step), "<u2")
                 seps = np.flatnonzero(ids == 0)
                 head = int(seps[0]) if len(seps) else len(ids)
                 tail = len(ids) - int(seps[-1]) - 1 if len(seps) else len(ids)
@@ -103,10 +117,8 @@ def _scan(n_header: int) -> object:
                     found = [int(v) if ok else None for v, ok in zip(value, known, strict=True)]
                 first = ids[: min(head, n_header)].tolist()
                 last = ids[len(ids) - tail :][:n_header].tolist()
-                rows.append((path, block, len(ids), len(seps), head, tail, first, last, found or [None] * len(counts), counts.tolist()))
-            types = [pa.string(), *[pa.int64()] * 5, *[pa.list_(pa.int64())] * 4]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                row = (path, block, len(ids), len(seps), head, tail, first, last, found or [None] * len(counts), counts.tolist())
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
 
     return run
 
@@ -122,15 +134,20 @@ def count(spark: SparkSession, folder: str, n_header: int = HEADER, block_tokens
     separator) for each document of the flat files below folder."""
     if n_header not in (0, HEADER) or block_tokens < HEADER:
         raise ValueError("a header has 0 or 6 ids and fits in a block")
-    files = spark.read.format("binaryFile").load(folder).where("length > 0").select("path", "length", "content")
+    ship_package(spark)
+    files = spark.read.format("binaryFile").load(folder).where("length > 0").select("path", "length")
     step = 2 * block_tokens
     whole = F.when(F.col("length") % 2 == 0, F.col("length")).otherwise(F.raise_error(F.lit("a file does not hold whole tokens")).cast("long"))
-    cut_up = files.select("path", "content", F.explode(F.sequence(F.lit(0), F.floor((whole - 1) / step).cast("int"))).alias("block"))
-    data = F.substring(F.col("content"), F.col("block") * step + 1, F.lit(step))
-    found = cut_up.select("path", "block", data.alias("data")).mapInArrow(
-        _scan(n_header),
-        "path string, block long, n_tokens long, n_sep long, head long, tail long, head_ids array<long>, tail_ids array<long>, docs array<long>, counts array<long>",
+    blocks = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((whole - 1) / step))).alias("block"))
+    tasks = files.agg(F.ceil(F.sum("length") / TASK_BYTES)).first()[0]
+    found = cut(
+        blocks.repartition(max(1, min(tasks or 0, MAX_TASKS))).mapInArrow(
+            _scan(n_header, step),
+            "path string, block long, n_tokens long, n_sep long, head long, tail long, head_ids array<long>, tail_ids array<long>, docs array<long>, counts array<long>",
+        )
     )
+    whole_docs = found.select("path", "block", "docs", "counts")
+    found = found.drop("docs", "counts")
     order = Window.partitionBy("path").orderBy("block")
     found = found.withColumn("segment", F.count_if(F.col("n_sep") > 0).over(order))
     in_segment = Window.partitionBy("path", "segment").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
@@ -144,10 +161,10 @@ def count(spark: SparkSession, folder: str, n_header: int = HEADER, block_tokens
         (F.lead("block").over(order).isNull()).alias("last"),
     )
     carried = scanned.select(
-        "*",
+        *(c for c in scanned.columns if c != "tail_ids"),
         F.coalesce(F.lag("open").over(order), F.lit(0)).alias("carry"),
         F.coalesce(F.lag("open_ids").over(order), none).alias("carry_ids"),
-    )
+    ).join(whole_docs, ["path", "block"])
     doc = lambda ordinal, ids, n: F.struct(ordinal.cast("long").alias("ordinal"), ids.alias("doc_id"), (n - n_header).cast("long").alias("n_tokens"))
     own = lambda ids: _decoded(ids) if n_header else F.lit(None).cast("long")
     stitched = doc(F.col("before"), own(F.concat("carry_ids", "head_ids")), F.col("carry") + F.col("head"))

@@ -155,6 +155,19 @@ def test_token_counts(spark, docs, rows, block):
     assert all(sorted(v) == list(range(len(v))) for v in per_file.values())
 
 
+def test_token_counts_of_one_file_read_by_many_tasks(spark, docs, rows, monkeypatch):
+    folder = token_scan.write_tokens(docs.coalesce(1), new_folder(spark, "tokens of one file"))
+    monkeypatch.setattr(token_scan, "TASK_BYTES", 4000)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "100")  # no file is read as one value
+    try:
+        got = token_scan.count(spark, folder, block_tokens=500)
+        assert len({r.path for r in got.collect()}) == 1
+        whole = token_scan.count(spark, folder)
+        assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect())) and whole.count() == len(rows)
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
 def test_token_counts_of_nothing(spark, nothing):
     folder = token_scan.write_tokens(nothing, new_folder(spark, "tokens"))
     assert token_scan.count(spark, folder).count() == 0
