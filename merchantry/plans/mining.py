@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from merchantry.functions import codecs, numbers, times, urls
 from merchantry.functions import text as tx
 from merchantry.operators import dictionary, grouping, vectors, words
+from merchantry.session import cut
 from merchantry.sources.tables import table
 
 
@@ -38,15 +39,15 @@ def url_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ngram_freq(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents")
-    freq = words.frequencies(rows, tx.token_stream(F.col("text")), 3, least=20)
+    rows = words.token_rows(table(spark, sf, "documents"), tx.token_stream(F.col("text")))
+    freq = words.frequencies(rows, F.col("tokens"), 3, least=20)
     return freq.select("word", "len", "freq", F.round("prob", 10).alias("prob"))
 
 
 def neighbour_entropy(spark: SparkSession, sf: str) -> DataFrame:
-    rows, tokens = table(spark, sf, "documents"), tx.token_stream(F.col("text"))
-    freq = words.frequencies(rows, tokens, 2, least=50).select("word")
-    runs = words.neighbours(rows, tokens, 2).join(freq, "word", "left_semi")
+    rows, tokens = words.token_rows(table(spark, sf, "documents"), tx.token_stream(F.col("text"))), F.col("tokens")
+    freq = cut(words.frequencies(rows, tokens, 2, least=50).select("word"))
+    runs = cut(words.neighbours(rows, tokens, 2, freq))
     both = words.entropy(runs, "left", True).join(words.entropy(runs, "right", False), "word")
     return both.select("word", F.round("entropy_left", 6).alias("entropy_left"), F.round("entropy_right", 6).alias("entropy_right"))
 
