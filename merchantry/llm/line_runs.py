@@ -1,19 +1,22 @@
-"""Line dedup by prefix doubling over line-ID sequences (9).
+"""Line dedup by a suffix array over line-ID sequences (9).
 
 A document is the sequence of its lines that have a word. A run of lines that stands at an earlier place too (a smaller
 doc_id, or further up in the same document) and has `min_words` words or more is a later copy; all lines of later copies
 are deleted. Lines are equal when their bytes are.
 
-Prefix doubling names runs of 1, 2, 4, ... lines: the name of a run is the first position of an equal one, and a run of
-2^(k+1) lines is the pair of the names of its halves. Positions that share a name are the interval of the suffix array
-whose common prefix has that length; positions whose run occurs once leave, as no longer one can repeat. The order
-within the array is not needed, so rounds group by pairs of names instead of sorting all suffixes. A run of any length
-is the pair of the two overlapping named runs that begin and end it.
+All documents, in order, are one sequence of lines, and a place in it is one number. Prefix doubling ranks the suffixes
+by their first 1, 2, 4, ... lines: the rank for 2^(k+1) lines comes from sorting pairs, the rank at a place and the rank
+2^k places on. A rank is the number of suffixes before it, so that suffixes of one rank are an interval of the suffix
+array, and its longest common prefix has 2^k lines or more. Pairs are counted, and only pairs found twice or more are
+sorted, by ranges: a suffix whose pair is alone has no longer run in common with any other and leaves the array, and so
+does one whose document ends. Rounds go on until no interval is left, log2 of the longest repeated run.
 
-Maximal repeated runs are covered as unions. Each line of a later copy lies in one of two shortest runs of that copy
-with enough words: the one that ends with the line, or else the one that the copy begins with. These have at most
-`min_words` lines, so doubling ends after log2(min_words) rounds however long copies are, and both kinds depend on the
-content alone, so all copies agree on them.
+In an interval all places but the first begin a later copy. A maximal repeated run of a document is the union of the
+later copies that overlap, as a run of any length is covered by runs of the largest power of two within it; one pass over
+a document's places, keeping the furthest end so far, finds the lines of these unions. Near the bound of words a run may
+have enough words only in a length between two powers. Each line of such a run lies in one of two shortest runs with
+enough words, the one that ends with it or the one that the copy begins with. These have at most `min_words` lines and
+are compared by the ranks at their two ends.
 
 Defined results: a null text stays null and has no lines; lines without words are neither compared nor deleted; rows
 that agree in id and text are one document and get the same result; other rows with one id are ordered by the hash of
@@ -26,14 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from merchantry.llm import vectors
 from merchantry.llm.learning import free
 from merchantry.session import cut, ship_package
 
-_LINES = "doc_id long, text_hash long, pos int, line_no int, line long, bytes int, words int, fwd int, back int"
+_LINES = "doc_id long, text_hash long, pos int, line_no int, line long, bytes int, fwd int, back int"
+_DOCUMENT = ["has_id", "doc_id", "text_hash"]
 
 
 def shortest_runs(words: np.ndarray, text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,28 +74,71 @@ def _lines(least: int) -> object:
                 rows = pa.array(piece.first + text)
                 small = lambda x: pa.array(x.astype(np.int32), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(2).take(rows), small(pos), small(line_no), pa.array(line), small(ends - starts), small(words), small(fwd), small(back)],
-                    names=["doc_id", "text_hash", "pos", "line_no", "line", "bytes", "words", "fwd", "back"],
+                    [batch.column(0).take(rows), batch.column(2).take(rows), small(pos), small(line_no), pa.array(line), small(ends - starts), small(fwd), small(back)],
+                    names=["doc_id", "text_hash", "pos", "line_no", "line", "bytes", "fwd", "back"],
                 )
 
     return run
 
 
-def _at(pos: Column) -> Column:
-    return F.struct("doc_id", "text_hash", pos.alias("pos"))
-
-
-def _at_place(rows: DataFrame, other: DataFrame, place: Column) -> DataFrame:
-    """rows with the further columns of other at the same document and place."""
-    keys = ("doc_id", "text_hash", "pos")
-    other = other.select(*(F.col(c).alias(f"_{c}") for c in keys), *(c for c in other.columns if c not in keys))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash")) & (place == F.col("_pos"))
-    return rows.join(other, same).drop(*(f"_{c}" for c in keys))
-
-
-def _names(runs: DataFrame, key: list[str]) -> DataFrame:
-    """key -> name, the first position of a run, for the keys that stand at two positions or more."""
-    return runs.groupBy(*key).agg(F.min(_at(F.col("pos"))).alias("name"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part, total = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        n = batch.column("n").to_numpy()
+        sums = total + np.cumsum(n)
+        names = [*batch.schema.names, "part", "before"]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(sums - n)], names=names)
+        total = int(sums[-1]) if len(n) else total
+
+
+def _in_order(rows: DataFrame, key: list[str]) -> DataFrame:
+    """rows with `before`, the sum of n over all rows with a smaller key. Keys are unique; ranges of them are sorted apart."""
+    ranges = rows.repartitionByRange(*key).sortWithinPartitions(*key)
+    schema = StructType([*rows.schema.fields, StructField("part", IntegerType()), StructField("before", LongType())])
+    sums = cut(ranges.mapInArrow(_running, schema))
+    # One row a partition.
+    totals = sums.groupBy("part").agg(F.sum("n").alias("total"))
+    earlier = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select("part", F.coalesce(earlier, F.lit(0)).alias("offset"))
+    return sums.join(F.broadcast(totals), "part").withColumn("before", F.col("before") + F.col("offset")).drop("part", "offset")
+
+
+def _ranked(runs: DataFrame, key: list[str]) -> DataFrame:
+    """runs whose key stands at two places or more, with the rank of the key and the first place in its interval."""
+    repeated = runs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).where("n > 1")
+    ranks = _in_order(repeated, key).withColumnRenamed("before", "rank")
+    # A key with many places meets one row of ranks; its rows may be split in the join.
+    return cut(runs.join(ranks, key).drop(*key, "n"))
+
+
+def _suffix_ranks(lines: DataFrame) -> list[DataFrame]:
+    """For runs of 1, 2, 4, ... lines: start (the document), place, fwd, rank and first of all that stand twice or more."""
+    levels, size = [_ranked(lines, ["line", "bytes"])], 1
+    while not levels[-1].isEmpty():
+        onward = Window.partitionBy("start").orderBy("place").rangeBetween(size, size)
+        pairs = levels[-1].select("start", "place", "fwd", F.col("rank").alias("lead"), F.max("rank").over(onward).alias("second"))
+        levels.append(_ranked(pairs.where("second is not null"), ["lead", "second"]))
+        size *= 2
+    return levels
+
+
+def _between_powers(levels: list[DataFrame], min_words: int) -> DataFrame:
+    """start, place and end of later copies among the shortest runs whose length is no power of two."""
+    both = F.array(F.struct(F.col("place").alias("head"), F.col("fwd").alias("len")), F.struct((F.col("place") + 1 - F.col("back")).alias("head"), F.col("back").alias("len")))
+    runs = levels[0].select("start", F.explode(both).alias("r")).select("start", "r.*").where(F.col("len").between(3, min_words)).where(F.col("len").bitwiseAND(F.col("len") - 1) != 0)
+    depth = sum((F.col("len") >= 1 << j).cast("int") for j in range(1, min_words.bit_length()))
+    runs = runs.distinct().withColumn("depth", depth)
+    runs = runs.withColumn("tail", F.col("head") + F.col("len") - F.expr("shiftleft(1, depth)"))
+    ranks = None
+    for j, level in enumerate(levels[1 : min_words.bit_length()], 1):
+        here = level.select(F.lit(j).alias("depth"), "place", "rank")
+        ranks = here if ranks is None else ranks.union(here)
+    for end, name in (("head", "a"), ("tail", "b")):
+        runs = runs.join(ranks.select("depth", F.col("place").alias(end), F.col("rank").alias(name)), ["depth", end])
+    runs = cut(runs)
+    first = runs.groupBy("len", "a", "b").agg(F.min("head").alias("first"))
+    later = runs.join(first, ["len", "a", "b"]).where("first < head")
+    return later.select("start", F.col("head").alias("place"), (F.col("head") + F.col("len")).alias("end"))
 
 
 def later_copies(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,34 +146,22 @@ def later_copies(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", te
     ship_package(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.withColumn("text_hash", F.xxhash64("text"))
-    lines = cut(texts.where("text is not null").mapInArrow(_lines(min_words), _LINES))
-    lines = lines.dropDuplicates(["doc_id", "text_hash", "pos"])
-    # A line with many copies meets one row of names; its rows may be split in the join.
-    level = cut(lines.join(_names(lines, ["line", "bytes"]), ["line", "bytes"]).drop("line", "bytes", "words"))
-    # A line with many copies meets one row of names; its rows may be split in the join.
-    runs = level.select("doc_id", "text_hash", "pos", F.explode(F.array(F.struct(F.col("fwd").alias("len"), F.lit(True).alias("begins")), F.struct(F.col("back").alias("len"), F.lit(False).alias("begins")))).alias("r"))
-    runs = runs.select("doc_id", "text_hash", "pos", "r.*").where(F.col("len").between(1, min_words))
-    head = F.when(F.col("begins"), F.col("pos")).otherwise(F.col("pos") + 1 - F.col("len"))
-    depth = sum(((F.col("len") >= 1 << j).cast("int") for j in range(1, min_words.bit_length())), F.lit(0))
-    runs = runs.select("doc_id", "text_hash", "begins", "len", head.alias("head"), depth.alias("depth"))
-    runs = runs.withColumn("tail", F.col("head") + F.col("len") - F.element_at(F.array(*(F.lit(1 << j) for j in range(min_words.bit_length()))), F.col("depth") + 1))
-    named, j = level.select("doc_id", "text_hash", "pos", "name", F.lit(0).alias("depth")), 0
-    while 2 << j <= min_words:
-        after = level.select("doc_id", "text_hash", "pos", F.col("name").alias("second"))
-        pair = _at_place(level.select("doc_id", "text_hash", "pos", F.col("name").alias("lead")), after, F.col("pos") + (1 << j))
-        j += 1
-        level = cut(pair.join(_names(pair, ["lead", "second"]), ["lead", "second"]).select("doc_id", "text_hash", "pos", "name"))
-        named = named.union(level.withColumn("depth", F.lit(j)))
-    # A run is the pair of the named runs that begin and end it.
-    for end, name in (("head", "a"), ("tail", "b")):
-        at = named.select("doc_id", "text_hash", "pos", F.col("name").alias(name), F.col("depth").alias("of"))
-        runs = _at_place(runs, at, F.col(end)).where("depth = of").drop("of")
-    runs = cut(runs)
-    first = runs.groupBy("begins", "len", "a", "b").agg(F.min(_at(F.col("head"))).alias("first"))
-    later = runs.join(first, ["begins", "len", "a", "b"]).where(_at(F.col("head")) != F.col("first"))
-    doomed = later.select("doc_id", "text_hash", F.explode(F.sequence("head", F.col("head") + F.col("len") - 1)).alias("pos")).distinct()
-    numbers = lines.select("doc_id", "text_hash", "pos", "line_no")
-    return _at_place(doomed, numbers, F.col("pos")).select("doc_id", "text_hash", "line_no")
+    lines = texts.where("text is not null").mapInArrow(_lines(min_words), _LINES)
+    lines = cut(lines.withColumn("has_id", F.col("doc_id").isNotNull()).fillna(0, ["doc_id"]))
+    starts = _in_order(lines.groupBy(*_DOCUMENT).agg((F.max("pos") + 1).cast("long").alias("n")), _DOCUMENT)
+    starts = starts.select(*_DOCUMENT, F.col("before").alias("start"))
+    placed = lines.repartition(*_DOCUMENT).dropDuplicates([*_DOCUMENT, "pos"]).join(starts, _DOCUMENT)
+    levels = _suffix_ranks(placed.select("start", (F.col("start") + F.col("pos")).alias("place"), "line_no", "line", "bytes", "fwd", "back"))
+    spans = levels[0].select("start", "place", "line_no", F.col("place").alias("end"))
+    for j, level in enumerate(levels[:-1]):
+        later = level.where(F.col("first") < F.col("place")).where(F.col("fwd").between(1, 1 << j))
+        spans = spans.unionByName(later.select("start", "place", (F.col("place") + (1 << j)).alias("end")), allowMissingColumns=True)
+    if min_words >= 3 and len(levels) > 2:
+        spans = spans.unionByName(_between_powers(levels, min_words), allowMissingColumns=True)
+    so_far = Window.partitionBy("start").orderBy("place").rangeBetween(Window.unboundedPreceding, 0)
+    gone = spans.withColumn("reach", F.max("end").over(so_far)).where("line_no is not null and reach > place")
+    gone = gone.select("start", "line_no").join(starts, "start")
+    return gone.select(F.when(F.col("has_id"), F.col("doc_id")).alias("doc_id"), "text_hash", "line_no")
 
 
 def delete_runs(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
