@@ -126,7 +126,8 @@ def find(docs: DataFrame, benchmark: DataFrame, share: tuple[int, int] = (75, 10
 def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
     """The rows of docs that hold no item."""
     found = find(docs, benchmark, id_col=id_col, text_col=text_col, **options)
-    mark = "_" * (1 + max([0, *(len(c) for c in docs.columns)]))  # names that no column of docs has
-    found = found.select(F.col("doc_id").alias(f"{mark}id"), F.col("text_hash").alias(f"{mark}hash")).distinct()
-    same = docs[id_col].cast("long").eqNullSafe(F.col(f"{mark}id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col(f"{mark}hash"))
-    return docs.join(found, same, "left_anti")
+    found = found.select(F.col("doc_id").alias("held_id"), F.col("text_hash").alias("held_hash")).distinct()
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    of = dict(zip(docs.columns, names, strict=True))
+    same = F.col(of[id_col]).cast("long").eqNullSafe(F.col("held_id")) & (F.xxhash64(F.col(of[text_col]).cast("string")) == F.col("held_hash"))
+    return docs.toDF(*names).join(found, same, "left_anti").toDF(*docs.columns)

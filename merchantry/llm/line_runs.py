@@ -2,7 +2,7 @@
 
 A document is the sequence of its lines that have a word. A run of lines that stands at an earlier place too (a smaller
 doc_id, or further up in the same document) and has `min_words` words or more is a later copy; all lines of later copies
-are deleted. Lines are equal when their bytes are.
+are deleted. Lines are equal when their 128-bit BLAKE2b digests are; no weaker hash stands for a line.
 
 All documents, in order, are one sequence of lines, and a place in it is one number. Prefix doubling ranks the suffixes
 by their first 1, 2, 4, ... lines: the rank for 2^(k+1) lines comes from sorting pairs, the rank at a place and the rank
@@ -38,7 +38,7 @@ from merchantry.llm import vectors
 from merchantry.llm.learning import free
 from merchantry.session import cut, ship_package
 
-_LINES = "doc_id long, text_hash long, pos int, line_no int, line long, bytes int, fwd int, back int"
+_LINES = "doc_id long, text_hash long, pos int, line_no int, line long, line_b long, fwd int, back int"
 _DOCUMENT = ["has_id", "doc_id", "text_hash"]
 
 
@@ -64,18 +64,17 @@ def _lines(least: int) -> object:
                 line_no = breaks[starts] - breaks[offsets[text]]
                 word_starts, _ = vectors.edges(~vectors._SPACE[data], offsets)
                 words = np.searchsorted(word_starts, ends) - np.searchsorted(word_starts, starts)
-                sums = vectors.prefix_sums(data)
                 has = words > 0
                 starts, ends, text, line_no, words = (x[has] for x in (starts, ends, text, line_no, words))
                 count = np.bincount(text, minlength=piece.n)
                 pos = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
                 fwd, back = shortest_runs(words, text, least)
-                line = vectors.range_hashes(sums, starts, ends).view(np.int64)
+                line = vectors.digests(data, starts, ends).view(np.int64)
                 rows = pa.array(piece.first + text)
                 small = lambda x: pa.array(x.astype(np.int32), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(2).take(rows), small(pos), small(line_no), pa.array(line), small(ends - starts), small(fwd), small(back)],
-                    names=["doc_id", "text_hash", "pos", "line_no", "line", "bytes", "fwd", "back"],
+                    [batch.column(0).take(rows), batch.column(2).take(rows), small(pos), small(line_no), pa.array(line[:, 0]), pa.array(line[:, 1]), small(fwd), small(back)],
+                    names=["doc_id", "text_hash", "pos", "line_no", "line", "line_b", "fwd", "back"],
                 )
 
     return run
@@ -113,7 +112,7 @@ def _ranked(runs: DataFrame, key: list[str]) -> DataFrame:
 
 def _suffix_ranks(lines: DataFrame) -> list[DataFrame]:
     """For runs of 1, 2, 4, ... lines: start (the document), place, fwd, rank and first of all that stand twice or more."""
-    levels, size = [_ranked(lines, ["line", "bytes"])], 1
+    levels, size = [_ranked(lines, ["line", "line_b"])], 1
     while not levels[-1].isEmpty():
         onward = Window.partitionBy("start").orderBy("place").rangeBetween(size, size)
         pairs = levels[-1].select("start", "place", "fwd", F.col("rank").alias("lead"), F.max("rank").over(onward).alias("second"))
@@ -151,7 +150,7 @@ def later_copies(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", te
     starts = _in_order(lines.groupBy(*_DOCUMENT).agg((F.max("pos") + 1).cast("long").alias("n")), _DOCUMENT)
     starts = starts.select(*_DOCUMENT, F.col("before").alias("start"))
     placed = lines.repartition(*_DOCUMENT).dropDuplicates([*_DOCUMENT, "pos"]).join(starts, _DOCUMENT)
-    levels = _suffix_ranks(placed.select("start", (F.col("start") + F.col("pos")).alias("place"), "line_no", "line", "bytes", "fwd", "back"))
+    levels = _suffix_ranks(placed.select("start", (F.col("start") + F.col("pos")).alias("place"), "line_no", "line", "line_b", "fwd", "back"))
     spans = levels[0].select("start", "place", "line_no", F.col("place").alias("end"))
     for j, level in enumerate(levels[:-1]):
         later = level.where(F.col("first") < F.col("place")).where(F.col("fwd").between(1, 1 << j))
@@ -168,18 +167,18 @@ def delete_runs(docs: DataFrame, min_words: int = 5, id_col: str = "doc_id", tex
     """docs with later copies deleted from the text, and the new columns n_lines (with a word, before) and n_deleted (with
     underscores behind the name, where docs has a column of that name)."""
     gone = later_copies(docs, min_words, id_col, text_col).groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("gone"))
-    # Names that no column of docs has.
-    mark = "_" * (1 + max([0, *(len(c) for c in docs.columns)]))
-    gone = gone.select(*(F.col(c).alias(mark + c) for c in gone.columns))
-    text, numbers = docs[text_col].cast("string"), F.col(f"{mark}gone")
-    same = docs[id_col].cast("long").eqNullSafe(F.col(f"{mark}doc_id")) & (F.xxhash64(text) == F.col(f"{mark}text_hash"))
+    gone = gone.select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash"), "gone")
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    of = dict(zip(docs.columns, names, strict=True))
+    rows, text, numbers = docs.toDF(*names), F.col(of[text_col]).cast("string"), F.col("gone")
+    same = F.col(of[id_col]).cast("long").eqNullSafe(F.col("g_id")) & (F.xxhash64(text) == F.col("g_hash"))
     parts = F.split(text, "\n", -1)
     left = F.filter(parts, lambda x, i: ~F.array_contains(numbers, i))
     kept = F.when(numbers.isNull(), text).otherwise(F.array_join(left, "\n"))
-    columns = [(kept if c == text_col else docs[c]).alias(c) for c in docs.columns]
     lines = F.size(F.filter(parts, lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]"))))
-    return docs.join(gone, same, "left").select(
-        *columns,
-        F.when(text.isNull(), 0).otherwise(lines).cast("long").alias(free("n_lines", docs.columns)),
-        F.coalesce(F.size(numbers), F.lit(0)).cast("long").alias(free("n_deleted", docs.columns)),
+    out = rows.join(gone, same, "left").select(
+        *(kept.alias(n) if n == of[text_col] else F.col(n) for n in names),
+        F.when(text.isNull(), 0).otherwise(lines).cast("long").alias("n_lines"),
+        F.coalesce(F.size(numbers), F.lit(0)).cast("long").alias("n_deleted"),
     )
+    return out.toDF(*docs.columns, free("n_lines", docs.columns), free("n_deleted", docs.columns))

@@ -93,11 +93,11 @@ def sample(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFr
     """The rows of docs as often as plan() takes them, numbered by `copy_no` from 1 (copy_no_ and so on, where docs has a
     column of that name, which passes through). Rows that share an id and a size are taken by the largest count among
     them."""
-    mark = "_" * (1 + max([0, *(len(c) for c in docs.columns)]))  # names that no column of docs has
-    taken = plan(docs, id_col=id_col, **options).groupBy("doc_id", "size").agg(F.max("copies").alias("copies"))
-    numbers = F.sequence(F.lit(1), F.col("copies").cast("int")).alias(f"{mark}copies")
-    taken = taken.where("copies > 0").select(F.col("doc_id").alias(f"{mark}id"), F.col("size").alias(f"{mark}size"), numbers)
     text_col = options.get("text_col", "text")
-    same = docs[id_col].cast("long").eqNullSafe(F.col(f"{mark}id")) & (word_count(docs[text_col]) == F.col(f"{mark}size"))
-    joined = docs.join(taken, same)
-    return joined.select(*(docs[c] for c in docs.columns), F.explode(f"{mark}copies").alias(free("copy_no", docs.columns)))
+    taken = plan(docs, id_col=id_col, **options).groupBy("doc_id", "size").agg(F.max("copies").alias("copies"))
+    taken = taken.where("copies > 0").withColumn("copies", F.sequence(F.lit(1), F.col("copies").cast("int")))
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    of = dict(zip(docs.columns, names, strict=True))
+    same = F.col(of[id_col]).cast("long").eqNullSafe(F.col("doc_id")) & (word_count(F.col(of[text_col])) == F.col("size"))
+    out = docs.toDF(*names).join(taken, same).select(*names, F.explode("copies").alias("copy_no"))
+    return out.toDF(*docs.columns, free("copy_no", docs.columns))

@@ -355,8 +355,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of docs that stay: the smallest id of each component, once; documents without shingles and rows with a
     null id stay."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    gone = found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
-    blank = ~F.coalesce(F.regexp_like(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
-    alone = kept.where(F.col(id_col).isNull() | blank)
-    return kept.where(F.col(id_col).isNotNull() & ~blank).dropDuplicates([id_col]).unionByName(alone)
+    gone = found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    of = dict(zip(docs.columns, names, strict=True))
+    kept = docs.toDF(*names).join(gone, F.col(of[id_col]) == F.col("gone"), "left_anti")
+    blank = ~F.coalesce(F.regexp_like(F.col(of[text_col]).cast("string"), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    alone = kept.where(F.col(of[id_col]).isNull() | blank)
+    out = kept.where(F.col(of[id_col]).isNotNull() & ~blank).dropDuplicates([of[id_col]]).unionByName(alone)
+    return out.toDF(*docs.columns)

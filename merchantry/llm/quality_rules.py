@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from merchantry.llm import vectors
 from merchantry.session import cut, ship_package
@@ -65,6 +66,16 @@ def _twice(text: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return repeated, later
 
 
+def _repeats(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """How many of the given ranges of each text have the bytes of an earlier one; bytes, not hashes, are compared."""
+    held, seen, out = data.tobytes(), set(), np.zeros(n, np.int64)
+    for a, b, t in zip(starts.tolist(), ends.tolist(), text.tolist(), strict=True):
+        size = len(seen)
+        seen.add((t, held[a:b]))
+        out[t] += len(seen) == size
+    return out
+
+
 def piece_features(piece: vectors.Piece) -> dict[str, np.ndarray]:
     """The counts of each text of a piece."""
     found = vectors.words(piece)
@@ -79,13 +90,13 @@ def piece_features(piece: vectors.Piece) -> dict[str, np.ndarray]:
     words_before = np.searchsorted(found.starts, np.stack([starts, ends]))
     starts, ends = (x[words_before[1] > words_before[0]] for x in (starts, ends))
     line_text = np.searchsorted(offsets, starts, "right") - 1
-    _, later = _twice(line_text, vectors.range_hashes(vectors.prefix_sums(data), starts, ends))
+    repeated_line, _ = _twice(line_text, vectors.hashes(data, starts, ends))
     in_word = ~vectors._SPACE[data]
     return {
         "n_words": found.counts,
         "word_chars": _per_text(in_word & ((data & 0xC0) != 0x80), offsets),
         "n_symbols": _per_text(_IS_SYMBOL[data], offsets),
-        "n_dup_lines": np.bincount(line_text[later], minlength=piece.n),
+        "n_dup_lines": _repeats(data, starts[repeated_line], ends[repeated_line], line_text[repeated_line], piece.n),
         "n_repeat_words": np.bincount(found.text[in_repeat], minlength=piece.n),
         "n_lines": np.bincount(line_text, minlength=piece.n),
         "n_upper": _per_text(_IS_UPPER[data], offsets),
@@ -203,7 +214,8 @@ def keep(docs: DataFrame, labels: DataFrame, risk: float = 0.05, error: float =
     and once more beside each row."""
     cutoffs = fit_cutoffs(cut(features(docs, id_col, text_col)), labels, risk, error)
     names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
-    plain = docs.select(*(docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)))
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema), _FEATURES.partition(", ")[2]])
+    plain = docs.toDF(*names)
+    counts = [StructField(c.split()[0], LongType()) for c in _FEATURES.split(", ")[1:]]
+    schema = StructType([*plain.schema.fields, *counts])
     counted = plain.withColumn("text", F.col(names[docs.columns.index(text_col)]).cast("string")).mapInArrow(_appended, schema)
-    return counted.where(verdict(cutoffs)).select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
+    return counted.where(verdict(cutoffs)).select(names).toDF(*docs.columns)

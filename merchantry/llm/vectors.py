@@ -6,6 +6,7 @@ on in pieces of about a megabyte, so that memory does not follow the batch; a lo
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -13,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 1 << 20
+SHORT_BYTES = 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _SAME = np.arange(256, dtype=np.uint8)
@@ -20,6 +22,7 @@ _LOWER = _SAME.copy()
 _LOWER[65:91] += 32
 _BASE = pow(0x9E3779B97F4A7C15, 3, 1 << 64) | 1
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
+_SEED, _ALL = np.uint64(0xA0761D6478BD642F), np.uint64(0xFFFFFFFFFFFFFFFF)
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -78,18 +81,47 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Polynomial sums, from which range_hashes() has the hash of any byte range."""
+    """Polynomial sums, from which range_hashes() has the hash of any short byte range."""
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(len(data) + 1)[0][: len(data)], out=out[1:])
     return out
 
 
 def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte ranges; equal bytes have equal hashes wherever they stand."""
+    """Hashes of byte ranges of less than 1024 bytes, any of which may be asked for; equal bytes have equal hashes wherever
+    they stand. From 1024 bytes on there are texts of two letters that collide by construction: see hashes()."""
     inverse = _powers(len(sums))[1]
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _FOLD)
 
 
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int = 16) -> np.ndarray:
+    """BLAKE2b digests of byte ranges, a row of size / 8 numbers each. Of 16 bytes, they stand for the bytes."""
+    held = data.tobytes()
+    out = b"".join([hashlib.blake2b(held[a:b], digest_size=size).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(out, np.uint64).reshape(len(starts), size // 8)
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges. Ranges up to SHORT_BYTES are mixed eight bytes at a time, each step a bijection of the
+    state so far; longer ones have the first eight bytes of a BLAKE2b digest."""
+    size = (ends - starts).astype(np.uint64)
+    out = mix(size * _FOLD + _SEED)
+    held = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(data) + 1,), np.uint64, held, strides=(1,))  # the eight bytes from each place on
+    left = np.flatnonzero((size > 0) & (size <= SHORT_BYTES))
+    for k in range(0, SHORT_BYTES, 8):
+        rest = np.minimum(size[left] - np.uint64(k), np.uint64(8))
+        value = eights[starts[left] + k] & (_ALL >> (np.uint64(64) - np.uint64(8) * rest))
+        out[left] = mix((out[left] ^ value) * _FOLD + _SEED)
+        left = left[size[left] > k + 8]
+        if not len(left):
+            break
+    long = np.flatnonzero(size > SHORT_BYTES)
+    if len(long):
+        out[long] = digests(data, starts[long], ends[long], 8)[:, 0]
+    return out
+
+
 def edges(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of true bytes, cut where a text begins."""
     if not len(inside):
@@ -109,8 +141,7 @@ def words(piece: Piece, lower: bool = False) -> Words:
     data = (_LOWER if lower else _SAME)[piece.data] if lower else piece.data
     starts, ends = edges(~_SPACE[data], piece.offsets)
     text = np.searchsorted(piece.offsets, starts, "right") - 1
-    hashes = range_hashes(prefix_sums(data), starts, ends)
-    return Words(starts, ends, text, hashes, np.bincount(text, minlength=piece.n))
+    return Words(starts, ends, text, hashes(data, starts, ends), np.bincount(text, minlength=piece.n))
 
 
 def windows(found: Words, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: Columns with names that operators might use inside, beside those they are given.
-CLASH = "doc_id long, text string, lang string, source string, n_chars long, n long, node long, item string, pos int, size string, copies int, n_words string, gone string, words string, c0 int, label string, score string, _id int, _size int, copy_no int, n_deleted int, n_lines int"
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, n long, node long, item string, pos int, size string, copies int, n_words string, gone string, words string, c0 int, label string, score string, _id int, _size int, copy_no int, n_deleted int, n_lines int, `meta.url` string, odd struct<`a b`: int>"
 
 
 def sentence(rng, n):
@@ -36,7 +36,7 @@ def rows():
 
 @pytest.fixture(scope="session")
 def docs(spark, rows):
-    return spark.createDataFrame([(*r, 1, 2, "x", 3, "y", 4, "z", "g", "w", 5, "l", "s", 6, 7, 8, 9, 10) for r in rows], CLASH).repartition(5)
+    return spark.createDataFrame([(*r, 1, 2, "x", 3, "y", 4, "z", "g", "w", 5, "l", "s", 6, 7, 8, 9, 10, "u", (11,)) for r in rows], CLASH).repartition(5)
 
 
 @pytest.fixture(scope="session")

@@ -37,6 +37,30 @@ def test_words_and_shingles(texts):
             assert len(np.intersect1d(at[i], at[j])) == len(a & b)
 
 
+def thue_morse(letters):
+    """A text of 1024 of two letters; with the letters swapped it has the same sum of any powers modulo 2^64."""
+    return "".join(letters[i.bit_count() % 2] for i in range(1024))
+
+
+def test_texts_that_collide_in_a_polynomial_hash(spark):
+    one, two = thue_morse("ab"), thue_morse("ba")
+    rows = spark.createDataFrame([(1, f"w w w w w {one}"), (2, f"w w w w w {two}"), (3, one), (4, two), (5, f"{one}\n{two}\n{one}")], "doc_id long, text string")
+    assert {r.n_deleted for r in line_runs.delete_runs(rows.where("doc_id < 3")).collect()} == {0}
+    assert {r.doc_id: r.component_id for r in ngram_join.near_duplicates(rows.where("doc_id in (3, 4)")).collect()} == {3: 3, 4: 4}
+    assert quality_rules.features(rows.where("doc_id = 5")).first().n_dup_lines == 1
+    items = rows.where("doc_id = 4").withColumnRenamed("doc_id", "item_id")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.find(rows.where("doc_id in (3, 4)"), items).collect()] == [(4, 4)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=70), min_size=1, max_size=8))
+def test_hashes_follow_the_bytes(parts):
+    ends = np.cumsum([len(p) for p in parts])
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    got = vectors.hashes(data, ends - [len(p) for p in parts], ends)
+    assert all((got[i] == got[j]) == (parts[i] == parts[j]) for i in range(len(parts)) for j in range(i))
+
+
 # 1 -------------------------------------------------------------------------------------------------------------------
 
 
