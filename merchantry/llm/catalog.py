@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from merchantry.llm import archive, decontaminate, line_runs, mixing, ngram_join, pairwise_quality, pii, quality_rules, token_scan, toxicity
+from merchantry.llm import archive, decontaminate, filter_audit, line_runs, mixing, ngram_join, pairwise_quality, pii, posting_lists, quality_rules, token_scan, toxicity, word_runs
 from merchantry.session import new_folder
 from merchantry.sources.tables import table
 
@@ -56,6 +57,18 @@ def op10_content_archive(spark: SparkSession, sf: str) -> DataFrame:
     return archive.round_trip(table(spark, sf, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op12_word_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return word_runs.find(table(spark, sf, "documents"), alter=word_runs.planted)
+
+
+def op13_posting_lists(spark: SparkSession, sf: str) -> DataFrame:
+    return posting_lists.search(table(spark, sf, "embeddings"), F.col("id") % 100 == 0)
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_mix_sources,
@@ -68,6 +81,9 @@ def queries() -> dict[str, Query]:
         op8_pairwise_quality,
         op9_line_runs,
         op10_content_archive,
+        op11_filter_audit,
+        op12_word_runs,
+        op13_posting_lists,
     )
     return {f.__name__: f for f in found}
 
@@ -150,4 +166,47 @@ SQL = {
         SELECT page_id, payload_bytes, payload_digest,
                CASE WHEN payload_bytes >= 100 AND page_id <> lead THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND page_id <> lead THEN lead END AS refers_to FROM m""",
+    "op11_filter_audit": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+                     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        m AS (SELECT doc_id, part, CAST(len(ws) < 50 AS INTEGER) AS a, CAST(100 * len(list_distinct(ws)) < 65 * len(ws) AS INTEGER) AS b,
+                     CAST(100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text) AS INTEGER) AS c,
+                     CAST(regexp_matches(text, '[#$%&*|]') AS INTEGER) AS d,
+                     CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), FALSE) AS INTEGER) AS e FROM w),
+        l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+        k AS (SELECT part, [a, b, c, d, e] AS f, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic,
+                     a + b + c + d + e AS fails, count(*) AS n FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+        o(filter_order) AS (SELECT '' UNION ALL SELECT filter_order || x FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) AS xs(x)
+              WHERE length(filter_order) < 5 AND NOT contains(filter_order, x)),
+        s AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS x, f[ascii(filter_order[step]) - 64] = 1 AS hit, good, toxic, fails, n,
+                     list_sum(list_transform(range(1, step), lambda i: f[ascii(filter_order[i]) - 64])) > 0 AS gone
+              FROM k, o, range(1, 6) AS steps(step) WHERE length(filter_order) = 5),
+        g AS (SELECT part, filter_order, step, x, CAST(coalesce(sum(n) FILTER (NOT hit AND NOT coalesce(gone, FALSE)), 0) AS BIGINT) AS kept,
+                     CAST(coalesce(sum(n) FILTER (hit AND NOT coalesce(gone, FALSE)), 0) AS BIGINT) AS removed,
+                     CAST(coalesce(sum(n) FILTER (hit AND gone), 0) AS BIGINT) AS redundant,
+                     CAST(coalesce(sum(n) FILTER (hit AND fails = 1), 0) AS BIGINT) AS unique_fails,
+                     CAST(coalesce(sum(n) FILTER (hit AND good AND NOT coalesce(gone, FALSE)), 0) AS BIGINT) AS good_lost,
+                     CAST(coalesce(sum(n) FILTER (hit AND toxic AND NOT coalesce(gone, FALSE)), 0) AS BIGINT) AS toxic_lost
+              FROM s GROUP BY part, filter_order, step, x)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM g""",
+    "op12_word_runs": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        c AS (SELECT doc_id, ws, CAST(len(ws) AS BIGINT) AS n, xor(list_reduce(list_prepend(4294967295, range(0, 8 * length(CAST(doc_id AS VARCHAR)))), lambda x, i:
+                     xor(xor(x, if(i % 8 = 0, ascii(CAST(doc_id AS VARCHAR)[i // 8 + 1]), 0)) >> 1,
+                         3988292384 * (xor(x, if(i % 8 = 0, ascii(CAST(doc_id AS VARCHAR)[i // 8 + 1]), 0)) & 1))), 4294967295) AS h FROM d),
+        g AS (SELECT *, if(h % 10 = 0 AND n > 0, (h // 10) % n, n) AS a, 1 + (n - (h // 10) % greatest(n, 1)) // (3 + (h // 10) % 8) AS p FROM c),
+        t AS (SELECT doc_id, n, i, ws[1 + if(i < a, i, a + (i - a) % p)] AS w FROM (SELECT *, unnest(range(0, n)) AS i FROM g)),
+        e AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+        s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM
+                (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM e) GROUP BY doc_id, q, k
+              HAVING count(*) + q >= greatest(6, 4 * q)),
+        r AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY doc_id, start, length),
+        l AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs,
+                     arg_min({'s': start, 'l': length, 'p': period}, (-length, start, period)) AS top FROM r GROUP BY doc_id),
+        z AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+        k AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS left_over FROM t ANTI JOIN z USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(top.s AS BIGINT) AS start, CAST(top.l AS BIGINT) AS length, CAST(top.p AS BIGINT) AS period,
+               CAST(1000 * top.l // top.p AS BIGINT) AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(left_over, '')) AS collapsed_sha256
+        FROM documents LEFT JOIN l USING (doc_id) LEFT JOIN k USING (doc_id)""",
 }
