@@ -1,166 +1,12 @@
-"""Dictionary operators on titles (T01-T13): phrases found in token sequences.
-
-Dictionaries are sent to the executors only when they are short (`MAX_ENTRIES`); exact segments are better served by the
-anti-join of queries.dictionary_filter, which has no such bound. A task matches its batch of titles with one small trie.
-"""
+"""Which words make the dictionaries (T04-T06, T08, T11, T13, F38); operators.phrases finds them in titles."""
 
 from __future__ import annotations
 
-import math
-import re
-from collections.abc import Callable, Iterable
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merchantry.functions.numbers import dictionary_frequency
-from merchantry.functions.text import capitalise, choose_brand
-from merchantry.session import cut, ship_package
-
-MAX_ENTRIES = 2_000_000
-MAX_ENTRY_BYTES = 64 << 20
-#: Fixed value: what is blanked out of a title before its words are looked at. The JVM matches it, for its classes.
-NOISE = r"(^\p{P})|(&[a-z0-9]*;([a-z0-9];)?)|(【)|(】)|★|!|(<>)|(。)|(___)|(\(\))|(◆)|(\*)|(\p{S})|(（)|(）)|(满.+包邮)"
-
-
-def tokens(text: str) -> list[str]:
-    """Alphanumeric runs below U+0800 and single other characters; spaces are dropped."""
-    out: list[str] = []
-    run = ""
-    for c in text:
-        if c < "ࠀ" and (c.isalpha() or c.isnumeric()):
-            run += c
-            continue
-        if run:
-            out.append(run)
-            run = ""
-        if c != " ":
-            out.append(c)
-    return [*out, run] if run else out
-
-
-def plain_words(text: str) -> list[str]:
-    """Tokens without fillers and punctuation."""
-    return [w for w in tokens(re.sub(r"皇冠|diy|`", "", text).lower()) if re.match(r"\w", w)]
-
-
-class Phrases:
-    """A trie of token sequences; leaves hold values."""
-
-    def __init__(self, entries: Iterable[tuple[str, object]], split: Callable[[str], list[str]] = tokens) -> None:
-        self.root: dict = {}
-        for phrase, value in entries:
-            node = self.root
-            for t in split(phrase.lower()):
-                node = node.setdefault(t, {})
-            if node is not self.root:
-                node.setdefault("", []).append((phrase, value))
-
-    def longest(self, words: list[str], at: int) -> tuple[int, list]:
-        """End of the longest phrase that begins at a word, and its entries; (at, []) if there is none."""
-        node, end, found = self.root, at, []
-        for i in range(at, len(words)):
-            node = node.get(words[i])
-            if node is None:
-                break
-            if "" in node:
-                end, found = i + 1, node[""]
-        return end, found
-
-
-def _entries(dictionary: DataFrame, *columns: str) -> list:
-    chosen = cut(dictionary.select(*columns))
-    n, size = chosen.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(columns[0])), F.lit(0))).first()
-    if n > MAX_ENTRIES or size > MAX_ENTRY_BYTES:
-        raise ValueError(f"a dictionary of over {MAX_ENTRIES} entries or {MAX_ENTRY_BYTES} bytes is not sent to executors; use an anti-join")
-    return sorted(tuple(r) for r in chosen.collect())
-
-
-def spaced(words: list[str]) -> str:
-    """Words as a line: alphanumeric ones apart, nothing between other characters."""
-    line = "".join(f"\0{w}\0" if re.search("[a-zA-Z0-9]", w) else w for w in words)
-    return re.sub("\0+", " ", line).strip()
-
-
-def cleaned(title: str, banned: Phrases) -> str:
-    """A title, its noise blanked out, without banned phrases, the leftmost longest first, until none is left."""
-    words = tokens(title)
-    i = 0
-    while i < len(words):
-        end, found = banned.longest([w.lower() for w in words[i:]], 0)
-        if found:
-            del words[i : i + end]
-            i = 0  # what now stands together may be banned as well
-        else:
-            i += 1
-    line = spaced(words)
-    line = "".join(c for c in line if c.isalnum() or c.isspace() or c in "@-`'!&_")
-    return re.sub(r" ([^\w\s]) ", r"\1", line)
-
-
-def extracted(title: str, brands: Phrases) -> list[str]:
-    """The names of all brands in a title, the most frequent first, ties by name. A match is the longest at its place and
-    the search goes on after it."""
-    words, found, i = plain_words(title), {}, 0
-    while i < len(words):
-        end, hits = brands.longest(words, i)
-        found.update(hits)
-        i = end if hits else i + 1
-    return sorted(found, key=lambda b: (-found[b], b))
-
-
-def segmented(text: str, weights: dict[str, float], longest: int, unknown: float) -> list[str]:
-    """The most probable split of text into dictionary words and single tokens."""
-    words = tokens(text)
-    best = [(0.0, 0)] + [(-math.inf, 0)] * len(words)
-    for i in range(len(words)):
-        for n in range(1, min(longest, len(words) - i) + 1):
-            score = weights.get(" ".join(words[i : i + n]).lower(), unknown if n == 1 else -math.inf)
-            if best[i][0] + score > best[i + n][0]:
-                best[i + n] = (best[i][0] + score, i)
-    out, end = [], len(words)
-    while end:
-        begin = best[end][1]
-        out.append(spaced(words[begin:end]))
-        end = begin
-    return out[::-1]
-
-
-def _udf(spark: SparkSession, entries: list, build: Callable, work: Callable, kind: str) -> Callable[[str | Column], Column]:
-    ship_package(spark)
-    sent = spark.sparkContext.broadcast(entries)
-    made: list = []
-
-    @F.pandas_udf(kind)
-    def run(titles: pd.Series) -> pd.Series:
-        if not made:
-            made.append(build(sent.value))
-        return titles.map(lambda t: work(t or "", made[0]))
-
-    return run
-
-
-def cleaner(spark: SparkSession, banned: DataFrame, word: str = "word") -> Callable[[str], Column]:
-    """A column function that cleans titles."""
-    clean = _udf(spark, [(w, None) for (w,) in _entries(banned, word)], Phrases, cleaned, "string")
-    return lambda title: clean(F.regexp_replace(title, NOISE, " "))
-
-
-def extractor(spark: SparkSession, brands: DataFrame, word: str = "word", freq: str = "freq") -> Callable[[str], Column]:
-    """A column function that lists the brands of titles."""
-    return _udf(spark, _entries(brands, word, freq), lambda rows: Phrases(rows, plain_words), extracted, "array<string>")
-
-
-def segmenter(spark: SparkSession, dictionary: DataFrame, word: str = "word", freq: str = "freq") -> Callable[[str], Column]:
-    """A column function that splits titles into dictionary words."""
-
-    def build(entries: list) -> tuple[dict[str, float], int, float]:
-        total = math.log(sum(f for _, f in entries) or 1)
-        weights = {" ".join(tokens(w.lower())): math.log(max(f, 1)) - total for w, f in entries}
-        return weights, max([1, *(len(tokens(w)) for w, _ in entries)]), -total - 1
-
-    return _udf(spark, _entries(dictionary, word, freq), build, lambda t, d: segmented(t, *d), "array<string>")
+from merchantry.functions.text import capitalise
 
 
 def segment_dictionary(words: DataFrame, brands: DataFrame) -> DataFrame:
@@ -182,13 +28,6 @@ def first_brand(segments: DataFrame, brands: DataFrame, key: str) -> DataFrame:
     return first.select(key, F.replace(capitalise(F.col("segment"), r"A-z"), F.lit("——"), F.lit("-")).alias("brand"))
 
 
-def title_report(titles: DataFrame, banned: DataFrame, brands: DataFrame, key: str, title: str) -> DataFrame:
-    """key, title, brand and cleaned of a batch of titles (T19). brands: word, freq."""
-    spark = titles.sparkSession
-    found = extractor(spark, brands)(title)
-    return titles.select(key, title, choose_brand(found).alias("brand"), cleaner(spark, banned)(title).alias("cleaned"))
-
-
 def brand_words(brands: DataFrame) -> DataFrame:
     """word, freq of the brand dictionary (T04): valid brands, and others over 50 that are not deleted; valid ones count
     9999."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from merchantry.functions import codecs, numbers, times, urls
 from merchantry.functions import text as tx
-from merchantry.operators import dictionary, grouping, vectors, words
+from merchantry.operators import grouping, phrases, vectors, words
 from merchantry.session import cut
 from merchantry.sources.tables import table
 
@@ -105,25 +105,39 @@ def leader_groups(spark: SparkSession, sf: str) -> DataFrame:
     return grouping.leader_groups(items)
 
 
-def _dictionary(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf, "documents")
-    found = words.frequencies(docs, tx.token_stream(F.col("text")), 2, least=30).where("len = 2")
-    return found.select("word"), table(spark, sf, "part").select(F.col("p_brand").alias("word")).distinct()
+def _mined(spark: SparkSession, sf: str) -> DataFrame:
+    """word and freq of the pairs of tokens that stand 30 times or more."""
+    found = words.frequencies(table(spark, sf, "documents"), tx.token_stream(F.col("text")), 2, least=30)
+    return cut(found.where("len = 2").select("word", "freq"))
 
 
 def clean_title(spark: SparkSession, sf: str) -> DataFrame:
-    """First lines without the phrases of a mined blacklist."""
-    banned, _ = _dictionary(spark, sf)
-    titles = table(spark, sf, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"))
-    return titles.select("doc_id", dictionary.cleaner(spark, banned)("title").alias("title"))
+    """Whole texts without the phrases of a mined blacklist."""
+    return phrases.cleaned(table(spark, sf, "documents"), "doc_id", "text", _mined(spark, sf)).withColumnRenamed("cleaned", "title")
 
 
 def extract_brand(spark: SparkSession, sf: str) -> DataFrame:
     """Brands named in part names, and the one chosen."""
-    _, brands = _dictionary(spark, sf)
-    rows = table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", F.lit("new")).alias("title"))
-    found = dictionary.extractor(spark, brands.withColumn("freq", F.crc32("word")))("title")
-    return rows.select("p_partkey", F.array_join(found, ",").alias("brands"), tx.choose_brand(found).alias("brand"))
+    brands = table(spark, sf, "part").select(F.col("p_brand").alias("word")).distinct().withColumn("freq", F.octet_length("word"))
+    rows = table(spark, sf, "part").select("p_partkey", phrases.plain_tokens(F.concat_ws(" ", "p_name", "p_brand", F.lit("new"))).alias("tokens"))
+    found = phrases.extracted(cut(rows), "p_partkey", brands)
+    return found.select("p_partkey", F.array_join("found", ",").alias("brands"), tx.choose_brand(F.col("found")).alias("brand"))
+
+
+def extract_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """The mined pairs that a search of each whole text comes to."""
+    rows = cut(table(spark, sf, "documents").select("doc_id", phrases.plain_tokens(F.col("text")).alias("tokens")))
+    found = phrases.extracted(rows, "doc_id", _mined(spark, sf))
+    return found.select("doc_id", F.size("found").alias("n_found"), F.md5(F.array_join("found", ",").cast("binary")).alias("digest"))
+
+
+def segment_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts split into mined words of one to three tokens."""
+    docs = table(spark, sf, "documents")
+    mined = words.frequencies(docs, tx.token_stream(F.col("text")), 3, least=30).select("word", "freq")
+    rows = cut(docs.where("text is not null").select("doc_id", tx.tokenise(F.col("text")).alias("tokens")))
+    found = phrases.segmented(rows, "doc_id", cut(mined))
+    return found.select("doc_id", F.size("segments").alias("n_segments"), F.md5(F.array_join("segments", "|").cast("binary")).alias("digest"))
 
 
 def dictionary_filter(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,7 +159,8 @@ QUERIES = {
     for f in (
         strip_punct, tokenise, capitalised, salted_hashes, hour_marks, url_parts, ngram_freq, neighbour_entropy, word_accept,
         ngram_freq_all, neighbour_entropy_all, word_accept_all,
-        vector_topk, cosine_sparse, cosine_sparse_all, cosine_dense, leader_groups, clean_title, extract_brand, dictionary_filter, event_windows,
+        vector_topk, cosine_sparse, cosine_sparse_all, cosine_dense, leader_groups, clean_title, extract_brand, extract_phrases, segment_texts,
+        dictionary_filter, event_windows,
     )
 }
 
@@ -159,6 +174,20 @@ def _grams(longest: int) -> str:
               FROM pos, range(1, {longest + 1}) AS ks(k) WHERE i + k - 1 <= len(t))"""
 
 
+def _found(titles: str, key: str, names: str) -> str:
+    """x: key and found, of titles (key, s) and names (word, freq)."""
+    tokens = r"list_filter(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+|[^ ]'), lambda w: regexp_matches(w, '^[\p{{L}}\p{{N}}_]'))"
+    return f"""names AS ({names}), p AS (SELECT word, freq, {tokens.format('word')} AS ws FROM names),
+        d AS (SELECT {key}, {tokens.format('s')} AS t FROM ({titles}) titles),
+        k AS (SELECT DISTINCT len(ws) AS n FROM p WHERE len(ws) > 0),
+        h AS (SELECT {key}, i, max(n) AS n FROM (SELECT {key}, i, n, t[i:i + n - 1] AS ws FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM d), k
+              WHERE i + n - 1 <= len(t)) JOIN (SELECT DISTINCT ws FROM p) USING (ws) GROUP BY ALL),
+        f AS (SELECT {key}, unnest(list_reduce(list_prepend([0], list([i, n] ORDER BY i)), lambda a, x:
+              if(x[1] >= a[1], list_concat([x[1] + x[2]], list_append(a[2:], x[1])), a))[2:]) AS i FROM h GROUP BY {key}),
+        u AS (SELECT DISTINCT {key}, word, freq FROM f JOIN h USING ({key}, i) JOIN d USING ({key}) JOIN p ON p.ws = t[i:i + n - 1]),
+        x AS (SELECT {key}, list(word ORDER BY freq DESC, word COLLATE C) AS found FROM u GROUP BY {key})"""
+
+
 _ENTROPY = """SELECT word, -sum(CASE WHEN {s} IS NOT NULL THEN n / m * ln(n / m) ELSE {e} END) AS h FROM (
     SELECT word, {s}, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CASE WHEN {c} THEN count(*) END) OVER (PARTITION BY word) AS DOUBLE) AS m
     FROM g GROUP BY word, {s}) x GROUP BY word"""
@@ -205,6 +234,11 @@ SQL = {
               AND v.doc_id <> q.doc_id GROUP BY ALL)
         SELECT query, d.doc_id, round(dot / (a.n * b.n), 6) AS cosine FROM d JOIN n a ON a.doc_id = d.query JOIN n b ON b.doc_id = d.doc_id
         WHERE dot / (a.n * b.n) >= 0.3""",
+    "extract_brand": f"""WITH {_found("SELECT p_partkey, p_name || ' ' || p_brand || ' new' AS s FROM part", "p_partkey", "SELECT DISTINCT p_brand AS word, strlen(p_brand) AS freq FROM part")}
+        SELECT p_partkey, array_to_string(found, ',') AS brands, array_to_string(list_transform(regexp_extract_all(found[1], '[A-Za-z]+|[^A-Za-z]+'),
+               lambda w: upper(w[1]) || w[2:]), '') AS brand FROM x""",
+    "extract_phrases": f"""WITH {_grams(2)}, {_found("SELECT doc_id, text AS s FROM documents", "doc_id", "SELECT word, count(*) AS freq FROM g WHERE len = 2 GROUP BY word HAVING count(*) >= 30")}
+        SELECT doc_id, CAST(len(found) AS INTEGER) AS n_found, md5(array_to_string(found, ',')) AS digest FROM x""",
     "cosine_dense": """
         WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
         f AS (SELECT label, arg_min(v, vec_id) AS lead FROM e GROUP BY label)

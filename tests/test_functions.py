@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from merchantry.functions import codecs, numbers, props, times, urls
 from merchantry.functions import text as tx
-from merchantry.operators import dictionary, html, predicates, score
+from merchantry.operators import html, predicates, score
 
 
 def value(spark, column, **columns):
@@ -102,16 +102,6 @@ def test_missing_values(spark):
     assert [r.v for r in rows.select(predicates.not_true(F.col("f")).alias("v")).collect()] == [False, True, True]
 
 
-def test_cleaning_and_extraction():
-    banned = dictionary.Phrases([("特价", None), ("hot sale", None)])
-    assert dictionary.cleaned(" 特价 iPhone hot sale 手机", banned) == "iPhone 手机"
-    brands = dictionary.Phrases([("Olay", 5), ("north face", 9), ("face", 1)], dictionary.plain_words)
-    assert dictionary.extracted("new OLAY north face!", brands) == ["north face", "Olay"]
-    assert dictionary.extracted("", brands) == []
-    weights = {"北 京": -1.0, "大 学": -1.0, "京 大": -0.5}
-    assert dictionary.segmented("北京大学", weights, 2, -3.0) == ["北京", "大学"]
-
-
 def test_item_pages(spark):
     pages = [
         (1, '<title>A &amp; B</title><img src="x.jpg"><b class="price">1,200.50</b><i class="promo">99</i>'),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from merchantry.functions import props
 from merchantry.functions import text as tx
-from merchantry.operators import dictionary, grouping, lookups, merge, paging, score, tree, words
+from merchantry.operators import grouping, lookups, merge, paging, score, tree, words
 from merchantry.plans import mining
 from merchantry.sources import files
 from merchantry.sources.tables import table
@@ -141,54 +141,6 @@ def test_leader_groups_go_on_in_a_later_run(spark):
     assert {r.item: r.group_lead for r in third.collect()} == {i: 9 if i % 2 else 0 for i in range(9, 20)}
 
 
-def brute_clean(title, banned):
-    import unicodedata
-
-    keep = lambda c: c not in "★!。◆*（）【】" and unicodedata.category(c)[0] != "S"
-    out = dictionary.tokens("".join(c if keep(c) else " " for c in title))
-    phrases = sorted((dictionary.tokens(b) for b in banned), key=len, reverse=True)
-    while hit := next(((i, len(p)) for i in range(len(out)) for p in phrases if [w.lower() for w in out[i : i + len(p)]] == p), None):
-        del out[hit[0] : hit[0] + hit[1]]
-    return " ".join(out)
-
-
-def test_titles_cleaned_as_by_brute_force(spark):
-    banned = ["hot sale", "new", "red new"]
-    titles = ["hot ☆ sale phone", "hot ★ sale red phone", "HOT sale new red new hot sale x", "a + b hot sale", "red red new new", "", "plain words"]
-    rows = spark.createDataFrame(list(enumerate(titles)), "id long, title string")
-    clean = dictionary.cleaner(spark, spark.createDataFrame([(b,) for b in banned], "word string"))
-    assert {r.id: r.t for r in rows.select("id", clean("title").alias("t")).collect()} == {i: brute_clean(t, banned) for i, t in enumerate(titles)}
-
-
-def test_segmenting_as_by_brute_force(spark):
-    from itertools import product
-
-    freq = {"ab cd": 50, "cd": 9, "ab": 30, "cd ef": 40, "ef": 8, "ef gh ij": 3}
-    total = math.log(sum(freq.values()))
-    score = lambda ws: sum(math.log(freq[w]) - total if w in freq else -total - 1 if " " not in w else -math.inf for w in ws)
-    titles = ["ab cd ef", "cd ef gh ij", "xx ab cd", "ab", "", "ef gh", "ab cd ef gh ij cd"]
-    segment = dictionary.segmenter(spark, spark.createDataFrame(list(freq.items()), "word string, freq long"))
-    rows = spark.createDataFrame(list(enumerate(titles)), "id long, title string")
-    for r in rows.select("id", segment("title").alias("s")).collect():
-        t = titles[r.id].split()
-        splits = []
-        for cuts in product((0, 1), repeat=max(len(t) - 1, 0)):
-            words_, at = [], 0
-            for i, c in enumerate(cuts, 1):
-                if c:
-                    words_.append(" ".join(t[at:i]))
-                    at = i
-            splits.append([*words_, " ".join(t[at:])] if t else [])
-        assert math.isclose(score(r.s), max(map(score, splits))) and " ".join(r.s) == titles[r.id]
-
-
-def test_title_report(spark):
-    titles = spark.createDataFrame([(1, "new OLAY cream hot sale"), (2, "plain")], "id long, title string")
-    banned, brands = spark.createDataFrame([("hot sale",)], "word string"), spark.createDataFrame([("Olay", 9), ("cream", 3)], "word string, freq long")
-    got = [tuple(r) for r in dictionary.title_report(titles, banned, brands, "id", "title").orderBy("id").collect()]
-    assert got == [(1, "new OLAY cream hot sale", "Cream", "new OLAY cream"), (2, "plain", "", "plain")]
-
-
 def test_shop_priority_at_its_boundaries(spark):
     rows = spark.createDataFrame([(s, n, k) for s in (4, 5, 19, 20, 29, 30, 31, 99, 100) for n in (0, 2999, 3000, 4000) for k in (0, 1, 20)], "s long, l long, n long")
     for r in rows.select("*", score.shop_priority(F.col("l"), F.col("s"), F.col("n")).alias("p")).collect():
