@@ -46,8 +46,7 @@ def ngram_freq(spark: SparkSession, sf: str) -> DataFrame:
 
 def neighbour_entropy(spark: SparkSession, sf: str) -> DataFrame:
     rows, tokens = words.token_rows(table(spark, sf, "documents"), tx.token_stream(F.col("text"))), F.col("tokens")
-    freq = cut(words.frequencies(rows, tokens, 2, least=50).select("word"))
-    runs = cut(words.neighbours(rows, tokens, 2, freq))
+    runs = cut(words.near_frequent(words.levels(rows, tokens, 2, 50)))
     both = words.entropy(runs, "left", True).join(words.entropy(runs, "right", False), "word")
     return both.select("word", F.round("entropy_left", 6).alias("entropy_left"), F.round("entropy_right", 6).alias("entropy_right"))
 
@@ -76,20 +75,22 @@ def word_accept_all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
-    terms = vectors.term_rows(table(spark, sf, "documents"), "doc_id", tx.token_stream(F.col("text")))
-    return vectors.top_terms(terms, "doc_id", 20)
+    return vectors.top_terms(table(spark, sf, "documents"), "doc_id", tx.token_stream(F.col("text")), 20)
+
+
+def _cosines(spark: SparkSession, sf: str, least: float) -> DataFrame:
+    terms = cut(vectors.term_rows(table(spark, sf, "documents"), "doc_id", tx.token_stream(F.col("text"))))
+    return vectors.similar(terms, terms.where("doc_id % 100 = 0"), "doc_id", least).select("query", "doc_id", F.round("cosine", 6).alias("cosine"))
 
 
 def cosine_sparse(spark: SparkSession, sf: str) -> DataFrame:
-    """Every hundredth document against all, by counts of the terms of 10 characters or more, as its SQL states it."""
-    terms = vectors.term_rows(table(spark, sf, "documents"), "doc_id", F.filter(tx.token_stream(F.col("text")), lambda t: F.char_length(t) > 9))
-    return vectors.similar(terms, terms.where("doc_id % 100 = 0"), "doc_id", 0.3).select("query", "doc_id", F.round("cosine", 6).alias("cosine"))
+    """Every hundredth document against all, by counts of all terms, from a high cosine on."""
+    return _cosines(spark, sf, 0.8)
 
 
 def cosine_sparse_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Every hundredth document against all, by counts of all terms."""
-    terms = vectors.term_rows(table(spark, sf, "documents"), "doc_id", tx.token_stream(F.col("text")))
-    return vectors.similar(terms, terms.where("doc_id % 100 = 0"), "doc_id", 0.3).select("query", "doc_id", F.round("cosine", 6).alias("cosine"))
+    """The same from a low cosine on, which a third of all pairs has."""
+    return _cosines(spark, sf, 0.3)
 
 
 def cosine_dense(spark: SparkSession, sf: str) -> DataFrame:
@@ -192,6 +193,16 @@ _ENTROPY = """SELECT word, -sum(CASE WHEN {s} IS NOT NULL THEN n / m * ln(n / m)
     SELECT word, {s}, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CASE WHEN {c} THEN count(*) END) OVER (PARTITION BY word) AS DOUBLE) AS m
     FROM g GROUP BY word, {s}) x GROUP BY word"""
 
+def _cosine_sql(least: float) -> str:
+    return f"""WITH v AS (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS w
+            FROM (SELECT doc_id, unnest(t) AS term FROM ({_TOKENS}) x) y GROUP BY ALL),
+        n AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM v GROUP BY doc_id),
+        d AS (SELECT q.doc_id AS query, v.doc_id, sum(q.w * v.w) AS dot FROM v JOIN v q ON v.term = q.term AND q.doc_id % 100 = 0
+              AND v.doc_id <> q.doc_id GROUP BY ALL)
+        SELECT query, d.doc_id, round(dot / (a.n * b.n), 6) AS cosine FROM d JOIN n a ON a.doc_id = d.query JOIN n b ON b.doc_id = d.doc_id
+        WHERE dot / (a.n * b.n) >= {least}"""
+
+
 SQL = {
     # RE2 has no class intersection: the ASCII marks that are not kept, and no others occur in these texts.
     "strip_punct": r"""SELECT doc_id, regexp_replace(text, '["#$%()*,/:;<=>?\[\\\]^{|}~]', ' ', 'g') AS stripped FROM documents""",
@@ -223,17 +234,22 @@ SQL = {
         FROM f JOIN a USING (word) JOIN b USING (word) LEFT JOIN c USING (word)
         WHERE ((len > 1 AND freq >= 10 AND prob / c.p >= 3) OR (len = 1 AND length(word) > 1 AND freq >= 300))
               AND least(a.h, b.h) >= 1.0""",
+    "word_accept_all": f"""WITH {_grams(5)}, n AS (SELECT count(*) AS total FROM g),
+        f AS (SELECT word, len, count(*) AS freq, count(*) / (SELECT total FROM n) AS prob FROM g GROUP BY word, len),
+        a AS ({_ENTROPY.format(s="l", c="l IS NOT NULL", e="0")}), b AS ({_ENTROPY.format(s="r", c="r IS NOT NULL", e="0")}),
+        k AS (SELECT word, string_split(word, ' ') AS t, unnest(range(1, len)) AS i FROM f WHERE len > 1 AND freq >= 10),
+        c AS (SELECT k.word, min(x.prob * y.prob) AS p FROM k JOIN f x ON x.word = array_to_string(t[1:i], ' ')
+              JOIN f y ON y.word = array_to_string(t[i + 1:], ' ') GROUP BY k.word)
+        SELECT word, freq, round(prob, 10) AS prob, round(least(a.h, b.h), 6) AS entropy
+        FROM f JOIN a USING (word) JOIN b USING (word) LEFT JOIN c USING (word)
+        WHERE ((len > 1 AND freq >= 10 AND prob / c.p >= 200) OR (len = 1 AND length(word) > 1 AND freq >= 300))
+              AND least(a.h, b.h) >= 2.8""",
     "vector_topk": f"""
         SELECT doc_id, term, CAST(n AS DOUBLE) AS weight, CAST(place AS INTEGER) AS place FROM (
           SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term COLLATE C) AS place
           FROM (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(t) AS term FROM ({_TOKENS}) x) y GROUP BY ALL) z) w WHERE place <= 20""",
-    "cosine_sparse": f"""WITH v AS (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS w
-            FROM (SELECT doc_id, unnest(t) AS term FROM ({_TOKENS}) x) y WHERE length(term) > 9 GROUP BY ALL),
-        n AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM v GROUP BY doc_id),
-        d AS (SELECT q.doc_id AS query, v.doc_id, sum(q.w * v.w) AS dot FROM v JOIN v q ON v.term = q.term AND q.doc_id % 100 = 0
-              AND v.doc_id <> q.doc_id GROUP BY ALL)
-        SELECT query, d.doc_id, round(dot / (a.n * b.n), 6) AS cosine FROM d JOIN n a ON a.doc_id = d.query JOIN n b ON b.doc_id = d.doc_id
-        WHERE dot / (a.n * b.n) >= 0.3""",
+    "cosine_sparse": _cosine_sql(0.8),
+    "cosine_sparse_all": _cosine_sql(0.3),
     "extract_brand": f"""WITH {_found("SELECT p_partkey, p_name || ' ' || p_brand || ' new' AS s FROM part", "p_partkey", "SELECT DISTINCT p_brand AS word, strlen(p_brand) AS freq FROM part")}
         SELECT p_partkey, array_to_string(found, ',') AS brands, array_to_string(list_transform(regexp_extract_all(found[1], '[A-Za-z]+|[^A-Za-z]+'),
                lambda w: upper(w[1]) || w[2:]), '') AS brand FROM x""",

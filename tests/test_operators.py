@@ -2,13 +2,14 @@
 
 import datetime as dt
 import math
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
 
 from merchantry.functions import props
 from merchantry.functions import text as tx
-from merchantry.operators import grouping, lookups, merge, paging, score, tree, words
+from merchantry.operators import grouping, lookups, merge, paging, score, tree, vectors, words
 from merchantry.plans import mining
 from merchantry.sources import files
 from merchantry.sources.tables import table
@@ -161,7 +162,20 @@ def test_cosines_of_all_terms(spark, sf):
     got = {(r.query, r.doc_id): r.cosine for r in mining.cosine_sparse_all(spark, sf).collect()}
     assert got.keys() == expected.keys()
     assert all(abs(got[k] - expected[k]) < 1e-6 for k in got)
-    assert len(got) > mining.cosine_sparse(spark, sf).count()
+    high = {(r.query, r.doc_id): r.cosine for r in mining.cosine_sparse(spark, sf).collect()}
+    assert high == {k: c for k, c in got.items() if c >= 0.8} and high
+
+
+def test_cosines_of_split_terms(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SPLIT_ROWS", 10)
+    rng = random.Random(3)
+    bags = {i: {rng.choice("abcdefghij") + str(rng.randrange(3)): rng.randint(1, 9) / 3 for _ in range(rng.randint(1, 12))} for i in range(120)}
+    terms = spark.createDataFrame([(i, t, w) for i, b in bags.items() for t, w in b.items()] + [(500, "a0", 0.0)], "k long, term string, weight double")
+    norm = lambda b: math.sqrt(sum(w * w for w in b.values()))
+    for least in (0.2, 0.6, 0.95):
+        got = {(r["query"], r.k): r.cosine for r in vectors.similar(terms, terms.where("k % 10 = 0"), "k", least).collect()}
+        dots = {(q, d): sum(w * bags[d].get(t, 0) for t, w in bags[q].items()) / (norm(bags[q]) * norm(bags[d])) for q in range(0, 120, 10) for d in bags if d != q}
+        assert got.keys() == {p for p, c in dots.items() if c >= least} and all(abs(c - dots[p]) < 1e-9 for p, c in got.items())
 
 
 def test_mining_of_runs_up_to_five(spark, sf):
