@@ -22,7 +22,7 @@ _OUT = "category string, item long, group_lead long, mean double, n long, terms
 _COLUMNS = [c.split()[0] for c in _OUT.split(", ")]
 
 
-def _prefix(own: dict, norm: float, threshold: float) -> list[str]:
+def prefix_terms(own: dict, norm: float, threshold: float) -> list[str]:
     """Terms of a vector, in a common order, until the others' norm is too small for the threshold: of two vectors that
     are similar enough, the prefixes share a term."""
     rest, least, out = norm * norm, (threshold * norm) ** 2 * (1 - 1e-9), []
@@ -41,7 +41,7 @@ def _leaders(threshold: float, price_limit: float) -> object:
 
         def add(item: int, own: dict, mean: float, n: int) -> None:
             norm = sum(w * w for w in own.values()) ** 0.5
-            for t in _prefix(own, norm, threshold) if by_prefix else ():
+            for t in prefix_terms(own, norm, threshold) if by_prefix else ():
                 index.setdefault(t, []).append(len(leads))
             leads.append((item, own, norm))
             means.append(mean)
@@ -53,7 +53,7 @@ def _leaders(threshold: float, price_limit: float) -> object:
             own = dict(zip(terms, weights, strict=True))
             norm = sum(w * w for w in own.values()) ** 0.5
             best, chosen = threshold, -1
-            for g in sorted({g for t in _prefix(own, norm, threshold) for g in index.get(t, ())}) if by_prefix else range(len(leads)):
+            for g in sorted({g for t in prefix_terms(own, norm, threshold) for g in index.get(t, ())}) if by_prefix else range(len(leads)):
                 high = max(means[g], price)
                 if (1 - min(means[g], price) / high if high > 0 else 0) > price_limit:
                     continue

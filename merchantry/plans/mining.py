@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from merchantry.functions import codecs, numbers, times, urls
 from merchantry.functions import text as tx
-from merchantry.operators import grouping, phrases, vectors, words
-from merchantry.session import cut
+from merchantry.operators import phrases, vectors, words
+from merchantry.session import cut, new_folder
 from merchantry.sources.tables import table
+from merchantry.streaming import incremental, keyed
 
 
 def strip_punct(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,10 +101,28 @@ def cosine_dense(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(firsts, "label").select("vec_id", F.round(numbers.dense_cosine(F.col("embedding"), F.col("lead")), 5).alias("cosine"))
 
 
+def part_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as items to group: category, item, price, and the vector of the name's words (T14), brands as terms."""
+    parts = table(spark, sf, "part")
+    segments = parts.select("p_partkey", F.explode(tx.tokenise(F.lower("p_name"))).alias("segment"))
+    known = segments.groupBy(F.col("segment").alias("word")).agg(F.count(F.lit(1)).alias("freq"))
+    banned = parts.where("p_size = 1").select(F.substring_index(F.lower("p_name"), " ", 1).alias("word")).distinct().where("word < 'c'")
+    brands = parts.select("p_partkey", F.col("p_brand").alias("term"))
+    terms = vectors.item_vectors(segments, known, banned, brands, "p_partkey")
+    own = terms.groupBy("p_partkey").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("v"))
+    named = parts.join(own, "p_partkey")
+    return named.select(F.col("p_type").alias("category"), F.col("p_partkey").alias("item"), F.col("p_retailprice").alias("price"), F.col("v.term").alias("terms"), F.col("v.weight").alias("weights"))
+
+
 def leader_groups(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = F.array_sort(F.array_distinct(F.concat(tx.tokenise(F.col("p_name")), F.array("p_brand"))))
-    items = table(spark, sf, "part").select(F.col("p_type").alias("category"), F.col("p_partkey").alias("item"), F.col("p_retailprice").alias("price"), tokens.alias("terms"), F.transform(tokens, lambda t: F.lit(1.0)).alias("weights"))
-    return grouping.leader_groups(items)
+    """Groups of parts in keyed state: items arrive in three deliveries, in order, and the stream is started on each."""
+    folder, items = new_folder(spark, "groups"), cut(part_items(spark, sf))
+    low, high = items.agg(F.min("item"), F.max("item")).first()
+    for k in range(3):
+        items.where(F.floor((F.col("item") - low) * 3 / (high - low + 1)) == k).write.mode("append").parquet(f"{folder}/in")
+        source = incremental.files(spark, f"{folder}/in", items.schema, per_batch=1_000_000)
+        found = keyed.leader_group_stream(source, f"{folder}/out", f"{folder}/checkpoint")
+    return found
 
 
 def _mined(spark: SparkSession, sf: str) -> DataFrame:
