@@ -5,6 +5,8 @@ Pages need not be well-formed: what is not found is null, and an error kind says
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,10 +106,75 @@ IMAGE_SIZE = r"_\d+x\d+\.jpg|_b\.jpg"
 HIDDEN_TITLE, DETAIL_TITLE, CONTACT = "商品屏蔽", "宝贝详情", "联系卖家"
 
 
-def blocks(html: Column, tag: str, name: str = "") -> Column:
-    """The inner markup of all elements of a tag (of a class, where one is named) that hold no element of that tag."""
-    start = rf"<{tag}\b[^>]*\bclass=[\"'][^\"'>]*(?<![\w-]){name}(?![\w-])[^>]*>" if name else rf"<{tag}\b[^>]*>"
-    return F.regexp_extract_all(html, F.lit(rf"(?is){start}((?:(?!<{tag}\b).)*?)</{tag}\s*>"), F.lit(1))
+#: Tags whose closing tag may be left out, as the next one of the kind, or its parent's end, ends them.
+IMPLIED = ("p", "li", "td", "th", "tr", "dd", "dt", "option")
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), value being worked out once a row and not at each place that a lambda function names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _start(tag: str, name: str) -> str:
+    return rf"<{tag}\b[^>]*\bclass=[\"'][^\"'>]*(?<![\w-]){name}(?![\w-])[^>]*>" if name else rf"<{tag}\b[^>]*>"
+
+
+def leaves(html: Column, tag: str, name: str = "") -> Column:
+    """The inner markup of the elements that hold no element of their tag: cells, lines, words in bold type."""
+    return F.regexp_extract_all(html, F.lit(rf"(?is){_start(tag, name)}((?:(?!<{tag}\b).)*?)</{tag}\s*>"), F.lit(1))
+
+
+def _balanced(html: Column, tag: str, name: str, outermost: bool) -> Column:
+    """The page is cut at the tag's opening and closing tags; the depth after each is a prefix sum. An element ends where the
+    depth first falls below its own, at the end of the page if it never does."""
+    mark, opens = rf"(?is)<{tag}\b[^>]*>|</{tag}\s*>", rf"(?is)^{_start(tag, name)}$"
+    events = F.regexp_extract_all(html, F.lit(mark), F.lit(0))
+    cut_up = F.struct(events.alias("events"), F.split(html, mark, -1).alias("parts"), F.transform(events, lambda e: F.when(F.startswith(e, F.lit("</")), -1).otherwise(1)).alias("steps"))
+
+    def with_depths(c: Column) -> Column:
+        depths = F.transform(c["steps"], lambda _, i: F.aggregate(F.slice(c["steps"], F.lit(1), i + 1), F.lit(0), lambda x, y: x + y))
+        return F.struct(c["events"].alias("events"), c["parts"].alias("parts"), c["steps"].alias("steps"), depths.alias("depths"))
+
+    def spans(c: Column) -> Column:
+        n = F.size(c["events"])
+        places = F.filter(F.transform(c["events"], lambda e, i: F.when((F.get(c["steps"], i) == 1) & F.regexp_like(e, F.lit(opens)), i)), lambda i: i.isNotNull())
+        later = lambda i: F.slice(c["depths"], i + 2, n)
+        ends = F.transform(places, lambda i: F.struct(i.alias("a"), F.coalesce(F.nullif(F.array_position(F.transform(later(i), lambda d: d < F.get(c["depths"], i)), True), F.lit(0)) + i, n).cast("int").alias("b")))
+        return F.struct(c["events"].alias("events"), c["parts"].alias("parts"), ends.alias("ends"))
+
+    def inner(c: Column) -> Column:
+        chosen = F.filter(c["ends"], lambda x: ~F.exists(c["ends"], lambda y: (y["a"] < x["a"]) & (x["b"] < y["b"]))) if outermost else c["ends"]
+
+        def markup(x: Column) -> Column:
+            between = F.zip_with(F.slice(c["events"], x["a"] + 2, x["b"] - x["a"] - 1), F.slice(c["parts"], x["a"] + 3, x["b"] - x["a"] - 1), lambda e, p: F.concat(e, p))
+            return F.concat(F.get(c["parts"], x["a"] + 1), F.array_join(between, ""))
+
+        return F.transform(chosen, markup)
+
+    return _bound(cut_up, lambda c: _bound(with_depths(c), lambda d: _bound(spans(d), inner)))
+
+
+def blocks(html: Column, tag: str, name: str = "", outermost: bool = False) -> Column:
+    """The inner markup of all elements of a tag (of a class, where one is named), in order of their beginning. An element
+    may hold others of its tag. outermost: elements within another one of these are left out, so that what is looked for
+    inside is found once. Where closing tags that may be left out are left out, an element is what stands between an
+    opening tag and the next closing one, without another opening tag in it."""
+    if tag == "p":
+        return leaves(html, tag, name)
+    whole = _balanced(html, tag, name, outermost)
+    if tag not in IMPLIED:
+        return whole
+    count = lambda mark: F.regexp_count(html, F.lit(rf"(?i){mark}"))
+    return F.when(count(rf"<{tag}\b") == count(rf"</{tag}\s*>"), whole).otherwise(leaves(html, tag, name))
+
+
+def within(html: Column, *path: tuple[str, str]) -> Column:
+    """The inner markup of the elements (tag, class; "" for any) at the end of a path of descendants, in order."""
+    tag, name = path[0]
+    found = blocks(html, tag, name, outermost=len(path) > 1)
+    if len(path) == 1:
+        return found
+    return F.flatten(F.transform(found, lambda b: within(b, *path[1:])))
 
 
 def bare(markup: Column) -> Column:
@@ -133,7 +200,7 @@ def mobile_item(page: Column) -> Column:
     the sales and the place. error: missing (hidden or no such item), title, cattag (another layout), group (sold
     elsewhere), count (a sales line without a number); then the fields mean nothing."""
     title = F.coalesce(element(page, "title"), F.lit(""))
-    box, details = blocks(page, "p", "box"), blocks(page, "div", "detail")
+    box, details = leaves(page, "p", "box"), blocks(page, "div", "detail", outermost=True)
     links = F.flatten(F.transform(box, lambda b: attribute(b, "a", "href")))
     category = F.try_element_at(links, F.lit(-1))
     paragraphs = F.flatten(F.transform(details, lambda d: F.regexp_extract_all(d, F.lit(r"(?is)<p\b[^>]*>(.*?)</p\s*>"), F.lit(1))))
@@ -151,8 +218,8 @@ def mobile_item(page: Column) -> Column:
     sales = F.coalesce(F.get(lines, at + 2), F.lit(""))
     sold = _found(sales, r"(\d+)")
     place = F.coalesce(F.get(lines, at + 3), F.lit(""))
-    rating = _first(F.flatten(F.transform(blocks(page, "table", "rate_desc"), lambda t: blocks(t, "td", "link_btn"))))
-    number = F.when(second_hand, bare(rating)).otherwise(bare(_first(blocks(rating, "span"))))
+    rating = _first(F.flatten(F.transform(blocks(page, "table", "rate_desc"), lambda t: leaves(t, "td", "link_btn"))))
+    number = F.when(second_hand, bare(rating)).otherwise(bare(_first(leaves(rating, "span"))))
     buttons = F.filter(pictures, lambda p: F.contains(p, F.lit("nick=")))
     error = (
         F.when(F.contains(title, F.lit(HIDDEN_TITLE)) | (title == DETAIL_TITLE), "missing")
@@ -184,9 +251,9 @@ def cut_bytes_end(c: Column, n: int) -> Column:
 
 def detail_page(page: Column) -> Column:
     """error, reviews and properties of a detail page (H02): a row of the goods-property table is a name and a value."""
-    red = _first(F.flatten(F.transform(blocks(page, "p"), lambda p: F.filter(F.transform(blocks(p, "strong"), bare), lambda s: s != ""))))
-    rows = F.flatten(F.transform(blocks(page, "table", "goods-property"), lambda t: blocks(t, "tr")))
-    cells = F.filter(F.transform(rows, lambda r: F.transform(blocks(r, "td"), lambda d: F.regexp_replace(bare(d), r"\r?\n", " "))), lambda c: F.size(c) > 1)
+    red = _first(F.flatten(F.transform(leaves(page, "p"), lambda p: F.filter(F.transform(leaves(p, "strong"), bare), lambda s: s != ""))))
+    rows = F.flatten(F.transform(blocks(page, "table", "goods-property"), lambda t: leaves(t, "tr")))
+    cells = F.filter(F.transform(rows, lambda r: F.transform(leaves(r, "td"), lambda d: F.regexp_replace(bare(d), r"\r?\n", " "))), lambda c: F.size(c) > 1)
     return F.struct(F.when(red.isNull(), "reviews").alias("error"), _found(red, r"(\d+)").try_cast("long").alias("reviews"), _last_wins(cells).alias("props"))
 
 
@@ -199,7 +266,7 @@ def _last_wins(pairs: Column) -> Column:
 
 def _listed(page: Column) -> Column:
     listed = F.regexp_extract(page, r"(?is)<div\b[^>]*\bclass=[\"'][^\"'>]*(?<![\w-])attributes(?![\w-])[^>]*>(.*?)</ul\s*>", 1)
-    items = F.transform(blocks(listed, "li"), bare)
+    items = F.transform(leaves(listed, "li"), bare)
     return _last_wins(F.filter(F.transform(items, lambda s: F.split(s, ":")), lambda p: F.size(p) > 1))
 
 
@@ -232,7 +299,7 @@ def mall_item(page: Column) -> Column:
 def market_item(page: Column) -> Column:
     """error and the fields of the desktop layout of single sellers."""
     cid = F.coalesce(_found(page, r" cid:'(\d+)"), _found(page, r"data-catid =\"(\d+)"))
-    price = _found(_first(F.transform(blocks(page, "em", "tb-rmb-num"), bare)), r"(\d+\.\d+)")
+    price = _found(_first(F.transform(leaves(page, "em", "tb-rmb-num"), bare)), r"(\d+\.\d+)")
     gone = F.exists(F.transform(F.split(page, r"(?i)tb-out-of-date"), lambda s: s), lambda s: F.regexp_like(s, F.lit(r"(?is)^[^<]*>.*?<p\b[^>]*tb-hint[^>]*>\s*<strong")))
     return _desktop(page, cid, _found(page, r"sellerNick:\"([^\"\n]+)\""), price, "data-src", ~gone, "taobao.com", 4)
 
@@ -259,7 +326,7 @@ def merged_item(front: Column, detail: Column, item: Column, shop: Column, kind:
 
 def shop_link(page: Column) -> Column:
     """The shop's address on a mobile item page: the first link in bold type."""
-    strong = F.flatten(F.transform(blocks(page, "p"), lambda p: F.transform(blocks(p, "strong"), lambda s: _first(attribute(s, "a", "href")))))
+    strong = F.flatten(F.transform(leaves(page, "p"), lambda p: F.transform(leaves(p, "strong"), lambda s: _first(attribute(s, "a", "href")))))
     return _first(F.filter(strong, lambda u: u.isNotNull()))
 
 
@@ -270,7 +337,7 @@ def shop_nick(page: Column) -> Column:
 
 def listed_items(page: Column) -> Column:
     """Numbers of the items that a page of a shop lists, and the next page where there is one."""
-    links = F.transform(blocks(page, "td", "pic"), lambda t: _found(_first(attribute(t, "a", "href")), r"(\d+)"))
+    links = F.transform(leaves(page, "td", "pic"), lambda t: _found(_first(attribute(t, "a", "href")), r"(\d+)"))
     pager = _first(blocks(page, "div", "pager"))
     first = F.regexp_extract(pager, r"(?is)(<a\b[^>]*>.*?</a\s*>)", 1)
     return F.struct(F.filter(links, lambda u: u.isNotNull()).alias("items"), F.when(bare(first) == "下页", _first(attribute(first, "a", "href"))).alias("next"))
@@ -278,9 +345,9 @@ def listed_items(page: Column) -> Column:
 
 def shop_page(page: Column, link: Column) -> Column:
     """The record of a shop's mobile page (H05); its error is gone where the page names no shop."""
-    title = _first(F.transform(blocks(page, "p", "box"), bare))
+    title = _first(F.transform(leaves(page, "p", "box"), bare))
     contact = _first(F.filter(F.regexp_extract_all(page, F.lit(r"(?is)<a\b[^>]*>\s*<img\b[^>]*alt=[\"']ww[\"'][^>]*>"), F.lit(0)), lambda s: s != ""))
-    picture = _first(F.transform(blocks(page, "td", "pic"), lambda t: _first(attribute(t, "img", "src"))))
+    picture = _first(F.transform(leaves(page, "td", "pic"), lambda t: _first(attribute(t, "img", "src"))))
     rate = _found(page, r"好评率：([0-9.]+)")
     return F.struct(
         F.when(F.coalesce(title, F.lit("")) == "", "gone").alias("error"),
@@ -301,11 +368,11 @@ def seller_id(page: Column) -> Column:
 def rating_page(page: Column) -> Column:
     """company, main products, place and the three signed rates of a rating page (H05). A rate is below zero where its
     class is not `percent over`; ---- is zero; other than three rates are none."""
-    company = F.try_element_at(F.transform(F.flatten(F.transform(blocks(page, "li", "company"), lambda c: blocks(c, "div", "fleft2"))), bare), F.lit(-1))
-    items = F.flatten(F.transform(blocks(page, "li", "J_RateInfoTrigger"), lambda c: F.array(c)))
+    company = F.try_element_at(F.transform(F.flatten(F.transform(leaves(page, "li", "company"), lambda c: leaves(c, "div", "fleft2"))), bare), F.lit(-1))
+    items = F.flatten(F.transform(leaves(page, "li", "J_RateInfoTrigger"), lambda c: F.array(c)))
 
     def rate(item: Column) -> Column:
-        marks = blocks(item, "em")
+        marks = leaves(item, "em")
         over = F.regexp_like(F.get(marks, F.lit(1)), F.lit(r"class=[\"']percent over[\"']"))
         size = F.coalesce(F.regexp_extract(bare(F.get(marks, F.lit(1))), r"^([0-9.]+)", 1).try_cast("double"), F.lit(0.0))
         return F.struct(lenient_float(bare(_first(marks))).alias("score"), F.when(over | (size == 0), size).otherwise(-size).alias("rate"))

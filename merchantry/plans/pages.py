@@ -28,7 +28,28 @@ def item_pages(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("page_id", "error", "record.title", F.size("record.item_imgs").alias("n_images"), "record.price", "record.in_stock")
 
 
-QUERIES = {f.__name__: f for f in (html_title, html_links, html_text, item_pages)}
+def html_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Elements of the given pages: items of navigation lists, blocks of a class, and the article's markup."""
+    page = F.col("html")
+    items, article = F.transform(html.within(page, ("nav", ""), ("li", "")), html.bare), F.get(html.blocks(page, "article"), F.lit(0))
+    return table(spark, sf, "pages").select(
+        "page_id",
+        F.array_join(items, "|").alias("items"),
+        F.array_join(F.transform(html.blocks(page, "div", "ad"), html.bare), "|").alias("ads"),
+        F.char_length(article).alias("article_chars"),
+        F.size(html.blocks(page, "div")).alias("n_divs"),
+    )
+
+
+def html_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """The given pages, each wrapped in boxes within boxes: the outer box holds the page, the inner one its number."""
+    number = F.col("page_id").cast("string")
+    wrapped = F.concat(F.lit('<div class="outer box"><div class="box">'), number, F.lit("</div>"), "html", F.lit("<div>end</div></div>"))
+    boxes = table(spark, sf, "pages").select("page_id", "html", html.blocks(wrapped, "div", "box").alias("b"))
+    return boxes.select("page_id", F.size("b").alias("n_boxes"), F.get("b", F.lit(1)).alias("second"), F.md5(F.get("b", F.lit(0)).cast("binary")).alias("digest"))
+
+
+QUERIES = {f.__name__: f for f in (html_title, html_links, html_text, item_pages, html_blocks, html_nested)}
 
 _UNESCAPE = "replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
 SQL = {
@@ -42,4 +63,14 @@ SQL = {
     "html_text": f"""
         SELECT page_id, trim(regexp_replace({_UNESCAPE.format(r"regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '<[^>]*>', ' ', 'g')")},
                '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text FROM pages""",
+    "html_blocks": rf"""
+        SELECT page_id, array_to_string(list_transform(regexp_extract_all(array_to_string(regexp_extract_all(html, '(?is)<nav\b[^>]*>(.*?)</nav\s*>', 1), ''),
+                 '(?is)<li\b[^>]*>(.*?)</li\s*>', 1), lambda s: trim({_UNESCAPE.format("regexp_replace(s, '<[^>]*>', '', 'g')")})), '|') AS items,
+               array_to_string(list_transform(regexp_extract_all(html, '(?is)<div class="ad">(.*?)</div\s*>', 1),
+                 lambda s: trim({_UNESCAPE.format("regexp_replace(s, '<[^>]*>', '', 'g')")})), '|') AS ads,
+               CASE WHEN regexp_matches(html, '(?is)<article\b') THEN CAST(length(regexp_extract(html, '(?is)<article\b[^>]*>(.*?)(</article\s*>|\z)', 1)) AS INTEGER) END AS article_chars,
+               CAST(len(regexp_extract_all(html, '(?i)<div\b')) AS INTEGER) AS n_divs FROM pages""",
+    "html_nested": """
+        SELECT page_id, 2 AS n_boxes, CAST(page_id AS VARCHAR) AS second,
+               md5('<div class="box">' || page_id || '</div>' || html || '<div>end</div>') AS digest FROM pages""",
 }
