@@ -23,7 +23,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,30 +122,43 @@ def replay(tokens: list[str], known: set[tuple[str, ...]], asked: set[tuple[str,
     """The places that are left after known phrases are deleted, the leftmost longest first; and the windows of up to
     `longest` words that deletions made and that are not among asked."""
     left, right, unknown = [], list(range(len(tokens) - 1, -1, -1)), set()
-    lengths = sorted({len(p) for p in known}, reverse=True)
+    lengths, heads = sorted({len(p) for p in known}, reverse=True), {p[0] for p in known}
     while right:
-        places = right[: -longest - 1 : -1]
-        window = tuple(tokens[i] for i in places)
-        if places[-1] - places[0] >= len(places) and window not in asked:
-            unknown.add(window)
-        n = next((n for n in lengths if n <= len(window) and window[:n] in known), 0)
+        first, size = right[-1], min(longest, len(right))
+        if right[-size] - first >= size:  # a deletion brought these together
+            window = tuple([tokens[i] for i in right[: -size - 1 : -1]])
+            if window not in asked:
+                unknown.add(window)
+        n = 0
+        if tokens[first] in heads:
+            window = tuple([tokens[i] for i in right[: -size - 1 : -1]])
+            n = next((n for n in lengths if n <= size and window[:n] in known), 0)
         if n:
             del right[-n:]
-            for _ in range(min(longest - 1, len(left))):
-                right.append(left.pop())
+            back = min(longest - 1, len(left))
+            if back:
+                right += left[: -back - 1 : -1]
+                del left[-back:]
         else:
             left.append(right.pop())
     return left, unknown
 
 
+def _lists(column: pa.Array) -> list[list]:
+    """A list column, of strings or of lists of strings, as lists."""
+    flat = column.flatten()
+    values = _lists(flat) if pa.types.is_list(flat.type) else flat.to_numpy(zero_copy_only=False).tolist()
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))]).tolist()
+    return [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def _replayed(longest: int) -> Callable:
-    tuples = lambda rows: {tuple(r) for r in rows}
+    tuples = lambda rows: set(map(tuple, rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, unknown = [], []
-            for i in range(batch.num_rows):
-                tokens, known, asked = (batch.column(c)[i].as_py() or [] for c in ("tokens", "known", "asked"))
+            for tokens, known, asked in zip(*(_lists(batch.column(c)) for c in ("tokens", "known", "asked")), strict=True):
                 places, windows = replay(tokens, tuples(known), tuples(asked), longest)
                 kept.append(places)
                 unknown.append([list(w) for w in sorted(windows)])
