@@ -1,7 +1,9 @@
 """Mutations as rewrites: a table and its changes give a new table.
 
-Parquet tables have no MERGE, so each function returns the whole new content, to be written to a new folder. One full
-outer join by key carries updates and insertions together.
+Parquet tables have no MERGE, so each function returns the whole new content, to be written to a new folder;
+operators.bucketed applies them to the buckets that a batch touches. One full outer join by key carries updates and
+insertions together. A table has one row a key and keeps it so: where changes name a key several times, they count as
+applied one after another, in the order that is given, or else in the order of their values.
 """
 
 from __future__ import annotations
@@ -21,32 +23,54 @@ def latest(rows: DataFrame, key: Sequence[str], order: Sequence[Column]) -> Data
     return ranked.select(*key, "_row.*").select(rows.columns)
 
 
-def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Rows of changes replace those of table column by column where they are not null, or are inserted."""
-    new = changes.select(F.col(key), *(F.col(c).alias(f"_new_{c}") for c in changes.columns if c != key))
+def _mark(*tables: DataFrame) -> str:
+    """Underscores that make a name which no column of the tables has."""
+    return "_" * (1 + max(len(c) for t in tables for c in [*t.columns, ""]))
+
+
+def _order(changes: DataFrame, key: str, order: Sequence[Column]) -> Column:
+    return F.struct(*(order or [F.col(c) for c in changes.columns if c != key] or [F.col(key)]))
+
+
+def _last_rows(changes: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
+    """The last change of each key, whole."""
+    others = [c for c in changes.columns if c != key]
+    ranked = changes.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*others), _order(changes, key, order)).alias(_mark(changes)))
+    return ranked.select(key, f"{_mark(changes)}.*")
+
+
+def upsert(table: DataFrame, changes: DataFrame, key: str, order: Sequence[Column] = ()) -> DataFrame:
+    """Rows of changes replace those of table column by column where they are not null, or are inserted (K02, K22). Of the
+    changes of a key each column takes its last value that is not null. Changes without a key are left out."""
+    mark, by = _mark(table, changes), _order(changes, key, order)
+    others = [c for c in changes.columns if c != key]
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), by)).alias(mark + c) for c in others] or [F.count(F.lit(1)).alias(mark)]
+    new = changes.where(F.col(key).isNotNull()).groupBy(key).agg(*last)
     joined = table.join(new, key, "full_outer")
-    values = [F.coalesce(f"_new_{c}", c).alias(c) if c in changes.columns else F.col(c) for c in table.columns if c != key]
+    values = [F.coalesce(mark + c, c).alias(c) if c in others else F.col(c) for c in table.columns if c != key]
     return joined.select(key, *values).select(table.columns)
 
 
 def set_where(table: DataFrame, keys: DataFrame, key: str, values: Mapping[str, Column]) -> DataFrame:
     """Partial update of the rows whose key is listed."""
-    hit = keys.select(key).distinct().withColumn("_hit", F.lit(True))
+    mark = _mark(table)
+    hit = keys.select(key).distinct().withColumn(mark, F.lit(True))
     joined = table.join(hit, key, "left")
-    return joined.select(*(F.when(F.col("_hit"), values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in table.columns))
+    return joined.select(*(F.when(F.col(mark), values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in table.columns))
 
 
 def add_counts(totals: DataFrame, rows: DataFrame, key: str, count: str) -> DataFrame:
     """Totals with the counts of new rows added (K04, A02): rows are counted before the join."""
-    new = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    mark = _mark(totals)
+    new = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(mark))
     joined = totals.join(new, key, "full_outer")
-    return joined.select(key, (F.coalesce(count, F.lit(0)) + F.coalesce("_n", F.lit(0))).cast("long").alias(count))
+    return joined.select(key, (F.coalesce(count, F.lit(0)) + F.coalesce(mark, F.lit(0))).cast("long").alias(count))
 
 
-def insert_or_refresh(table: DataFrame, seen: DataFrame, key: str, as_of: Column, filled: str = "title") -> DataFrame:
+def insert_or_refresh(table: DataFrame, seen: DataFrame, key: str, as_of: Column, filled: str = "title", order: Sequence[Column] = ()) -> DataFrame:
     """Columns by branch (K06): a row without a title yet is created at as_of, one that has it is marked as refreshed
     and not uploaded. table: key, title, created_time, refresh_time, refreshed, uploaded; seen: key, title."""
-    new = seen.select(F.col(key), F.col(filled).alias("_title"))
+    new = _last_rows(seen.select(key, filled) if not order else seen, key, order).select(key, F.col(filled).alias("_title"))
     joined = table.join(new, key, "full_outer")
     hit, fresh = F.col("_title").isNotNull(), F.col(filled).isNull() | (F.col(filled) == "")
     return joined.select(
@@ -74,13 +98,14 @@ def unbind(table: DataFrame, owner: str, old: object) -> DataFrame:
     return table.withColumn(owner, F.when(F.col(owner) == F.lit(old), F.lit(-1)).otherwise(F.col(owner)))
 
 
-def keep_curated(table: DataFrame, changes: DataFrame, key: str, column: str, uncurated: Sequence[str]) -> DataFrame:
-    """A value set by hand stays; only the listed ones, or none, are overwritten."""
-    new = changes.select(F.col(key), F.col(column).alias("_new"))
-    open_ = F.col(column).isNull() | F.col(column).isin(*uncurated)
-    joined = table.join(new, key, "left")
-    value = F.when(open_, F.coalesce("_new", column)).otherwise(F.col(column))
-    return joined.select(*(value.alias(c) if c == column else F.col(c) for c in table.columns))
+def keep_curated(table: DataFrame, changes: DataFrame, key: str, column: str, uncurated: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
+    """A value set by hand stays; only the listed ones, or none, are overwritten (K19, K21, K25). Of the changes of a key
+    the first one that is not itself a listed value is the last that takes effect."""
+    mark, by, value = _mark(table, changes), _order(changes, key, order), F.col(column)
+    curated = F.min_by(value, F.when(value.isNotNull() & ~value.isin(*uncurated), by))
+    new = changes.groupBy(key).agg(F.coalesce(curated, F.max_by(value, F.when(value.isNotNull(), by))).alias(mark))
+    joined, open_ = table.join(new, key, "left"), value.isNull() | value.isin(*uncurated)
+    return joined.select(*(F.when(open_, F.coalesce(mark, column)).otherwise(value).alias(c) if c == column else F.col(c) for c in table.columns))
 
 
 def set_all(table: DataFrame, values: Mapping[str, Column]) -> DataFrame:
@@ -88,21 +113,23 @@ def set_all(table: DataFrame, values: Mapping[str, Column]) -> DataFrame:
     return table.withColumns(dict(values))
 
 
-def replaced_structs(table: DataFrame, changes: DataFrame, key: str, structs: Sequence[str], stamps: Mapping[str, Column]) -> DataFrame:
+def replaced_structs(table: DataFrame, changes: DataFrame, key: str, structs: Sequence[str], stamps: Mapping[str, Column], order: Sequence[Column] = ()) -> DataFrame:
     """Whole nested structs replaced, a null one included, and times stamped, for the keys that changes name."""
-    new = changes.select(F.col(key), *(F.col(c).alias(f"_new_{c}") for c in structs), F.lit(True).alias("_hit"))
-    joined, hit = table.join(new, key, "left"), F.col("_hit")
-    value = lambda c: F.when(hit, F.col(f"_new_{c}")).otherwise(F.col(c)) if c in structs else F.when(hit, stamps[c]).otherwise(F.col(c))
+    mark = _mark(table, changes)
+    new = _last_rows(changes, key, order).select(F.col(key), *(F.col(c).alias(mark + c) for c in structs), F.lit(True).alias(mark))
+    joined, hit = table.join(new, key, "left"), F.col(mark)
+    value = lambda c: F.when(hit, F.col(mark + c)).otherwise(F.col(c)) if c in structs else F.when(hit, stamps[c]).otherwise(F.col(c))
     return joined.select(*(value(c).alias(c) if c in structs or c in stamps else F.col(c) for c in table.columns))
 
 
-def refreshed_shops(table: DataFrame, fetched: DataFrame, key: str, keep: Sequence[str], kind: str, ruling: str) -> DataFrame:
+def refreshed_shops(table: DataFrame, fetched: DataFrame, key: str, keep: Sequence[str], kind: str, ruling: str, order: Sequence[Column] = ()) -> DataFrame:
     """Shops as fetched anew, but for the columns of keep; the kind `ruling` stays; shops that are gone leave.
     fetched: key, gone, and columns of table; shops that were not fetched stay as they are."""
-    others = [c for c in fetched.columns if c not in (key, "gone")]
-    new = fetched.select(F.col(key), "gone", *(F.col(c).alias(f"_new_{c}") for c in others), F.lit(True).alias("_hit"))
-    joined, hit = table.join(new, key, "left").where("not coalesce(gone, false)"), F.col("_hit").isNotNull()
-    changed = lambda c: F.when(hit & (F.lit(c != kind) | (F.col(kind) != ruling)), F.col(f"_new_{c}")).otherwise(F.col(c))
+    mark, others = _mark(table, fetched), [c for c in fetched.columns if c not in (key, "gone")]
+    last = _last_rows(fetched, key, order)
+    new = last.select(F.col(key), F.col("gone").alias(f"{mark}gone"), *(F.col(c).alias(mark + c) for c in others), F.lit(True).alias(mark))
+    joined, hit = table.join(new, key, "left").where(~F.coalesce(f"{mark}gone", F.lit(False))), F.col(mark).isNotNull()
+    changed = lambda c: F.when(hit & (F.lit(c != kind) | (F.col(kind) != ruling)), F.col(mark + c)).otherwise(F.col(c))
     return joined.select(*(changed(c).alias(c) if c in others and c not in keep else F.col(c) for c in table.columns))
 
 
