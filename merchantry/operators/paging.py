@@ -57,3 +57,10 @@ def allocate_ids(rows: DataFrame, order: Sequence[str], start: int, name: str, s
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     numbered = parted.withColumn("_place", place).join(F.broadcast(starts), "_part")
     return numbered.withColumn(name, (F.lit(start) + F.col("_start") + F.col("_place")).cast("long")).drop("_part", "_start", "_place")
+
+
+def write_by_mark(rows: DataFrame, folder: str, mark: str, row_group_bytes: int = 16 << 20) -> None:
+    """Parquet files in ranges of a mark, sorted within: a scan after a mark, or down to a cutoff, skips the files and
+    row groups that lie before it by their statistics (S05, S06, P20)."""
+    ordered = rows.repartitionByRange(mark).sortWithinPartitions(mark)
+    ordered.write.mode("overwrite").option("parquet.block.size", row_group_bytes).parquet(folder)

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchantry.functions import numbers, props
-from merchantry.operators import merge, paging, tree
+from merchantry.operators import bucketed, merge, paging, tree
+from merchantry.session import new_folder
+from merchantry.sources import feed
 from merchantry.sources.tables import table
 
 
@@ -19,6 +21,37 @@ def upsert_merge(spark: SparkSession, sf: str) -> DataFrame:
     return merge.upsert(orders.where("y <= 1996").drop("y"), changes, "o_orderkey").withColumn("o_totalprice", F.round("o_totalprice", 2))
 
 
+def bucket_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """The same batch merged into a table in buckets, in two parts, each rewriting the buckets that it touches."""
+    orders = table(spark, sf, "orders").select("o_orderkey", F.round("o_totalprice", 2).alias("o_totalprice"), "o_orderpriority", F.year("o_orderdate").alias("y"))
+    changes = orders.where("y >= 1995").select("o_orderkey", (F.col("o_totalprice") + 1).alias("o_totalprice"), F.lit(None).cast("string").alias("o_orderpriority"))
+    folder, schema = new_folder(spark, "orders"), "o_orderkey long, o_totalprice double, o_orderpriority string"
+    bucketed.write(orders.where("y <= 1996").drop("y"), folder, "o_orderkey", 16)
+    for part in (F.col("o_orderkey") % 16 == 0, F.col("o_orderkey") % 16 != 0):
+        bucketed.merge(spark, folder, schema, "o_orderkey", 16, changes.where(part), lambda old, new: merge.upsert(old, new, "o_orderkey"))
+    return bucketed.read(spark, folder, schema).drop(bucketed.BUCKET).withColumn("o_totalprice", F.round("o_totalprice", 2))
+
+
+def mark_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Events after a mark, read from files in ranges of the mark."""
+    folder = new_folder(spark, "marks")
+    paging.write_by_mark(table(spark, sf, "events"), folder, "ts")
+    return spark.read.parquet(folder).where(F.col("ts") > dt.datetime(2024, 1, 20)).select("event_id", "event_type")
+
+
+def feed_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as the pages of a feed, read by a stream that is started twice."""
+    folder, count = new_folder(spark, "feed"), 100
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("place"), "c_custkey", "c_name", "c_acctbal")
+    half = F.lit(rows.count() // (2 * count) * count)
+    for part in (F.col("place") < half, F.col("place") >= half):
+        feed.capture(rows.where(part), "place", count, f"{folder}/in")
+        source = feed.feed_stream(spark, f"{folder}/in", "struct<c_custkey: long, c_name: string, c_acctbal: double>", count)
+        writer = source.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint")
+        writer.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("offset")
+
+
 def counter_merge(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events")
     old = events.where(F.col("ts") < dt.datetime(2024, 1, 15)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
@@ -144,7 +177,7 @@ def brand_counts_merge(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        upsert_merge, counter_merge, partial_update, refresh_records, delete_keys, insert_absent, unbind_items, keep_curated,
+        upsert_merge, bucket_upsert, mark_scan, feed_pages, counter_merge, partial_update, refresh_records, delete_keys, insert_absent, unbind_items, keep_curated,
         claim_head, latest_per_key, id_allocate, tree_rollup, tree_path, tree_descendants, full_refresh, prop_pairs, prop_counts,
         json_fields, brand_counts_merge,
     )
@@ -162,6 +195,11 @@ SQL = {
     "upsert_merge": """
         SELECT o_orderkey, round(CASE WHEN year(o_orderdate) >= 1995 THEN o_totalprice + 1 ELSE o_totalprice END, 2) AS o_totalprice,
                CASE WHEN year(o_orderdate) <= 1996 THEN o_orderpriority END AS o_orderpriority FROM orders""",
+    "bucket_upsert": """
+        SELECT o_orderkey, round(CASE WHEN year(o_orderdate) >= 1995 THEN o_totalprice + 1 ELSE o_totalprice END, 2) AS o_totalprice,
+               CASE WHEN year(o_orderdate) <= 1996 THEN o_orderpriority END AS o_orderpriority FROM orders""",
+    "mark_scan": "SELECT event_id, event_type FROM events WHERE ts > TIMESTAMP '2024-01-20'",
+    "feed_pages": "SELECT c_custkey, c_name, c_acctbal FROM customer",
     "counter_merge": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
     "partial_update": """
         SELECT p_partkey, p_brand, p_size + CASE WHEN p_partkey IN (SELECT l_partkey FROM lineitem
