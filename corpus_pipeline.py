@@ -24,8 +24,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = line_runs.delete_runs(docs)
-    left = (F.col(cut.columns[-1]) == 0) | F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))
-    kept = cut.where(left).select(docs.columns)
+    n_lines, n_deleted = cut.columns[-2:]
+    left = (F.col(n_deleted) == 0) | F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))
+    kept = cut.where(left).drop(n_lines, n_deleted)
     return kept.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
