@@ -220,14 +220,15 @@ def _mentions(found: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text_hash", "start", "end", F.xxhash64(F.lower("value")).alias("instance"), F.col("kind").alias("base"), shape.alias("kind"), patterns.alias("patterns"), "whole", "piece").where("end > start and (whole or kind is not null)")
 
 
-def discovered(found: DataFrame, support: int = 5, least: float = 0.9, rounds: int = 30) -> DataFrame:
-    """doc_id, text_hash, kind, start, end of the further entities."""
+def discovered(found: DataFrame, support: int = 5, least: float = 0.9) -> DataFrame:
+    """doc_id, text_hash, kind, start, end of the further entities. Confidences only grow from round to round, so rounds end
+    by themselves, when none has grown in its first three digits."""
     mentions = cut(_mentions(found))
     edges = cut(mentions.select(F.explode("patterns").alias("pattern"), "instance", "base", "kind").distinct())
     spread = edges.groupBy("pattern").agg(F.count_distinct("instance").alias("n"))
     known = mentions.where("base is not null").select("instance", "kind").distinct().withColumn("c", F.lit(1.0))
     seen = None
-    for _ in range(rounds):
+    while True:
         sure = edges.select("pattern", "instance", "kind").where("kind is not null").distinct().join(known, ["instance", "kind"])
         scored = sure.groupBy("pattern", "kind").agg(F.sum("c").alias("c"), F.count_if(F.col("c") >= least).alias("k"))
         scored = scored.where(F.col("k") >= support).join(spread, "pattern")
@@ -258,11 +259,11 @@ def _text(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), one), ",")
 
 
-def find(docs: DataFrame, support: int = 5, least: float = 0.9, rounds: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, support: int = 5, least: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_discovered for each row of docs."""
     found = cut(base_entities(docs, id_col, text_col))
     order = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind")).cast("int") - 1
-    more = discovered(found, support, least, rounds).groupBy("doc_id", "text_hash")
+    more = discovered(found, support, least).groupBy("doc_id", "text_hash")
     more = more.agg(F.collect_set(F.struct(order.alias("o"), "start", "end")).alias("more"))
     more = more.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "more")
     joined = found.join(more, found.doc_id.eqNullSafe(F.col("id")) & (found.text_hash == F.col("hash")), "left")

@@ -1,5 +1,6 @@
 """The stages one by one and the whole, against brute force; and the numbered queries against their SQL."""
 
+import random
 from collections import Counter
 
 import duckdb
@@ -8,6 +9,7 @@ import pytest
 import corpus_pipeline
 from merchantry.llm import catalog
 from tests.llm import brute
+from tests.llm.conftest import sentence
 
 
 def brute_run(rows, items):
@@ -50,6 +52,27 @@ def test_stages(spark, rows, folder):
         docs = spark.createDataFrame(expected, out.schema) if name != "mixing" else out
 
 
+def test_stages_keep_columns_of_any_name(spark, docs, folder):
+    """Names with dots, fields with spaces, and names that the stages use inside, pass through every stage."""
+    now = docs
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, folder)
+        assert now.columns[: len(docs.columns)] == docs.columns, name
+        found = now.select("`meta.url`", "odd.`a b`", "c0", "doc_id").collect()
+        assert {tuple(r)[:3] for r in found} == {("u", 11, 5)} and found, name
+
+
+def test_learnt_cutoffs_act_in_the_first_stage(spark, tmp_path):
+    """Enough labelled documents prove a cutoff: it rejects unlabelled junk and keeps what the labels call good."""
+    rng = random.Random(4)
+    good = [(i, sentence(rng, 50), "en", "s", 1) for i in range(900)]
+    junk = [(1000 + i, " ".join(w + "###" for w in sentence(rng, 50).split()), "en", "s", 1) for i in range(60)]
+    spark.createDataFrame([(i, 1, 0) for i in range(880)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(good + junk, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path))
+    assert sorted(map(tuple, kept.collect())) == good
+
+
 def test_run(spark, rows, folder):
     assert Counter(map(tuple, corpus_pipeline.run(spark, folder).collect())) == Counter(brute_run(rows, items_of(rows))[-1])
 
