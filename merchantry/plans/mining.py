@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from merchantry.functions import codecs, numbers, times, urls
 from merchantry.functions import text as tx
 from merchantry.operators import phrases, vectors, words
-from merchantry.session import cut, new_folder
+from merchantry.session import cut, new_folder, spread
 from merchantry.sources.tables import table
 from merchantry.streaming import incremental, keyed
 
 
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents"))
+
+
 def strip_punct(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", tx.strip_marks(F.col("text")).alias("stripped"))
 
@@ -40,47 +44,47 @@ def url_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ngram_freq(spark: SparkSession, sf: str) -> DataFrame:
-    rows = words.token_rows(table(spark, sf, "documents"), tx.token_stream(F.col("text")))
+    rows = words.token_rows(_documents(spark, sf), tx.token_stream(F.col("text")))
     freq = words.frequencies(rows, F.col("tokens"), 3, least=20)
     return freq.select("word", "len", "freq", F.round("prob", 10).alias("prob"))
 
 
 def neighbour_entropy(spark: SparkSession, sf: str) -> DataFrame:
-    rows, tokens = words.token_rows(table(spark, sf, "documents"), tx.token_stream(F.col("text"))), F.col("tokens")
+    rows, tokens = words.token_rows(_documents(spark, sf), tx.token_stream(F.col("text"))), F.col("tokens")
     runs = cut(words.near_frequent(words.levels(rows, tokens, 2, 50)))
     both = words.entropy(runs, "left", True).join(words.entropy(runs, "right", False), "word")
     return both.select("word", F.round("entropy_left", 6).alias("entropy_left"), F.round("entropy_right", 6).alias("entropy_right"))
 
 
 def word_accept(spark: SparkSession, sf: str) -> DataFrame:
-    found = words.discover(table(spark, sf, "documents"), tx.token_stream(F.col("text")), longest=3, ratio=3, freq=10, single_freq=300, least_entropy=1.0)
+    found = words.discover(_documents(spark, sf), tx.token_stream(F.col("text")), longest=3, ratio=3, freq=10, single_freq=300, least_entropy=1.0)
     return found.select("word", "freq", F.round("prob", 10).alias("prob"), F.round("entropy", 6).alias("entropy"))
 
 
 def ngram_freq_all(spark: SparkSession, sf: str) -> DataFrame:
     """Runs of up to 5 tokens, all of them, as the source counts."""
-    freq = words.frequencies(table(spark, sf, "documents"), tx.token_stream(F.col("text")), 5)
+    freq = words.frequencies(_documents(spark, sf), tx.token_stream(F.col("text")), 5)
     return freq.select("word", "len", "freq", F.round("prob", 10).alias("prob"))
 
 
 def neighbour_entropy_all(spark: SparkSession, sf: str) -> DataFrame:
-    runs = words.neighbours(table(spark, sf, "documents"), tx.token_stream(F.col("text")), 5)
+    runs = words.neighbours(_documents(spark, sf), tx.token_stream(F.col("text")), 5)
     both = words.entropy(runs, "left", True).join(words.entropy(runs, "right", False), "word")
     return both.select("word", F.round("entropy_left", 6).alias("entropy_left"), F.round("entropy_right", 6).alias("entropy_right"))
 
 
 def word_accept_all(spark: SparkSession, sf: str) -> DataFrame:
     """Words of up to 5 tokens under the source's thresholds, which are the defaults."""
-    found = words.discover(table(spark, sf, "documents"), tx.token_stream(F.col("text")))
+    found = words.discover(_documents(spark, sf), tx.token_stream(F.col("text")))
     return found.select("word", "freq", F.round("prob", 10).alias("prob"), F.round("entropy", 6).alias("entropy"))
 
 
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors.top_terms(table(spark, sf, "documents"), "doc_id", tx.token_stream(F.col("text")), 20)
+    return vectors.top_terms(_documents(spark, sf), "doc_id", tx.token_stream(F.col("text")), 20)
 
 
 def _cosines(spark: SparkSession, sf: str, least: float) -> DataFrame:
-    terms = cut(vectors.term_rows(table(spark, sf, "documents"), "doc_id", tx.token_stream(F.col("text"))))
+    terms = cut(vectors.term_rows(_documents(spark, sf), "doc_id", tx.token_stream(F.col("text"))))
     return vectors.similar(terms, terms.where("doc_id % 100 = 0"), "doc_id", least).select("query", "doc_id", F.round("cosine", 6).alias("cosine"))
 
 
@@ -127,13 +131,13 @@ def leader_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 def _mined(spark: SparkSession, sf: str) -> DataFrame:
     """word and freq of the pairs of tokens that stand 30 times or more."""
-    found = words.frequencies(table(spark, sf, "documents"), tx.token_stream(F.col("text")), 2, least=30)
+    found = words.frequencies(_documents(spark, sf), tx.token_stream(F.col("text")), 2, least=30)
     return cut(found.where("len = 2").select("word", "freq"))
 
 
 def clean_title(spark: SparkSession, sf: str) -> DataFrame:
     """Whole texts without the phrases of a mined blacklist."""
-    return phrases.cleaned(table(spark, sf, "documents"), "doc_id", "text", _mined(spark, sf)).withColumnRenamed("cleaned", "title")
+    return phrases.cleaned(_documents(spark, sf), "doc_id", "text", _mined(spark, sf)).withColumnRenamed("cleaned", "title")
 
 
 def extract_brand(spark: SparkSession, sf: str) -> DataFrame:
@@ -146,14 +150,14 @@ def extract_brand(spark: SparkSession, sf: str) -> DataFrame:
 
 def extract_phrases(spark: SparkSession, sf: str) -> DataFrame:
     """The mined pairs that a search of each whole text comes to."""
-    rows = cut(table(spark, sf, "documents").select("doc_id", phrases.plain_tokens(F.col("text")).alias("tokens")))
+    rows = cut(_documents(spark, sf).select("doc_id", phrases.plain_tokens(F.col("text")).alias("tokens")))
     found = phrases.extracted(rows, "doc_id", _mined(spark, sf))
     return found.select("doc_id", F.size("found").alias("n_found"), F.md5(F.array_join("found", ",").cast("binary")).alias("digest"))
 
 
 def segment_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Whole texts split into mined words of one to three tokens."""
-    docs = table(spark, sf, "documents")
+    docs = _documents(spark, sf)
     mined = words.frequencies(docs, tx.token_stream(F.col("text")), 3, least=30).select("word", "freq")
     rows = cut(docs.where("text is not null").select("doc_id", tx.tokenise(F.col("text")).alias("tokens")))
     found = phrases.segmented(rows, "doc_id", cut(mined))

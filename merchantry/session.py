@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: dict[str, str] = {}
 
@@ -58,6 +59,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows of a scan, dealt to all cores where fewer partitions than cores hold any: a file of one row group is read by one
+    task, into however many splits it is cut, and what costs time per row then waits for that task. A scan of four splits a
+    core or more stays as it is without a look at it; for others the partitions with rows are counted by the files' metadata.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() >= 4 * cores:
+        return rows
+    used = rows.select(F.spark_partition_id().alias("p")).distinct().count()
+    return rows if used >= cores else rows.repartition(cores)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the Python workers of the session's executors, once an application."""
     sc = spark.sparkContext

@@ -7,6 +7,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from merchantry import session
 from merchantry.functions import props
 from merchantry.functions import text as tx
 from merchantry.operators import grouping, lookups, merge, paging, score, tree, vectors, words
@@ -244,3 +245,16 @@ def test_retries(spark):
     failed = spark.createDataFrame([(1,), (2,), (3,)], "k long")
     results = spark.createDataFrame([(1, True), (2, False)], "k long, soft boolean")
     assert {r.k for r in incremental.retried(failed, results, "k").collect()} == {1, 3}
+
+
+def test_spread_deals_a_scan_of_one_row_group(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/one")
+    rows = spark.read.parquet(f"{tmp_path}/one")
+    cores = spark.sparkContext.defaultParallelism
+    dealt = session.spread(rows)
+    assert dealt.select(F.spark_partition_id().alias("p")).distinct().count() == min(cores, 1000)
+    assert sorted(r.id for r in dealt.collect()) == list(range(1000))
+    many = spark.range(1000).repartition(4 * cores)
+    assert session.spread(many) is many
+    empty = spark.read.schema("id long").parquet(f"{tmp_path}/one").where("id < 0")
+    assert session.spread(empty).count() == 0
