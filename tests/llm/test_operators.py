@@ -344,13 +344,64 @@ def piece_of(text):
 
 
 def test_misspelled_and_quoted_terms():
-    lexicon = toxicity.Lexicon({"stupid": 4.0}, {"bocom": 3.0}, {"stupid"})
+    lexicon = toxicity.Lexicon({"stupid": 4.0}, {"bocom": 3.0}, {"stupid"}, before={"you": 2.0, "wrote": -2.0}, after={"wrote": -2.0})
     plain = toxicity.text_sums(lexicon, piece_of("some stupid thing"))[0]
     assert toxicity.text_sums(lexicon, piece_of("some st*pid thing"))[0][0] == pytest.approx(math.log1p(3.2))
     assert toxicity.text_sums(lexicon, piece_of("Some STUPIDD!!! thing"))[0][1] == pytest.approx(math.log(2))
     assert toxicity.text_sums(lexicon, piece_of("a Bocomente b"))[0][0] == pytest.approx(math.log1p(3.0))
     assert toxicity.text_sums(lexicon, piece_of("they said \"some stupid thing\" then"))[0][0] < plain[0] < toxicity.text_sums(lexicon, piece_of("you stupid thing"))[0][0]
     assert toxicity.text_sums(lexicon, piece_of("stapled cupid"))[0][1] == 0
+    assert toxicity.text_sums(lexicon, piece_of("stupid things I wrote"))[0][0] == pytest.approx(math.log1p(4 * toxicity.QUOTED))
+    assert toxicity.text_sums(lexicon, piece_of("stupid one two three four five six seven wrote"))[0][0] == pytest.approx(math.log1p(4 * toxicity.QUOTED))
+    assert toxicity.text_sums(lexicon, piece_of("stupid one two three four five six seven eight wrote"))[0][0] == pytest.approx(math.log1p(4))
+    both = next(vectors.pieces(pa.array(["you", "stupid you", None, "wrote"])))  # neighbours are those of the same text
+    assert toxicity.text_sums(lexicon, both)[1][0] == pytest.approx(math.log1p(4))
+
+
+def test_telling_terms_against_all_counts(spark):
+    rng = random.Random(5)
+    rows = [(y, sorted({w for w in "abcdefgh" if rng.random() < (0.9 if w == "a" and y else 0.9 if w == "b" and not y else 0.2)})) for y in (0, 1) for _ in range(60)]
+    rows += [(1, ["rare"]), (1, ["rare"]), (0, [])]
+    found = {r.term: (r.t, r.c, r.x) for r in toxicity._telling(spark.createDataFrame(rows, "label int, terms array<string>"), 4, 0.05).collect()}
+    size, terms, want = [sum(y == v for y, _ in rows) for v in (0, 1)], {w for _, ws in rows for w in ws}, {}
+    for w in terms:
+        c, t = (sum(y == v and w in ws for y, ws in rows) for v in (0, 1))
+        p, n = size[1] / sum(size), t + c
+        chance = math.exp(-sum(k * math.log(k / (n * q)) for k, q in ((t, p), (c, 1 - p)) if k)) * len(terms)
+        if max(t, c) >= 4 and chance <= 0.05:
+            want[w] = t, c, pytest.approx(math.log((t + 0.5) / (size[1] + 1) / ((c + 0.5) / (size[0] + 1))))
+    assert found == want and {"a", "b"} <= set(want)
+    assert toxicity._telling(spark.createDataFrame([(1, ["a"])] * 9, "label int, terms array<string>"), 4, 0.05).count() == 0
+
+
+def test_context_is_learnt_from_labels(spark):
+    rows = [(i, f"b{i} listen moron you go c{i}", 1) for i in range(60)]
+    rows += [(100 + i, f"b{i} the report mentions moron as noun c{i}", 0) for i in range(12)]
+    rows += [(200 + i, f"plain b{i} here c{i}", 0) for i in range(400)]
+    lexicon, _ = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"), 0.1, least_log_ratio=2.0)
+    assert {"moron"} <= set(lexicon[0])
+    before, after = lexicon[4:]
+    assert before["report"] < 0 < before["listen"] and after["noun"] < 0 < after["you"] and not any(w[0] in "bc" and w[1:].isdigit() for w in (*before, *after))
+    total = lambda text: toxicity.text_sums(toxicity.Lexicon(*lexicon), piece_of(text))[0][0]
+    assert total("report mentions moron today") < total("today moron here") < total("listen moron today")
+
+
+def test_long_words_are_learnt(spark):
+    word = "schimpf" * 30
+    rows = [(i, f"b{i} {word} x{i}", 1) for i in range(25)] + [(100 + i, f"b{i} x", 0) for i in range(25)]
+    assert word in toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"), 0.5)[0][0]
+
+
+def test_copies_are_no_evidence_for_terms(spark):
+    text = "odd words of one text stand here and go on for a while until it ends"
+    rows = [(i, text, 1) for i in range(20)] + [(30 + i, f"scum {'abcdefgh'[i]} b c d e", 1) for i in range(8)] + [(100 + i, f"b {i} x", 0) for i in range(60)]
+    rows += [(200, None, 1), (201, "", 1), (202, text, 0), (203, "scum", 1), (204, "scum", 1), (29, text + " now", 1)]
+    left = toxicity.apart(spark.createDataFrame(rows, "doc_id long, text string, label int"))
+    ids = {r.doc_id for r in left.collect()}
+    assert {0, 200, 202, 203, *range(30, 38)} <= ids and not ids & {*range(1, 20), 201, 204}
+    words, _ = toxicity.learn_terms(left, 4, 1.0)
+    assert "scum" in words and not {"odd", "while", "stand"} & set(words)
+    assert toxicity.apart(left.where("false")).count() == 0
 
 
 def test_clean_near_words_leave_the_terms_fuzzy(spark):
