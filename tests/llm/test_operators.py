@@ -428,6 +428,73 @@ def test_held_out_accuracy(spark, module, label, folds, held_out, least):
     assert sum(r.predicted == r[label] for r in out) / len(out) >= least
 
 
+def brute_quality(x, label, ridge=1e-3):
+    """Scores of rows of features: every pair of a good and a bad learnt row listed (label None: not learnt from), the middle
+    between two strengths in order as the cut."""
+    learnt, y = x[[v is not None for v in label]], np.array([v for v in label if v is not None])
+    z, all_z = (np.clip((m - learnt.mean(0)) / np.maximum(learnt.std(0), 1e-6), -8, 8) for m in (learnt, x))
+    pairs = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1])
+    w = np.zeros(z.shape[1])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(pairs @ w))
+        hessian = (pairs * (p * (1 - p))[:, None]).T @ pairs / len(pairs) + ridge * np.eye(len(w))
+        w += np.linalg.solve(hessian, pairs.T @ p / len(pairs) - ridge * w)
+    ordered, n_bad = np.sort(z @ w), (y == 0).sum()
+    cut = (ordered[n_bad - 1] + ordered[n_bad]) / 2
+    return 1 / (1 + 3 / 7 * np.exp(-(all_z @ w - cut) / (z @ w)[y == 1].std()))
+
+
+def noisy_texts(n, seed, words):
+    """Texts whose labels follow their symbols and shouts only in part."""
+    rng = random.Random(seed)
+    for i in range(n):
+        bad = rng.random() < 0.3
+        odd = rng.choice([0, 0, 1, 3]) + 2 * bad
+        tail = " ".join(rng.choice(["!!", "#", "| x", "SHOUT", "ab"]) for _ in range(rng.randint(0, odd)))
+        yield i, f"{sentence(rng, rng.randint(*words))}\n{tail}", 1 - (bad if rng.random() < 0.9 else not bad)
+
+
+def test_quality_is_learnt_from_every_pair(spark):
+    import zlib
+
+    rows = list(noisy_texts(160, 3, (1, 40)))
+    rows += [rows[4], rows[4], (900, None, 0), (901, "", 1), (None, "no id", 1)]
+    labels = [(i, v) for i, _, v in rows[:150]] + [(900, 0), (901, 1), (5, 1 - rows[5][2]), (None, 1), (7777, 0), (8, None), (9, 2)]
+    given = defaultdict(list)
+    for i, v in labels:
+        if i is not None and v in (0, 1) and zlib.crc32(str(i).encode()) % 4 != 2:
+            given[i].append(v)
+    expanded = [(i, t, v) for i, t, _ in rows for v in given.get(i) or [None]]  # of several labels each counts
+    x = np.concatenate([pairwise_quality.feature_matrix(p) for p in vectors.pieces(pa.array([t for _, t, _ in expanded], pa.string()))])
+    expected = {(i, t): s for (i, t, _), s in zip(expanded, brute_quality(x, [v for *_, v in expanded]), strict=True)}
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    for table in (docs, docs.repartition(7)):
+        got = pairwise_quality.score(table, marks).collect()
+        assert Counter(r.doc_id for r in got) == Counter(i for i, *_ in rows)
+        for r in got:
+            assert r.score == pytest.approx(next(s for (i, _), s in expected.items() if i == r.doc_id), abs=2e-5)
+
+
+def test_quality_cut_counts_all_labelled_documents(spark):
+    """With more documents of a label than any sample held, as many of them are under the cut, or at it, as are bad."""
+    import zlib
+
+    rows = [r for r in noisy_texts(18000, 8, (3, 12)) if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    assert sum(r[2] for r in rows) > 8000
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(4)
+    scored = pairwise_quality.score(table.select("doc_id", "text"), table.select("doc_id", "quality"))
+    assert scored.where("score < 0.7").count() <= sum(r[2] == 0 for r in rows) <= scored.where("score <= 0.7").count()
+
+
+def test_cut_between_strengths(spark):
+    values = [-0.0, 0.0, 1e-300, -1e-300, 2.5, 2.5, 2.5, -7.25, -7.250000001, 1e9, -1e9, 3.0]
+    learnt = spark.createDataFrame([(1, [v]) for v in values], "label int, x array<double>").repartition(3)
+    ordered = sorted(values)
+    for rank in range(1, len(values)):
+        assert pairwise_quality.cut_between(learnt, lambda x: x[:, 0], rank) == (ordered[rank - 1] + ordered[rank]) / 2
+
+
 @pytest.mark.parametrize(("module", "label", "value"), [(toxicity, "toxic", 0.0), (pairwise_quality, "quality", 0.5)])
 def test_scores_without_labels(spark, docs, nothing, module, label, value):
     none = spark.createDataFrame([], f"doc_id long, {label} int")
