@@ -115,6 +115,19 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _worked_out(first: dict[str, Column], *steps: Callable[[Column], dict[str, Column]]) -> Column:
+    """A struct of what the last step names, each step seeing all that was named before. A value is worked out once a row, however often
+    later steps name it: a plain expression would be worked out at each of these places, and what it rests on at each of theirs."""
+
+    def go(named: dict[str, Column], rest: tuple) -> Column:
+        value = F.struct(*(c.alias(n) for n, c in named.items()))
+        if not rest:
+            return value
+        return _bound(value, lambda v: go(({n: v[n] for n in named} if len(rest) > 1 else {}) | rest[0](v), rest[1:]))
+
+    return go(first, steps)
+
+
 def _start(tag: str, name: str) -> str:
     return rf"<{tag}\b[^>]*\bclass=[\"'][^\"'>]*(?<![\w-]){name}(?![\w-])[^>]*>" if name else rf"<{tag}\b[^>]*>"
 
@@ -127,7 +140,8 @@ def leaves(html: Column, tag: str, name: str = "") -> Column:
 def _balanced(html: Column, tag: str, name: str, outermost: bool) -> Column:
     """The page is cut at the tag's opening and closing tags; the depth after each is a prefix sum. An element ends where the
     depth first falls below its own, at the end of the page if it never does."""
-    mark, opens = rf"(?is)<{tag}\b[^>]*>|</{tag}\s*>", rf"(?is)^{_start(tag, name)}$"
+    # The < stands before the choice: elsewhere the choice would be tried at every character.
+    mark, opens = rf"(?is)<(?:{tag}\b[^>]*|/{tag}\s*)>", rf"(?is)^{_start(tag, name)}$"
     events = F.regexp_extract_all(html, F.lit(mark), F.lit(0))
     cut_up = F.struct(events.alias("events"), F.split(html, mark, -1).alias("parts"), F.transform(events, lambda e: F.when(F.startswith(e, F.lit("</")), -1).otherwise(1)).alias("steps"))
 
@@ -199,48 +213,64 @@ def mobile_item(page: Column) -> Column:
     there is one, then come a promotion price, if the next is not the price itself, the price, and two and three places on
     the sales and the place. error: missing (hidden or no such item), title, cattag (another layout), group (sold
     elsewhere), count (a sales line without a number); then the fields mean nothing."""
-    title = F.coalesce(element(page, "title"), F.lit(""))
-    box, details = leaves(page, "p", "box"), blocks(page, "div", "detail", outermost=True)
-    links = F.flatten(F.transform(box, lambda b: attribute(b, "a", "href")))
-    category = F.try_element_at(links, F.lit(-1))
-    paragraphs = F.flatten(F.transform(details, lambda d: F.regexp_extract_all(d, F.lit(r"(?is)<p\b[^>]*>(.*?)</p\s*>"), F.lit(1))))
-    lines = F.transform(paragraphs, bare)
-    pictures = F.flatten(F.transform(paragraphs, lambda p: F.regexp_extract_all(p, F.lit(r"(?i)<img\b[^>]*>"), F.lit(0))))
-    lead = F.when(~F.contains(_first(pictures), F.lit(f'alt="{CONTACT}"')), attribute(_first(pictures), "img", "src"))
-    more = F.flatten(F.transform(blocks(page, "table", "mt"), lambda t: attribute(t, "img", "src")))
-    images = F.when(lead.isNull(), F.array().cast("array<string>")).otherwise(F.transform(F.concat(lead, more), _sized))
-    some = F.size(images) > 0
-    judge = F.coalesce(F.get(lines, some.cast("int")), F.lit(""))
-    priced = F.contains(judge, F.lit("格："))
-    second_hand = ~priced & F.contains(judge, F.lit("价："))
-    at = F.when(~some, 0).when(priced, 1).otherwise(2)
-    amount = lambda i: F.regexp_extract(F.coalesce(F.get(lines, i), F.lit("")), r"(\d+\.\d+)", 1).try_cast("double")
-    sales = F.coalesce(F.get(lines, at + 2), F.lit(""))
-    sold = _found(sales, r"(\d+)")
-    place = F.coalesce(F.get(lines, at + 3), F.lit(""))
-    rating = _first(F.flatten(F.transform(blocks(page, "table", "rate_desc"), lambda t: leaves(t, "td", "link_btn"))))
-    number = F.when(second_hand, bare(rating)).otherwise(bare(_first(leaves(rating, "span"))))
-    buttons = F.filter(pictures, lambda p: F.contains(p, F.lit("nick=")))
-    error = (
-        F.when(F.contains(title, F.lit(HIDDEN_TITLE)) | (title == DETAIL_TITLE), "missing")
-        .when(F.octet_length(title) < 18, "title")
-        .when(F.size(box) <= 0, "cattag")
-        .when(category.isNotNull() & ~F.contains(category, F.lit("cat")), "group")
-        .when(sold.isNull() & F.contains(sales, F.lit("量")), "count")
-    )
-    return F.struct(
-        error.alias("error"),
-        cut_bytes_end(title, 18).alias("title"),
-        F.regexp_extract(category, r"(\d+)$", 1).try_cast("long").alias("cid"),
-        images.alias("item_imgs"),
-        (F.size(F.coalesce(F.regexp_extract_all(F.get(details, F.lit(1)), F.lit(r"(?i)<table\b"), F.lit(0)), F.array().cast("array<string>"))) != 1).alias("in_stock"),
-        F.when(~priced, amount(F.lit(1))).alias("promotion_price"),
-        amount(at).alias("price"),
-        sold.try_cast("long").alias("monthly_sales"),
-        F.when(F.contains(place, F.lit("地")), location(F.get(F.split(place, "："), F.lit(1)))).alias("location"),
-        F.coalesce(F.regexp_extract(number, r"(\d+)", 1).try_cast("long"), F.lit(0)).alias("reviews"),
-        query_value(_first(attribute(_first(buttons), "img", "src")), "nick").alias("nick"),
-    )
+    none = F.array().cast("array<string>")
+    amount = lambda v, i: F.regexp_extract(F.coalesce(F.get(v["lines"], i), F.lit("")), r"(\d+\.\d+)", 1).try_cast("double")
+
+    def blocks_of(v: Column) -> dict[str, Column]:
+        page = v["page"]
+        rating = _first(F.flatten(F.transform(blocks(page, "table", "rate_desc"), lambda t: leaves(t, "td", "link_btn"))))
+        more = F.flatten(F.transform(blocks(page, "table", "mt"), lambda t: attribute(t, "img", "src")))
+        title = F.coalesce(element(page, "title"), F.lit(""))
+        return {"title": title, "box": leaves(page, "p", "box"), "details": blocks(page, "div", "detail", outermost=True), "more": more, "rating": rating}
+
+    def paragraphs_of(v: Column) -> dict[str, Column]:
+        links = F.flatten(F.transform(v["box"], lambda b: attribute(b, "a", "href")))
+        paragraphs = F.flatten(F.transform(v["details"], lambda d: F.regexp_extract_all(d, F.lit(r"(?is)<p\b[^>]*>(.*?)</p\s*>"), F.lit(1))))
+        return {"category": F.try_element_at(links, F.lit(-1)), "paragraphs": paragraphs}
+
+    def lines_of(v: Column) -> dict[str, Column]:
+        pictures = F.flatten(F.transform(v["paragraphs"], lambda p: F.regexp_extract_all(p, F.lit(r"(?i)<img\b[^>]*>"), F.lit(0))))
+        return {"lines": F.transform(v["paragraphs"], bare), "pictures": pictures}
+
+    def images_of(v: Column) -> dict[str, Column]:
+        lead = F.when(~F.contains(_first(v["pictures"]), F.lit(f'alt="{CONTACT}"')), attribute(_first(v["pictures"]), "img", "src"))
+        return {"images": _bound(lead, lambda x: F.when(x.isNull(), none).otherwise(F.transform(F.concat(x, v["more"]), _sized)))}
+
+    def judged(v: Column) -> dict[str, Column]:
+        judge = F.coalesce(F.get(v["lines"], (F.size(v["images"]) > 0).cast("int")), F.lit(""))
+        priced = F.contains(judge, F.lit("格："))
+        return {"priced": priced, "second_hand": ~priced & F.contains(judge, F.lit("价：")), "at": F.when(F.size(v["images"]) <= 0, 0).when(priced, 1).otherwise(2)}
+
+    def read(v: Column) -> dict[str, Column]:
+        sales = F.coalesce(F.get(v["lines"], v["at"] + 2), F.lit(""))
+        number = F.when(v["second_hand"], bare(v["rating"])).otherwise(bare(_first(leaves(v["rating"], "span"))))
+        return {"sales": sales, "sold": _found(sales, r"(\d+)"), "place": F.coalesce(F.get(v["lines"], v["at"] + 3), F.lit("")), "number": number}
+
+    def record(v: Column) -> dict[str, Column]:
+        category, title = v["category"], v["title"]
+        error = (
+            F.when(F.contains(title, F.lit(HIDDEN_TITLE)) | (title == DETAIL_TITLE), "missing")
+            .when(F.octet_length(title) < 18, "title")
+            .when(F.size(v["box"]) <= 0, "cattag")
+            .when(category.isNotNull() & ~F.contains(category, F.lit("cat")), "group")
+            .when(v["sold"].isNull() & F.contains(v["sales"], F.lit("量")), "count")
+        )
+        buttons = F.filter(v["pictures"], lambda p: F.contains(p, F.lit("nick=")))
+        return {
+            "error": error,
+            "title": cut_bytes_end(title, 18),
+            "cid": F.regexp_extract(category, r"(\d+)$", 1).try_cast("long"),
+            "item_imgs": v["images"],
+            "in_stock": F.size(F.coalesce(F.regexp_extract_all(F.get(v["details"], F.lit(1)), F.lit(r"(?i)<table\b"), F.lit(0)), none)) != 1,
+            "promotion_price": F.when(~v["priced"], amount(v, F.lit(1))),
+            "price": amount(v, v["at"]),
+            "monthly_sales": v["sold"].try_cast("long"),
+            "location": _bound(v["place"], lambda p: F.when(F.contains(p, F.lit("地")), _bound(F.get(F.split(p, "："), F.lit(1)), location))),
+            "reviews": F.coalesce(F.regexp_extract(v["number"], r"(\d+)", 1).try_cast("long"), F.lit(0)),
+            "nick": query_value(_first(attribute(_first(buttons), "img", "src")), "nick"),
+        }
+
+    return _worked_out({"page": page}, blocks_of, paragraphs_of, lines_of, images_of, judged, read, record)
 
 
 def cut_bytes_end(c: Column, n: int) -> Column:
@@ -251,17 +281,24 @@ def cut_bytes_end(c: Column, n: int) -> Column:
 
 def detail_page(page: Column) -> Column:
     """error, reviews and properties of a detail page (H02): a row of the goods-property table is a name and a value."""
-    red = _first(F.flatten(F.transform(leaves(page, "p"), lambda p: F.filter(F.transform(leaves(p, "strong"), bare), lambda s: s != ""))))
-    rows = F.flatten(F.transform(blocks(page, "table", "goods-property"), lambda t: leaves(t, "tr")))
-    cells = F.filter(F.transform(rows, lambda r: F.transform(leaves(r, "td"), lambda d: F.regexp_replace(bare(d), r"\r?\n", " "))), lambda c: F.size(c) > 1)
-    return F.struct(F.when(red.isNull(), "reviews").alias("error"), _found(red, r"(\d+)").try_cast("long").alias("reviews"), _last_wins(cells).alias("props"))
+
+    def parts(v: Column) -> dict[str, Column]:
+        red = _first(F.flatten(F.transform(leaves(v["page"], "p"), lambda p: F.filter(F.transform(leaves(p, "strong"), bare), lambda s: s != ""))))
+        rows = F.flatten(F.transform(blocks(v["page"], "table", "goods-property"), lambda t: leaves(t, "tr")))
+        cells = F.filter(F.transform(rows, lambda r: F.transform(leaves(r, "td"), lambda d: F.regexp_replace(bare(d), r"\r?\n", " "))), lambda c: F.size(c) > 1)
+        return {"red": red, "cells": cells}
+
+    def record(v: Column) -> dict[str, Column]:
+        return {"error": F.when(v["red"].isNull(), "reviews"), "reviews": _found(v["red"], r"(\d+)").try_cast("long"), "props": _last_wins(v["cells"])}
+
+    return _worked_out({"page": page}, parts, record)
 
 
 def _last_wins(pairs: Column) -> Column:
     """A map of arrays of name and value; of equal names the last wins."""
     entries = F.transform(pairs, lambda p: F.struct(F.get(p, F.lit(0)).alias("k"), F.get(p, F.lit(1)).alias("v")))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["k"] == e["k"]))
-    return F.map_from_entries(last)
+    last = lambda all_: F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda x: x["k"] == e["k"]))
+    return F.map_from_entries(_bound(entries, last))
 
 
 def _listed(page: Column) -> Column:

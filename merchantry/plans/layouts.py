@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from merchantry.functions import codecs
 from merchantry.operators import html
+from merchantry.session import spread
 from merchantry.sources.tables import table
 
 _NAME = "upper(p_name)"
 
 
 def _parts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "part")
+    rows = spread(table(spark, sf, "part"))
     return rows.select("*", F.upper("p_name").alias("name"), F.format_string("%.2f", "p_retailprice").alias("price"), (F.col("p_size") % 5).alias("kind"))
 
 
